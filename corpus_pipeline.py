@@ -1,12 +1,80 @@
-"""The corpus pipeline: stages, each written as Parquet and read again."""
+"""The corpus pipeline: five stages, each written as Parquet and read again.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of
+``documents``, with n_chars following the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packetlens.llm import decontaminate, jaccard, linededup, mixing, quality
+from packetlens.llm.runtime import n_words, spare, table, written
+
+#: The classifier's score from which a document is kept.
+KEEP_SCORE = 0.7
+#: Shingle words and percent of similarity that make two documents near copies.
+SHINGLE, PERCENT = 5, 80
+#: Similarity of a window to a benchmark item that makes a document a leak.
+LEAK = 0.8
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose quality score is below KEEP_SCORE."""
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    score = spare(docs, "score")
+    return quality.score(docs, model, score).where(F.col(score) >= KEEP_SCORE).select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later copies of three-line windows; a document of which nothing but blanks is left goes."""
+    lines, removed = spare(docs, "n_lines"), spare(docs, "n_removed")
+    cut = linededup.dedup_lines(docs, n_removed=removed, n_lines=lines)
+    cut = cut.where((F.col(removed) == 0) | (F.trim(F.regexp_replace("text", r"\s", " ")) != ""))
+    n_chars = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.select([n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each component of similar documents; equal rows once; rows without a doc_id stay."""
+    groups = jaccard.similar(docs, SHINGLE, PERCENT)
+    heads = written(groups.where("doc_id = component_id").select("doc_id").distinct(), "heads")
+    kept = docs.join(jaccard.few(heads), "doc_id", "left_semi")
+    if docs.where("doc_id is not null").count() > docs.agg(F.count_distinct("doc_id")).first()[0]:
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a window that repeats a benchmark item."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"), LEAK)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the copies that the mix takes of each: columns of documents, then size, source_size, target, copies, taken."""
+    added = ["source_size", "target", "copies", "taken"]
+    mixed = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), *added)
+    mixed = mixed.groupBy("_id", "_source", "_size").agg(*(F.max(c).alias(c) for c in added))
+    sized = docs.withColumn("size", n_words(F.col("text")))
+    same = sized["doc_id"].eqNullSafe(mixed["_id"]) & sized["source"].eqNullSafe(mixed["_source"]) & (sized["size"] == mixed["_size"])
+    return sized.join(mixed, same).select(*docs.columns, "size", *added)
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources to target weights", mix_sources),
+]
 
-STAGES: list = []
+#: SQL can't express the learned classifier, so a brute-force version in the tests stands in.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
