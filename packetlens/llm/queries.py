@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, linededup, mixing, quality, urlfilter
+from . import ann, chat, decontaminate, html, jaccard, linededup, mixing, quality, urlfilter
 from .runtime import table
 
 #: Fixed value: the conversation that the query adds, to show that control strings survive.
@@ -78,6 +78,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_nearest": op6_nearest,
     "op7_decontaminate": op7_decontaminate,
+    "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
     "op10_mix_sources": op10_mix_sources,
 }
