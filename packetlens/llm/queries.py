@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, html, jaccard, linededup, mixing, quality, urlfilter
+from . import ann, chat, decontaminate, html, jaccard, linededup, lm, mixing, quality, urlfilter
 from .runtime import table
 
 #: Fixed value: the conversation that the query adds, to show that control strings survive.
@@ -52,6 +52,13 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.held_out(F.col("doc_id")))
+    model = lm.train(docs.where(~F.col("held_out")))
+    scored = lm.score(docs, model)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 #: The rules of the query.
 URL_RULES = (
     urlfilter.Rule("allow", "com"),
@@ -93,6 +100,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_lm_score": op3_lm_score,
     "op4_url_filter": op4_url_filter,
     "op5_line_dedup": op5_line_dedup,
     "op6_nearest": op6_nearest,
