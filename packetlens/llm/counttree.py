@@ -25,7 +25,16 @@ def n_groups(size: int) -> int:
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
     m = n_groups(len(hashes))
-    return np.bincount((hashes >> np.uint64(20)) & np.uint64(m - 1), minlength=m).astype("<u2" if len(hashes) < 65_536 else "<u4")
+    return np.bincount((hashes >> np.uint64(20)) & np.uint64(m - 1), minlength=m)
+
+
+def packed(v: np.ndarray) -> bytes:
+    """The counts in as few bytes each as the largest needs."""
+    return v.astype("<u1" if v.max() < 256 else "<u2" if v.max() < 65_536 else "<u4").tobytes()
+
+
+def unpacked(data: bytes, m: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // m}").astype(np.int64)
 
 
 def fold(v: np.ndarray, m: int) -> np.ndarray:
