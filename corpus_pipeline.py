@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.llm import decontaminate, jaccard, linededup, mixing, quality
-from packetlens.llm.runtime import n_words, spare, table, written
+from packetlens.llm.runtime import few, n_words, spare, table, written
 
 #: The classifier's score from which a document is kept.
 KEEP_SCORE = 0.7
@@ -40,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps the smallest doc_id of each component of similar documents; equal rows once; rows without a doc_id stay."""
     groups = jaccard.similar(docs, SHINGLE, PERCENT)
     heads = written(groups.where("doc_id = component_id").select("doc_id").distinct(), "heads")
-    kept = docs.join(jaccard.few(heads), "doc_id", "left_semi")
+    kept = docs.join(few(heads), "doc_id", "left_semi")
     if docs.where("doc_id is not null").count() > docs.agg(F.count_distinct("doc_id")).first()[0]:
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -27,13 +27,11 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .counttree import LEAF, CountTree, count_vector, fold, n_groups, packed, passes, unpacked
-from .runtime import written
+from .runtime import few, written
 from .tokens import Piece, gram_hash, grams, mix64, pieces
 
 #: A block with more members is joined piece by piece.
 BLOCK = 4096
-#: Tables of at most so many ids (8 bytes each) are broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 1_000_000
 SAMPLE = 12_000
 HEAVY = 200_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -141,14 +139,6 @@ def _vectors(column: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     return [unpacked(v, n_groups(n)) for v, n in zip(column, sizes.tolist(), strict=True)]
 
 
-def _coarse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, vector) with half the groups, for blocks: a document is in many."""
-    for batch in batches:
-        n = batch.column(1).to_numpy()
-        small = [packed(fold(v, len(v) // 2)) for v in _vectors(batch.column(2).to_pylist(), n)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["id", "n", "vector"])
-
-
 def _bounded(percent: int):
     """Pairs (a, b, na, va, nb, vb) whose bound allows the similarity."""
 
@@ -157,13 +147,17 @@ def _bounded(percent: int):
             na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             keep = np.zeros(batch.num_rows, bool)
             for i, (a, b) in enumerate(zip(_vectors(batch.column(3).to_pylist(), na), _vectors(batch.column(5).to_pylist(), nb), strict=True)):
-                m = min(len(a), len(b))
-                keep[i] = passes(np.minimum(fold(a, m), fold(b, m)).sum(), na[i] + nb[i], percent)
+                keep[i] = _fits(a, b, na[i] + nb[i], percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
+def _fits(a: np.ndarray, b: np.ndarray, sizes: int, percent: int) -> bool:
+    m = min(len(a), len(b))
+    return bool(passes(np.minimum(fold(a, m), fold(b, m)).sum(), sizes, percent))
+
+
 def _tree_join(percent: int):
     """Blocks sorted by key: (key, chunk pair, own chunk, id, component, n, vector) to pairs of different components within bounds."""
 
@@ -171,7 +165,7 @@ def _tree_join(percent: int):
         ids = np.array([r[0] for r in rows])
         comp = np.array([r[1] for r in rows])
         size = np.array([r[2] for r in rows])
-        vec = [unpacked(r[3], n_groups(r[2]) // 2) for r in rows]
+        vec = _vectors([r[3] for r in rows], size)
         chunk = np.array([r[4] for r in rows])
         if (comp == comp[0]).all():
             return
@@ -189,7 +183,8 @@ def _tree_join(percent: int):
             if other is own:
                 good &= x < y
             x, y = x[good], y[good]
-            yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+            fine = np.fromiter((_fits(vec[i], vec[j], size[i] + size[j], percent) for i, j in zip(x, y, strict=True)), bool, len(x))
+            yield np.minimum(ids[x], ids[y])[fine], np.maximum(ids[x], ids[y])[fine]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -236,11 +231,6 @@ def _verifier(percent: int):
     return run
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """``ids`` to be broadcast if a count shows that it is small."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose shingle sets reach the similarity, compared whole."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
@@ -297,11 +287,9 @@ def similar(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     chunks = F.ceil(F.col("members") / BLOCK)
     placed = placed.join(open_, "key", "left_semi").withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
-    coarse = written(points.mapInArrow(_coarse, "id long, n long, vector binary"), "coarse")
-    placed = placed.join(coarse, "id").select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "component", "n", "vector", "own")
+    placed = placed.join(points, "id").select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "component", "n", "vector", "own")
     pairs = placed.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_tree_join(percent), "a long, b long")
     pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    pairs = written(with_points(pairs).mapInArrow(_bounded(percent), "a long, b long"), "bounded")
     more = _verified(docs, pairs, k, percent)
     final = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.join(final, classes["class_id"] == final["id"], "left").select("n", "d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))

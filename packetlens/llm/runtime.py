@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the white space that separates words, as a regular expression class.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Tables of at most so many short rows are broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 1_000_000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -44,6 +47,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` of a few numbers each, to be broadcast if a count shows that they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
