@@ -281,8 +281,8 @@ def similar(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     links = _verified(docs, tried, k, percent)
     joined = components(links)
 
-    # Blocks of several components: every pair that bounds allow between them.
-    placed = blocks.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # Blocks of several components: every pair that bounds allow between them. Pairs with the center have been tried.
+    placed = blocks.where("members > 2 AND id != center").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and hi is not null").select("key")
     chunks = F.ceil(F.col("members") / BLOCK)
     placed = placed.join(open_, "key", "left_semi").withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
