@@ -8,16 +8,24 @@ from pyspark.sql import types as T
 
 from packetlens.functions import vocab as V
 
-SPANS = T.StructType.fromDDL("case_id string, page int, ord long, text string, x0 double, y0 double, x1 double, y1 double, size double, color int, source string")
-PAGES = T.StructType.fromDDL("case_id string, page int, width double, height double, text string")
-IMAGES = T.StructType.fromDDL("case_id string, page int, img_no int, width int, height int, channels int, content binary")
-WORDS = T.StructType.fromDDL(
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "binary": T.BinaryType(), "decimal(6.2)": T.DecimalType(6, 2)}
+
+
+def _schema(fields: str) -> T.StructType:
+    """A schema from ``name kind`` pairs, without a running session."""
+    return T.StructType([T.StructField(n, _KINDS[k], True) for n, k in (f.split() for f in fields.split(", "))])
+
+
+SPANS = _schema("case_id string, page int, ord long, text string, x0 double, y0 double, x1 double, y1 double, size double, color int, source string")
+PAGES = _schema("case_id string, page int, width double, height double, text string")
+IMAGES = _schema("case_id string, page int, img_no int, width int, height int, channels int, content binary")
+WORDS = _schema(
     "case_id string, source string, page_num string, block_num string, par_num string, line_num string, left string, top string, width string, height string, conf string, text string"
 )
-OCR_PAGES = T.StructType.fromDDL("case_id string, page int, variant string, text string, confidence double")
-CANDIDATES = T.StructType.fromDDL("case_id string, field string, rank decimal(6,2), value string, source string, at long")
+OCR_PAGES = _schema("case_id string, page int, variant string, text string, confidence double")
+CANDIDATES = _schema("case_id string, field string, rank decimal(6.2), value string, source string, at long")
 RECORDS = T.StructType([T.StructField(f, T.DoubleType() if f == "confidence" else T.StringType(), True) for f in V.RECORD_FIELDS])
-TRUTH = T.StructType.fromDDL("case_id string, adjudication string, risk_flags string, fee_status string, visa_class string, sponsor_id string, species_code string, home_world string")
+TRUTH = _schema("case_id string, adjudication string, risk_flags string, fee_status string, visa_class string, sponsor_id string, species_code string, home_world string")
 
 
 def packets(spark: SparkSession, folder: str) -> DataFrame:
