@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
 from .tokens import Piece, gram_hash, grams, mix64, pieces
 
 SHINGLE = 5
@@ -173,6 +174,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> Dat
     items that share an item_id give their best window. Repeated documents give
     repeated rows. Empty tables give an empty result.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, similarity double, start long"
     out = None
@@ -194,6 +196,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> Dat
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of ``documents``, all columns, none of whose windows repeats an item (see ``leaks``)."""
+    small_batches(documents.sparkSession)
     at = [c.lower() for c in documents.columns].index("text")
     for index in _indexes(benchmark):
 

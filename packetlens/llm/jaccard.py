@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .counttree import LEAF, CountTree, count_vector, fold, n_groups, packed, passes, unpacked
-from .runtime import few, written
+from .runtime import few, small_batches, written
 from .tokens import Piece, gram_hash, grams, mix64, pieces
 
 #: A block with more members is joined piece by piece.
@@ -254,6 +254,7 @@ def similar(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     component. Rows that share a doc_id go by their own texts. A null doc_id
     keeps its row, with a null component, and links nothing. An empty table gives an empty result.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     heavy, weight = frequent(docs.where("text is not null"), k, docs.count())
     signed = written(docs.mapInArrow(_signer(k, percent, heavy, weight), "doc_id long, n long, d1 long, d2 long, keys array<long>, vector binary"), "signed")

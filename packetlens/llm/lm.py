@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .runtime import shared_path, spare
+from .runtime import shared_path, small_batches, spare
 from .tokens import Piece, mix64, pieces
 
 #: The token that ends every text; no word has this hash but by chance of 2 ** -64.
@@ -186,6 +186,7 @@ def _dealt(df: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> KneserNey:
     """Counts a model over all rows of ``docs`` (text; null is empty). An empty table gives a model of no words."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     folder = shared_path(spark, "lm")
     parts = 1 << max(2, (2 * texts.rdd.getNumPartitions() - 1).bit_length())

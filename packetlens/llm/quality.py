@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import spare
+from .runtime import small_batches, spare
 from .tokens import Piece, grams, pieces
 
 PASSAGE = 48
@@ -193,6 +193,7 @@ def score(docs: DataFrame, model: AttentionModel, column: str = "score") -> Data
     underscores are put before it.
     """
     name = spare(docs, column)
+    small_batches(docs.sparkSession)
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of at most so many short rows are broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of an Arrow batch, on either side of a worker's pipe; a batch of whole texts takes some megabytes then.
+BATCH_ROWS = 1000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -47,6 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker and its executor hold at once. The session's setting is lowered, never raised."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def few(rows: DataFrame) -> DataFrame:
     """``rows`` of a few numbers each, to be broadcast if a count shows that they are few."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

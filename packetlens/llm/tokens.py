@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A piece holds whole texts of about so many bytes, or one longer text.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
