@@ -7,6 +7,7 @@ line feed ends a line. A missing match is null, not an empty string.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """White space runs as one space, trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -50,8 +56,7 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
 
 def only(values: Column) -> Column:
     """The value if the array has exactly one distinct one."""
-    kinds = F.array_distinct(values)
-    return F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0)))
+    return let(F.array_distinct(values), lambda kinds: F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))))
 
 
 def flag_array(*pairs: tuple[Column, str]) -> Column:
@@ -79,11 +84,17 @@ def is_iso_date(text: Column) -> Column:
 
 def fee(value: Column) -> Column:
     """Fee status of a phrase, or null: a whole word, else the token after a label, by typo table and stems."""
-    folded = fold(value)
-    labelled = F.regexp_extract(folded, EXACT + V.FEE_LABEL + "([a-z]+)", 1)
-    token = F.when(labelled != "", labelled).otherwise(F.regexp_replace(folded, "[^a-z]", ""))
-    stems = reduce(lambda out, s: F.when(F.startswith(token, F.lit(s[0])), s[1]).otherwise(out), reversed(V.FEE_STEMS), F.lit(None).cast("string"))
-    return F.coalesce(capture(folded, r"\b(unpaid|waived|paid|unknown)\b", flags=EXACT), lookup(token, V.FEE_TYPOS), stems)
+
+    def stem(token: Column) -> Column:
+        stems = reduce(lambda out, s: F.when(F.startswith(token, F.lit(s[0])), s[1]).otherwise(out), reversed(V.FEE_STEMS), F.lit(None).cast("string"))
+        return F.coalesce(lookup(token, V.FEE_TYPOS), stems)
+
+    def of(folded: Column) -> Column:
+        labelled = F.nullif(F.regexp_extract(folded, EXACT + V.FEE_LABEL + "([a-z]+)", 1), F.lit(""))
+        token = F.coalesce(labelled, F.regexp_replace(folded, "[^a-z]", ""))
+        return F.coalesce(capture(folded, r"\b(unpaid|waived|paid|unknown)\b", flags=EXACT), let(token, stem))
+
+    return let(fold(value), of)
 
 
 def visa(value: Column) -> Column:
@@ -105,16 +116,21 @@ _NAME_BAD = r"\bcut\s+ou[tr]?\b|\[name|\bblank\b|\billegible\b|species\s*code|ho
 
 def name(value: Column) -> Column:
     """A person's name of two to four words, or null."""
+
+    def of_tokens(text: Column, tokens: Column) -> Column:
+        debris = (F.size(tokens) >= 2) & F.exists(F.slice(tokens, 3, 1_000), lambda t: (F.length(t) <= 2) & ~t.rlike(r"(?U)^\p{L}+$"))
+        good = lambda words: F.size(words).between(2, 4) & F.forall(words, lambda t: t.rlike(r"^[A-Za-z][A-Za-z'-]*$"))
+        first = F.slice(tokens, 1, 2)
+        return F.when(debris, F.when(good(first), F.array_join(first, " "))).when(good(tokens), text)
+
+    def of(text: Column) -> Column:
+        bad = (F.length(text) < 3) | (F.length(text) > 48) | matches(text, r"^is\s+\S") | matches(text, r"\d") | matches(text, _NAME_BAD)
+        tokens = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
+        return F.when(~bad, let(tokens, lambda words: of_tokens(text, words)))
+
     text = collapse(F.btrim(F.btrim(value), F.lit("|:;,-~=")))
     text = F.trim(F.regexp_replace(text, EXACT + r"\s*[|:;=~]+\s*$", ""))
-    text = F.btrim(F.get(F.split(text, ANY + _NAME_STOP, 2), F.lit(0)), F.lit(" |:;,-~="))
-    bad = (F.length(text) < 3) | (F.length(text) > 48) | matches(text, r"^is\s+\S") | matches(text, r"\d") | matches(text, _NAME_BAD)
-    tokens = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
-    debris = F.exists(F.slice(tokens, 3, 1_000), lambda t: (F.length(t) <= 2) & ~t.rlike(r"(?U)^\p{L}+$"))
-    kept = F.when((F.size(tokens) >= 2) & debris, F.slice(tokens, 1, 2)).otherwise(tokens)
-    good = F.size(kept).between(2, 4) & F.forall(kept, lambda t: t.rlike(r"^[A-Za-z][A-Za-z'-]*$"))
-    text = F.when((F.size(tokens) >= 2) & debris, F.array_join(kept, " ")).otherwise(text)
-    return F.when(~bad & good, text)
+    return let(F.btrim(F.get(F.split(text, ANY + _NAME_STOP, 2), F.lit(0)), F.lit(" |:;,-~=")), of)
 
 
 def admissible(field: Column, value: Column) -> Column:
@@ -142,14 +158,13 @@ def canonical(field: Column, value: Column) -> Column:
 def flags(text: Column) -> Column:
     """Risk flags that a text names, misreadings repaired."""
     folded = F.translate(fold(text), "- ", "__")
-    exact = [(F.contains(folded, F.lit(f)), f) for f in V.RISK_FLAGS]
-    return flag_array(*exact, *((matches(text, p), f) for p, f in V.FLAG_REPAIRS))
+    return let(folded, lambda x: flag_array(*((F.contains(x, F.lit(f)), f) for f in V.RISK_FLAGS), *((matches(text, p), f) for p, f in V.FLAG_REPAIRS)))
 
 
 def layout_flags(text: Column) -> Column:
     """Risk flags as whole tokens of layout text."""
     tokens = F.concat(F.lit("_"), F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_")), F.lit("_"))
-    return flag_array(*((F.contains(tokens, F.lit(f"_{f}_")), f) for f in V.RISK_FLAGS))
+    return let(tokens, lambda x: flag_array(*((F.contains(x, F.lit(f"_{f}_")), f) for f in V.RISK_FLAGS)))
 
 
 def payload_flags(text: Column) -> Column:
@@ -211,9 +226,12 @@ def decoy_span(text: Column) -> Column:
 
 
 def trusted_line(line: Column) -> Column:
-    folded = fold(line)
-    prefixed = any_of(*(F.startswith(folded, F.lit(p)) for p in ("system:", "assistant:", "answer key", "user:")))
-    return (folded != "") & ~prefixed & ~(F.contains(folded, F.lit("adjudication=")) & F.contains(folded, F.lit("risk_flags=")))
+
+    def of(folded: Column) -> Column:
+        prefixed = any_of(*(F.startswith(folded, F.lit(p)) for p in ("system:", "assistant:", "answer key", "user:")))
+        return (folded != "") & ~prefixed & ~(F.contains(folded, F.lit("adjudication=")) & F.contains(folded, F.lit("risk_flags=")))
+
+    return let(fold(line), of)
 
 
 def clean_line(line: Column, prefix: str = "CASE") -> Column:
@@ -282,7 +300,7 @@ def applicant_names(text: Column) -> Column:
 
 
 def registry_matches(text: Column) -> Column:
-    return (F.size(registry_names(text)) == 1) & (registry_names(text) == applicant_names(text))
+    return let(registry_names(text), lambda x: (F.size(x) == 1) & (x == applicant_names(text)))
 
 
 def layout_visas(text: Column) -> Column:

@@ -84,7 +84,9 @@ def sponsor_tokens(text: Column) -> Column:
     before = lambda i: F.when(i > 1, F.substring(text, i - 1, F.lit(1))).otherwise(F.lit(" "))
     around = lambda i: F.concat(before(i), F.substring(text, i, F.lit(9)))
     token = lambda i: F.regexp_extract(around(i), r"(?iU)^\W(SPN[- ]?\d{4})(?:\W|$)", 1)
-    positions = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: token(i) != "")
+    # Places of the letters first: that is cheaper than a pattern at every place.
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.upper(F.substring(text, i, F.lit(3))) == "SPN")
+    positions = F.filter(places, lambda i: token(i) != "")
 
     def clean(i: Column) -> Column:
         begin = F.greatest(F.lit(1), i - 48)
@@ -114,6 +116,13 @@ def _row(field: Column | str, rank: Column, value: Column, source: Column | str,
     return F.struct(lit(field).alias("field"), rank.cast(RANK).alias("rank"), value.alias("value"), lit(source).alias("source"), *(lit(a).cast("int").alias(f"at{i}") for i, a in enumerate(at)))
 
 
+def _kept(rows: list[Column]) -> Column:
+    """The rows that have an admissible value, which is put in canonical form: all inside the array, so each value is judged once."""
+    there = F.filter(F.array(*rows), lambda c: c["field"].isNotNull() & c["value"].isNotNull())
+    judged = F.transform(there, lambda c: c.withField("value", T.canonical(c["field"], c["value"])))
+    return F.filter(judged, lambda c: c["value"].isNotNull())
+
+
 def span_candidates(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """Candidates that single spans give."""
     keys = ["case_id", "page"]
@@ -122,8 +131,8 @@ def span_candidates(spans: DataFrame, pages: DataFrame) -> DataFrame:
     ocr = F.startswith("source", F.lit("ocr:"))
     rank = F.col("page_rank").cast(RANK) + F.when(ocr, _dec(V.OCR_OFFSET)).otherwise(_dec("0"))
     cells = right_cells(spans, label_of(text).isNotNull() & ~is_correction(text)).withColumnRenamed("value", "cell")
-    known = known.join(cells, [*keys, "ord"], "left").withColumn("rank", rank)
-    plain = ~is_correction(text)
+    known = known.join(cells, [*keys, "ord"], "left").withColumns({"rank": rank, "plain": ~is_correction(text)})
+    plain = F.col("plain")
     fields = list(V.LABELS)
     cell = F.when(~F.contains(T.fold(F.col("cell")), F.lit("sample denial")), F.col("cell"))
     named, corrected = correction(text)
@@ -135,7 +144,7 @@ def span_candidates(spans: DataFrame, pages: DataFrame) -> DataFrame:
         _row("sponsor_id", F.col("rank"), attested_sponsor(text), "sponsor_attestation", 5, 0),
         _row("declared_purpose", F.col("rank"), expected_purpose(text), "sponsor_attestation", 6, 0),
     ]
-    return known.select(*keys, "ord", F.explode(F.array(*rows)).alias("c")).select(*keys, "ord", "c.*").where("field is not null and value is not null")
+    return known.select(*keys, "ord", F.explode(_kept(rows)).alias("c")).select(*keys, "ord", "c.*")
 
 
 def page_candidates(pages: DataFrame) -> DataFrame:
@@ -156,7 +165,7 @@ def page_candidates(pages: DataFrame) -> DataFrame:
         _row("waiver_code", off(V.RECEIPT_OFFSET), paper["code"], "receipt_waiver_code", 14, 0),
         _row("fee_status", off(V.RECEIPT_FALLBACK_OFFSET), paper["fallback"], "receipt_amount_fallback", 15, 0),
     ]
-    return pages.select("case_id", "page", F.lit(LAST).alias("ord"), F.explode(F.array(*rows)).alias("c")).select("case_id", "page", "ord", "c.*").where("value is not null")
+    return pages.select("case_id", "page", F.lit(LAST).alias("ord"), F.explode(_kept(rows)).alias("c")).select("case_id", "page", "ord", "c.*")
 
 
 def candidates(spans: DataFrame) -> DataFrame:
@@ -165,7 +174,6 @@ def candidates(spans: DataFrame) -> DataFrame:
     # Pages of the text layer come before those that only OCR has.
     late = pages.select("case_id", "page", F.col("ocr_only").cast("int").alias("late"))
     found = span_candidates(spans, pages).unionByName(page_candidates(pages))
-    found = found.withColumn("value", T.canonical(F.col("field"), F.col("value"))).where("value is not null")
     return found.join(late, ["case_id", "page"]).select("case_id", "field", "rank", "value", "source", F.struct("late", "page", "ord", "at0", "at1").alias("at"))
 
 

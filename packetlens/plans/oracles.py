@@ -330,6 +330,27 @@ ORACLES: dict[str, str] = {
     "rapid_parse": over(
         "ocr_texts", f"SELECT case_id, {D.rapid_fee('text')} AS fee_status, {D.rapid_visa('text')} AS visa_class, {D.pipes(D.flags('text'))} AS risk_flags, {D.cleared('text')} AS cleared FROM ocr_texts WHERE stage = 'rapid'"
     ),
+    "gap_fill_merge": over(
+        ("wide", "ocr_texts"),
+        "SELECT case_id, CASE WHEN uf THEN rf ELSE fee_status END AS fee_status, CASE WHEN uf THEN 'rapidocr' ELSE fee_status_source END AS fee_status_source, CASE WHEN uv THEN rv ELSE visa_class END AS visa_class, "
+        "CASE WHEN uv THEN 'rapidocr' ELSE visa_class_source END AS visa_class_source, CASE WHEN fl OR cl2 THEN 'resolved' ELSE risk_state END AS risk_state, CASE WHEN fl THEN array_to_string(af, '|') WHEN cl2 THEN 'none' ELSE risk_value END AS risk_value, "
+        "CASE WHEN fl OR cl2 THEN 'rapidocr' ELSE risk_source END AS risk_source, CASE WHEN fl THEN array_to_string(af, '|') WHEN cl2 THEN 'none' ELSE risk_flags END AS risk_flags FROM (SELECT *, open_ AND cl AND len(af) = 0 AS cl2 FROM m)",
+        f"{_W}, j AS (SELECT w.*, CASE WHEN 'unknown' IN (fee_status_state, visa_class_state, risk_state) THEN o.text END AS t FROM w JOIN ocr_texts o ON w.case_id = o.case_id AND o.stage = 'rapid'), "
+        f"pa AS (SELECT *, {D.rapid_fee('t')} AS rf, {D.rapid_visa('t')} AS rv, {D.flags('t')} AS f2, {D.cleared('t')} AS cl, risk_state = 'unknown' AS open_ FROM j), "
+        "m AS (SELECT *, fee_status_state = 'unknown' AND rf IS NOT NULL AND coalesce(fee_status_source, '') <> 'text_layer' AS uf, visa_class_state = 'unknown' AND rv IS NOT NULL AND coalesce(visa_class_source, '') <> 'text_layer' AS uv, "
+        "open_ AND len(f2) > 0 AS fl, CASE WHEN open_ AND len(f2) > 0 THEN list_sort(list_distinct(list_concat(flags, f2))) ELSE flags END AS af FROM pa)",
+    ),
+    "fee_boost_merge": over(
+        ("wide", "ocr_texts"),
+        "SELECT case_id, coalesce(x, fee_status) AS fee_status, CASE WHEN x IS NOT NULL THEN 'resolved' ELSE fee_status_state END AS fee_status_state, CASE WHEN x IS NOT NULL THEN 'rapidocr' ELSE fee_status_source END AS fee_status_source FROM m",
+        f"m AS (SELECT w.*, CASE WHEN fee_status_state = 'unknown' OR lower(fee_status) = 'unknown' THEN coalesce({D.rapid_fee('o.text')}, {D.layout_fee('o.text')}) END AS x FROM wide w JOIN ocr_texts o ON w.case_id = o.case_id AND o.stage = 'boost')",
+    ),
+    "forensic_merge": over(
+        ("wide", "ocr_texts"),
+        "SELECT case_id, CASE WHEN fl OR cl THEN 'resolved' ELSE risk_state END AS risk_state, CASE WHEN fl THEN array_to_string(f2, '|') WHEN cl THEN 'none' ELSE risk_value END AS risk_value, CASE WHEN fl OR cl THEN 'forensic_ocr' ELSE risk_source END AS risk_source, "
+        "CASE WHEN fl THEN array_to_string(f2, '|') WHEN cl THEN 'none' ELSE risk_flags END AS risk_flags FROM (SELECT *, risk_state = 'unknown' AND len(f2) > 0 AS fl, risk_state = 'unknown' AND len(f2) = 0 AND c0 AS cl FROM m)",
+        f"m AS (SELECT w.*, {D.flags('o.text')} AS f2, {D.cleared('o.text')} AS c0 FROM wide w JOIN ocr_texts o ON w.case_id = o.case_id AND o.stage = 'forensic')",
+    ),
     **{f"repair_{f}": _repair(f) for f in _PICKS},
     "decide_packets": over("wide", "SELECT case_id, adjudication, confidence, reason FROM d", f"{_W}, {_DECIDE.replace('{source}', 'w')}"),
     "clean_packet_gate": over("wide", "SELECT case_id, adjudication, confidence, gate, risk_source FROM c", f"{_W}, {_DECIDE.replace('{source}', 'w')}, {_CLEAN}"),
