@@ -152,6 +152,24 @@ def test_html(spark) -> None:
     assert out.count() == len(rows) and html.main_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body class='has-sidebar'><div class='page with-sidebar'><main><p>in</p></main><div class=sidebar>out</div></div>", "in"),
+        ("<article><header class=entry-header><h1>Title</h1></header><p>in</p><footer>tags</footer></article>", "Title in"),
+        ("<div id=header>top</div><main>in<ul class='comment-list'><li>no</li></ul><p>also</main>", "in also"),
+        ("<article>in</article><div class=related><article>teaser</article></div>", "in"),
+        ("<article class=comment>no</article><article>in</article>", "in"),
+        ("<p>a<script>if (x < y) '</p>'</script>b<style>c</style><!-- <p>d --><p>e &lt;p&gt; &nbsp; f", "ab e <p> f"),
+        ("<article><p>a</p><div hidden>b</div><div role=alert>c</div><span class='ad'>d</span>e<svg><text>f</text></svg></article>", "a e"),
+        ("<textarea>no</textarea><title>no</title>yes < no tag", "yes < no tag"),
+        ("<article>a<![CDATA[b<c]]>d<? php ?>e<br/>f</article>tail", "ab<cde f"),
+    ],
+)
+def test_blocks(page, text) -> None:
+    assert html.extract([page]) == [text]
+
+
 def test_suffixes_find_every_long_repeat() -> None:
     r = random.Random(3)
     n = 400
