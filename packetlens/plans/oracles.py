@@ -361,7 +361,7 @@ ORACLES: dict[str, str] = {
         f"{_W}, {_PROOF}, {_REPAIRED}, {_DECIDE.replace('{source}', 'rp')}, {_CLEAN}, {_CONS.replace('{source}', 'c')}",
     ),
     "packet_slice": over("packets", "SELECT case_id, visa_class FROM packets ORDER BY case_id LIMIT 500 OFFSET 100"),
-    "case_list_join": over("packets", "SELECT pos, case_id, visa_class, fee_status FROM packets JOIN (SELECT o_orderkey AS ok, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos FROM orders) x ON k = ok"),
+    "case_list_join": over("packets", "SELECT pos, case_id, visa_class, fee_status FROM packets JOIN (SELECT o_orderkey AS ok, 1000000000000 - o_orderkey AS pos FROM orders) x ON k = ok"),
     "pure_miss_ids": over(
         "predictions",
         "SELECT t.case_id FROM truth t JOIN predictions p ON t.case_id = p.case_id WHERE t.adjudication = 'APPROVED' AND p.adjudication = 'NEEDS_REVIEW' AND "
