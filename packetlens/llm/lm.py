@@ -33,6 +33,8 @@ END = np.uint64(0xE17A1465B0C4D1B9)
 BUFFER = 4_000_000
 #: Contexts with more than this share of a part's tokens are spread over SPREAD parts.
 SPREAD = 64
+#: Parts are twice the input's partitions, up to this power of two: a task sends a table to each.
+MAX_PART_BITS = 14
 
 
 def tokens_of(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +191,7 @@ def train(docs: DataFrame) -> KneserNey:
     small_batches(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     folder = shared_path(spark, "lm")
-    parts = 1 << max(2, (2 * texts.rdd.getNumPartitions() - 1).bit_length())
+    parts = 1 << min(MAX_PART_BITS, max(2, (2 * texts.rdd.getNumPartitions() - 1).bit_length()))
     model = KneserNey(folder, parts, np.zeros(parts + 1, np.int64), 0, np.zeros(4), np.zeros(4), 0, (0, 0, 0))
 
     def words(piece: Piece) -> list[np.ndarray]:
