@@ -44,6 +44,83 @@ FROM marked GROUP BY conv_id
 """
 
 
+def _op4_sql() -> str:
+    """The URL filter in DuckDB SQL, a group of CTEs for each level of the tree."""
+    rules = sorted(URL_RULES, key=lambda r: (-len(r.text), r.text))
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in rules) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in rules) + " END"
+    value = urlfilter.VALUE.replace("'", "''")
+    ctes = [
+        "u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, "
+        "coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages)",
+        f"paths AS (SELECT host, path, count(*) AS pages, {rule} AS rule, {verdict} AS by_rule FROM u GROUP BY ALL)",
+        "f0 AS (SELECT *, CASE WHEN rule IS NULL THEN 0 ELSE pages END AS known, CASE WHEN by_rule = 'block' THEN pages ELSE 0 END AS blocked, "
+        "list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, '' AS template, '' AS shape FROM paths)",
+    ]
+    for d in range(urlfilter.DEPTH):
+        ctes += [
+            f"c{d} AS (SELECT host, template, segs[{d + 1}] AS seg, sum(pages) AS own FROM f{d} WHERE len(segs) > {d} GROUP BY ALL)",
+            f"p{d} AS (SELECT host, template, count(*) AS children, sum(own) AS total FROM c{d} GROUP BY ALL)",
+            f"m{d} AS (SELECT c.host, c.template, seg, CASE WHEN regexp_matches(seg, '{value}') OR (children > {urlfilter.CHILDREN} AND own < {urlfilter.RARE} * total) THEN '*' ELSE seg END AS part "
+            f"FROM c{d} c JOIN p{d} p ON c.host = p.host AND c.template = p.template)",
+            f"f{d + 1} AS (SELECT f.* REPLACE (CASE WHEN part IS NULL THEN f.template ELSE f.template || '/' || part END AS template, "
+            f"CASE WHEN part IS NULL THEN shape WHEN part = '*' THEN shape || '/*' ELSE shape || '/+' END AS shape) "
+            f"FROM f{d} f LEFT JOIN m{d} m ON f.host = m.host AND f.template = m.template AND f.segs[{d + 1}] = m.seg)",
+        ]
+    last = f"f{urlfilter.DEPTH}"
+    ctes += [
+        f"f AS (SELECT * REPLACE (CASE WHEN len(segs) > {urlfilter.DEPTH} THEN template || '/**' ELSE template END AS template) FROM {last})",
+        "leaf AS (SELECT host, shape, template, sum(known)::BIGINT AS known, sum(blocked)::BIGINT AS blocked FROM f GROUP BY ALL)",
+        "pool AS (SELECT host, shape, sum(known)::BIGINT AS k, sum(blocked)::BIGINT AS b FROM leaf GROUP BY ALL)",
+        "both_ AS (SELECT leaf.*, k, b, coalesce(CASE WHEN known > 0 AND k - known > 0 THEN abs(blocked / known - (b - blocked) / (k - known)) "
+        f"<= {urlfilter.SAME} * sqrt((b / k) * (1 - b / k) * (1 / known + 1 / (k - known))) ELSE false END, false) AS like_ FROM leaf JOIN pool ON leaf.host = pool.host AND leaf.shape = pool.shape)",
+        "merged AS (SELECT host, shape, sum(known)::BIGINT AS mk, sum(blocked)::BIGINT AS mb FROM both_ WHERE like_ GROUP BY ALL)",
+        "q AS (SELECT both_.*, CASE WHEN like_ THEN mk ELSE known END AS n, CASE WHEN like_ THEN mb ELSE blocked END AS bad FROM both_ LEFT JOIN merged ON both_.host = merged.host AND both_.shape = merged.shape)",
+        f"j AS (SELECT host, template, (bad + {urlfilter.PRIOR}::DOUBLE * o) / (n + {urlfilter.PRIOR}::DOUBLE) AS purity, n FROM q, (SELECT coalesce(sum(blocked) / nullif(sum(known), 0), 0)::DOUBLE AS o FROM leaf) x)",
+    ]
+    return (
+        f"WITH {', '.join(ctes)} SELECT page_id, u.host, u.path, f.rule, coalesce(by_rule, CASE WHEN n > 0 AND purity >= {urlfilter.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, f.template, purity "
+        "FROM u JOIN f ON u.host = f.host AND u.path = f.path JOIN j ON f.host = j.host AND f.template = j.template"
+    )
+
+
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS same FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(min(d.doc_id) OVER (PARTITION BY coalesce(n.same, cast(d.doc_id AS varchar))), d.doc_id) AS class_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
+"""
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+dg AS (
+  SELECT doc_id, unnest(range(0, len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS g FROM d WHERE len(w) >= 5),
+ig AS (
+  SELECT item_id, size, g, count(*) AS times FROM (
+    SELECT item_id, len(w) AS size, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS g FROM i WHERE len(w) >= 5) GROUP BY ALL),
+c AS (SELECT DISTINCT doc_id, item_id, size FROM dg JOIN ig USING (g)),
+win AS (SELECT doc_id, item_id, size, least(size, len(w)) - 4 AS wide, unnest(range(0, greatest(len(w) - size, 0) + 1)) AS s FROM c JOIN d USING (doc_id)),
+hit AS (
+  SELECT win.doc_id, win.item_id, s, win.size, wide, least(count(*), any_value(times)) AS both_
+  FROM win JOIN dg ON win.doc_id = dg.doc_id AND pos BETWEEN s AND s + wide - 1 JOIN ig ON ig.item_id = win.item_id AND ig.g = dg.g
+  GROUP BY win.doc_id, win.item_id, s, win.size, wide, dg.g),
+sim AS (SELECT doc_id, item_id, s, sum(both_)::DOUBLE / (wide + size - 4 - sum(both_))::DOUBLE AS similarity FROM hit GROUP BY doc_id, item_id, s, size, wide)
+SELECT doc_id, item_id, similarity, cast(s AS bigint) AS start
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS k FROM sim WHERE similarity >= 0.8) WHERE k = 1
+"""
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
@@ -112,5 +189,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
+    "op2_ngram_jaccard": OP2_SQL,
+    "op7_decontaminate": OP7_SQL,  # every item of the table has five words or more
+    "op4_url_filter": _op4_sql(),
     "op5_line_dedup": linededup.SQL.format(docs="documents", columns="d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed"),
 }

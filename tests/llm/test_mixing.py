@@ -126,12 +126,12 @@ def test_stage_edges(spark, sf) -> None:
         assert stage(spark, docs.drop("size").limit(0), sf).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_chat_format", "op5_line_dedup"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf, name) -> None:
     import duckdb
 
     connection = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages", "benchmark"):
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = queries.QUERIES[name](spark, sf)
     wanted = connection.sql(queries.ORACLES[name])
