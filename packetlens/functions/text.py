@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import patterns as P
 from . import vocab as V
 
 ANY = "(?iUd)"
@@ -76,7 +77,7 @@ def decode_flags(text: Column) -> Column:
 
 
 def is_iso_date(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & (text >= "0001-01-01") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
+    return F.coalesce(text.rlike(P.ISO_DAY) & (text >= "0001-01-01") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
 # Canonical values
@@ -92,7 +93,7 @@ def fee(value: Column) -> Column:
     def of(folded: Column) -> Column:
         labelled = F.nullif(F.regexp_extract(folded, EXACT + V.FEE_LABEL + "([a-z]+)", 1), F.lit(""))
         token = F.coalesce(labelled, F.regexp_replace(folded, "[^a-z]", ""))
-        return F.coalesce(capture(folded, r"\b(unpaid|waived|paid|unknown)\b", flags=EXACT), let(token, stem))
+        return F.coalesce(capture(folded, P.FEE_WORD, flags=EXACT), let(token, stem))
 
     return let(fold(value), of)
 
@@ -105,13 +106,11 @@ def visa(value: Column) -> Column:
 def date(value: Column) -> Column:
     """The first date-like token as ISO, if it is a real day and no marker says that it can't be read."""
     marked = any_of(*(F.contains(fold(value), F.lit(m)) for m in ("blank", "cut out", "illegible", "obscured", "unreadable")))
-    shape = r"(20\d{2})[-./](\d{2})[-./](\d{2})"
+    shape = P.DAY
     iso = F.when(matches(value, shape, EXACT), F.concat_ws("-", *(F.regexp_extract(value, EXACT + shape, i) for i in (1, 2, 3))))
     return F.when(~marked & is_iso_date(iso), iso)
 
 
-_NAME_STOP = r"\b(?:species|home\s*world|visa|sponsor|arrival|declared|passport|registry|sport\s*image)\b"
-_NAME_BAD = r"\bcut\s+ou[tr]?\b|\[name|\bblank\b|\billegible\b|species\s*code|home\s*world|visa\s*class|sponsor|arrival|declared\s*purpose|passport|registry\s*image"
 
 
 def name(value: Column) -> Column:
@@ -119,25 +118,25 @@ def name(value: Column) -> Column:
 
     def of_tokens(text: Column, tokens: Column) -> Column:
         debris = (F.size(tokens) >= 2) & F.exists(F.slice(tokens, 3, 1_000), lambda t: (F.length(t) <= 2) & ~t.rlike(r"(?U)^\p{L}+$"))
-        good = lambda words: F.size(words).between(2, 4) & F.forall(words, lambda t: t.rlike(r"^[A-Za-z][A-Za-z'-]*$"))
+        good = lambda words: F.size(words).between(2, 4) & F.forall(words, lambda t: t.rlike(P.NAME_WORD))
         first = F.slice(tokens, 1, 2)
         return F.when(debris, F.when(good(first), F.array_join(first, " "))).when(good(tokens), text)
 
     def of(text: Column) -> Column:
-        bad = (F.length(text) < 3) | (F.length(text) > 48) | matches(text, r"^is\s+\S") | matches(text, r"\d") | matches(text, _NAME_BAD)
+        bad = (F.length(text) < 3) | (F.length(text) > 48) | matches(text, P.NAME_PROSE) | matches(text, r"\d") | matches(text, P.NAME_BAD)
         tokens = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
         return F.when(~bad, let(tokens, lambda words: of_tokens(text, words)))
 
     text = collapse(F.btrim(F.btrim(value), F.lit("|:;,-~=")))
-    text = F.trim(F.regexp_replace(text, EXACT + r"\s*[|:;=~]+\s*$", ""))
-    return let(F.btrim(F.get(F.split(text, ANY + _NAME_STOP, 2), F.lit(0)), F.lit(" |:;,-~=")), of)
+    text = F.trim(F.regexp_replace(text, EXACT + P.NAME_TAIL, ""))
+    return let(F.btrim(F.get(F.split(text, ANY + P.NAME_STOP, 2), F.lit(0)), F.lit(" |:;,-~=")), of)
 
 
 def admissible(field: Column, value: Column) -> Column:
     """Whether a value may stand as evidence of a field."""
     folded = fold(value)
     marked = any_of(*(F.contains(folded, F.lit(m)) for m in ("blank", "cut out", "illegible", "obscured", "redacted")))
-    other = ~marked & (folded != "unknown") & (folded != "") & ((field != "sponsor_id") | matches(F.trim(value), r"^SPN[- ]?\d{4}$"))
+    other = ~marked & (folded != "unknown") & (folded != "") & ((field != "sponsor_id") | matches(F.trim(value), P.SPONSOR_SHAPE))
     return F.coalesce(F.when(field == "fee_status", fee(value).isNotNull()).when(field == "applicant_name", name(value).isNotNull()).otherwise(other), F.lit(False))
 
 
@@ -169,9 +168,9 @@ def layout_flags(text: Column) -> Column:
 
 def payload_flags(text: Column) -> Column:
     """Flags of every ``observed flags:`` payload; an unreadable one is a flag itself."""
-    payloads = captures(text, r"observed flags?\s*:\s*([^|]+)")
-    own = lambda p: F.when(matches(p, r"\bnone\b") & (F.size(flags(p)) == 0), F.array().cast("array<string>")).otherwise(
-        F.concat(flags(p), F.when(matches(p, r"missing|illegible|obscured|cut\s*out|blank"), F.array(F.lit("illegible_biometrics"))).otherwise(F.array().cast("array<string>")))
+    payloads = captures(text, P.OBSERVED)
+    own = lambda p: F.when(matches(p, P.NONE) & (F.size(flags(p)) == 0), F.array().cast("array<string>")).otherwise(
+        F.concat(flags(p), F.when(matches(p, P.UNREADABLE), F.array(F.lit("illegible_biometrics"))).otherwise(F.array().cast("array<string>")))
     )
     return F.array_sort(F.array_distinct(F.flatten(F.transform(payloads, own))))
 
@@ -179,8 +178,8 @@ def payload_flags(text: Column) -> Column:
 def prose_flags(text: Column) -> Column:
     """Flags that a page says in prose."""
     return flag_array(
-        (matches(text, r"\brescind|prior denial.*crossed|crossed\s*out"), "rescinded_denial"),
-        (matches(text, r"risk\s*panel\s*missing|\[risk[^\]]*missing\]") | matches(text, r"purpose[^\n]{0,20}illegible|\[purpose\s+illegible\]"), "illegible_biometrics"),
+        (matches(text, P.RESCINDED), "rescinded_denial"),
+        (matches(text, P.PANEL_MISSING) | matches(text, P.PURPOSE_ILLEGIBLE), "illegible_biometrics"),
     )
 
 
@@ -190,14 +189,14 @@ def page_flags(text: Column) -> Column:
 
 def finding(text: Column) -> Column:
     """The adjudicator's finding, typos repaired."""
-    said = F.replace(F.upper(capture(text, r"\bfindi?ngs?\s*[.:]\s*(APPROVED|DENIED|DENED|NEEDS[_ ]?REVIEW)\b")), F.lit(" "), F.lit("_"))
+    said = F.replace(F.upper(capture(text, P.FINDING)), F.lit(" "), F.lit("_"))
     return F.when(said == "DENED", "DENIED").when(said == "NEEDSREVIEW", "NEEDS_REVIEW").otherwise(said)
 
 
 def cleared(text: Column) -> Column:
     """Whether a text says that there are no risk flags."""
     return F.coalesce(
-        matches(text, r"observed flags?\s*:\s*none\b|\brisk flags?\s*:\s*none\b|observed flags?\s*[:=]\s*\[\s*none\s*\]|\b(?:served|erved|bserved)\s+flags?\s*:\s*none\b"),
+        matches(text, P.CLEARED),
         F.lit(False),
     )
 
@@ -237,7 +236,7 @@ def trusted_line(line: Column) -> Column:
 def clean_line(line: Column, prefix: str = "CASE") -> Column:
     """``trusted_line``, and neither an answer-key note nor a row of answers."""
     rows = rf"{re.escape(prefix)}-\d{{6}},.*,(APPROVED|DENIED|NEEDS_REVIEW)"
-    return trusted_line(line) & ~matches(fold(line), r"answer\s+key\s+only\s*:", EXACT) & ~matches(line, rows, EXACT)
+    return trusted_line(line) & ~matches(fold(line), P.ANSWER_KEY, EXACT) & ~matches(line, rows, EXACT)
 
 
 def substantive_line(line: Column) -> Column:
@@ -266,37 +265,37 @@ def footer_only(text: Column) -> Column:
 
 
 def fee_proven(text: Column) -> Column:
-    return F.coalesce(matches(text, r"Amount\s*\$?\s*809(?:[.,]00)?\b|Amount\s*\$\s*8[O0]9(?:[.,]00)?\b|\$\s*8[O0]9(?:[.,]00)?\b"), F.lit(False))
+    return F.coalesce(matches(text, P.FEE_PROVEN), F.lit(False))
 
 
 def layout_fee(text: Column) -> Column:
     """Fee status that receipt lines prove, or null."""
-    zero = matches(text, r"Amount\s*\$?\s*0(?:[.,]00)?\b")
-    waiver = matches(text, r"DIP[\s\-]?WAIVER") | matches(text, r"Waiver\s+Code\s*:?\s*(?!N/?A\b)\S+")
+    zero = matches(text, P.ZERO_AMOUNT)
+    waiver = matches(text, P.DIP_WAIVER) | matches(text, P.WAIVER_CODE)
     return (
-        F.when(fee_proven(text) | matches(text, r"Fee\s+Status\s*:?\s*paid\b"), "paid")
-        .when((zero & waiver) | matches(text, r"Fee\s+Status\s*:?\s*waived\b"), "waived")
+        F.when(fee_proven(text) | matches(text, P.PAID_STATUS), "paid")
+        .when((zero & waiver) | matches(text, P.WAIVED_STATUS), "waived")
     )
 
 
 def person(raw: Column) -> Column:
     """First two capitalised words of a raw name, or null."""
-    cut = F.trim(F.get(F.split(collapse(raw), EXACT + r"\s{2,}|\s+PASSPORT|\s+CASE|\s+SPN|\s+is\b"), F.lit(0)))
+    cut = F.trim(F.get(F.split(collapse(raw), EXACT + P.PERSON_CUT), F.lit(0)))
     parts = F.slice(F.split(cut, r"(?U)\s+"), 1, 2)
-    return F.when((F.size(parts) == 2) & F.forall(parts, lambda p: p.rlike(r"^[A-Z][a-z]+$")), F.array_join(parts, " "))
+    return F.when((F.size(parts) == 2) & F.forall(parts, lambda p: p.rlike(P.PERSON_WORD)), F.array_join(parts, " "))
 
 
 def _people(text: Column, label: str) -> Column:
-    raw = captures(text, label + r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", flags=EXACT)
+    raw = captures(text, label + P.PERSON, flags=EXACT)
     return F.array_sort(F.array_distinct(F.filter(F.transform(raw, person), lambda x: x.isNotNull())))
 
 
 def registry_names(text: Column) -> Column:
-    return _people(text, r"Registry\s+Name\s+")
+    return _people(text, P.REGISTRY_LABEL)
 
 
 def applicant_names(text: Column) -> Column:
-    return _people(text, r"Applicant\s*:?\s+")
+    return _people(text, P.APPLICANT_LABEL)
 
 
 def registry_matches(text: Column) -> Column:
@@ -304,29 +303,29 @@ def registry_matches(text: Column) -> Column:
 
 
 def layout_visas(text: Column) -> Column:
-    found = F.transform(captures(text, r"responsibility for class\s+([A-Z0-9\-]+)\s+compliance"), F.upper)
+    found = F.transform(captures(text, P.LAYOUT_VISA), F.upper)
     return F.filter(found, lambda v: v.isin(*(x for x in V.VISAS if x != "TRANSIT-7")))
 
 
 def layout_arrivals(text: Column) -> Column:
-    return captures(text, r"Arrival\s+Date\s+(\d{4}-\d{2}-\d{2})")
+    return captures(text, P.LAYOUT_ARRIVAL)
 
 
 def layout_worlds(text: Column) -> Column:
-    found = F.transform(captures(text, r"Home\s+World\s*[:#]?\s*([A-Za-z][A-Za-z0-9 \-']{1,40})"), collapse)
-    found = F.filter(found, lambda w: (w != "") & ~matches(w, r"visa|sponsor|species|arrival|registry"))
-    cut = F.transform(found, lambda w: F.trim(F.get(F.split(w, ANY + r"\s{2,}|\s+(?:Species|Visa|Sponsor|Arrival|Declared|Fee)\b", 2), F.lit(0))))
+    found = F.transform(captures(text, P.LAYOUT_WORLD), collapse)
+    found = F.filter(found, lambda w: (w != "") & ~matches(w, P.WORLD_BLEED))
+    cut = F.transform(found, lambda w: F.trim(F.get(F.split(w, ANY + P.WORLD_CUT, 2), F.lit(0))))
     return F.filter(cut, lambda w: (w != "") & ~F.lower(w).isin("unknown", "n/a"))
 
 
 def layout_species(text: Column) -> Column:
-    found = captures(text, r"(?:Species\s+(?:Code|Match)|Species)\s*[:#]?\s*([A-Z][A-Z0-9_\-]{3,30})")
+    found = captures(text, P.LAYOUT_SPECIES)
     return F.filter(F.transform(found, F.upper), lambda s: ~s.isin("CODE", "MATCH", "IMAGE"))
 
 
 def attested_purpose(text: Column) -> Column:
     """Purpose of the last attestation that names a known one."""
-    shape = r"attests that [A-Z][a-z]+(?:\s+[A-Z][a-z]+)+ is expected on Earth for ([a-z \n]+?)(?:\.|,|\n\n)"
+    shape = P.ATTESTED_PURPOSE
     known = lambda said: F.coalesce(*(F.when(F.startswith(fold(said), F.lit(p)), p) for p in V.PURPOSES))
     hits = F.filter(F.transform(captures(text, shape), known), lambda x: x.isNotNull())
     return F.try_element_at(hits, F.lit(-1))
@@ -345,20 +344,20 @@ def rapid_fee(text: Column) -> Column:
     """Fee of the first line that tells one, else of the whole text."""
 
     def of_line(line: Column) -> Column:
-        hinted = matches(line, r"fee\s*status|^\s*status\s*:") | matches(line, r"\$\s*809|\$\s*0\.00", EXACT)
+        hinted = matches(line, P.RAPID_STATUS) | matches(line, P.RAPID_SUM, EXACT)
         return F.coalesce(
             F.when(hinted, F.nullif(fee(line), F.lit("unknown"))),
-            F.when(matches(line, r"\$\s*8[O0]?9", EXACT), "paid"),
-            F.when(matches(line, r"\$\s*0\.00", EXACT), "waived"),
+            F.when(matches(line, P.RAPID_PAID, EXACT), "paid"),
+            F.when(matches(line, P.RAPID_ZERO, EXACT), "waived"),
         )
 
     return F.coalesce(F.get(F.filter(F.transform(lines(text), of_line), lambda x: x.isNotNull()), F.lit(0)), F.nullif(fee(text), F.lit("unknown")))
 
 
 def rapid_visa(text: Column) -> Column:
-    of_line = lambda line: visa(capture(line, r"visa\s*class\s*[:=]?\s*([A-Za-z0-9-]{2,12})"))
+    of_line = lambda line: visa(capture(line, P.RAPID_VISA_LINE))
     first = F.get(F.filter(F.transform(lines(text), of_line), lambda x: x.isNotNull()), F.lit(0))
-    return F.coalesce(first, visa(capture(text, r"\b(XW-?[12]|MED-?3|DIP-?1|TRANSIT-?7)\b")))
+    return F.coalesce(first, visa(capture(text, P.RAPID_VISA)))
 
 
 def signals(text: Column) -> dict[str, Column]:
@@ -371,7 +370,7 @@ def signals(text: Column) -> dict[str, Column]:
         (matches(folded, r"illegible\s*biometric|b-13", EXACT), "illegible_biometrics"),
     )
     return {
-        "cleared": matches(text, r"observed flags?\s*:\s*none\b|\brisk flags?\s*:\s*none\b"),
+        "cleared": matches(text, P.SIGNAL_CLEARED),
         "has_b13": F.contains(folded, F.lit("b-13")) | F.contains(folded, F.lit("biometric")),
         "has_registry_clear": matches(folded, r"\bclear\b", EXACT),
         "hard_flag_hints": F.array_join(hints, "|"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetlens.functions import patterns as P
 from packetlens.functions import text as T
 from packetlens.functions import vocab as V
 
@@ -18,14 +19,11 @@ RANK = "decimal(6,2)"
 LAST = 2_000_000_000
 
 _GLUED = {
-    "sponsor_id": r"\s*:?\s*(SPN[- ]?\d{4})\b",
-    "visa_class": r"\s*:?\s*([A-Za-z]+[- ]?\d)\b",
-    "arrival_date": r"\s*:?\s*(20\d{2}[-./]\d{2}[-./]\d{2})\b",
-    "species_code": r"\s*:?\s*([A-Z][A-Z_]+)\b",
+    "sponsor_id": P.GLUED_SPONSOR,
+    "visa_class": P.GLUED_VISA,
+    "arrival_date": P.GLUED_DAY,
+    "species_code": P.GLUED_SPECIES,
 }
-_ATTESTS = r"\bsponsor\s+(SPN[- ]?\d{4})\s+attests\b"
-_PURPOSE = r"\bexpected on earth for\s+([a-z][a-z ]+?)(?:\.|$)"
-_CORRECTION = r"\bmanual correction\s*:\s*(applicant|sponsor|species(?: code)?|home world|visa class|arrival date|declared purpose|fee status)\s+is\s+([^.|]+)"
 
 
 def _dec(value: str) -> Column:
@@ -39,7 +37,7 @@ def label_of(text: Column) -> Column:
 
 
 def is_correction(text: Column) -> Column:
-    return T.matches(text, r"\bmanual correction\s*:")
+    return T.matches(text, P.CORRECTION_LINE)
 
 
 def label_values(text: Column) -> list[tuple[str, int, Column]]:
@@ -52,31 +50,31 @@ def glued_value(text: Column, field: str) -> Column:
     """Value of a form row read as one line, with or without a colon."""
     labels = "|".join(V.LABELS[field])
     if field == "fee_status":
-        pattern = V.FEE_LABEL + r"([A-Za-z]+(?:\s+[A-Za-z])?)\b"
+        pattern = V.FEE_LABEL + P.GLUED_FEE
     else:
-        pattern = rf"(?:{labels})" + _GLUED.get(field, r"\s*:?\s*(.+)$")
+        pattern = rf"(?:{labels})" + _GLUED.get(field, P.GLUED_ANY)
     return T.collapse(T.capture(text, pattern))
 
 
 def correction(text: Column) -> tuple[Column, Column]:
     """Field and value of a manual correction."""
-    return T.lookup(T.fold(T.capture(text, _CORRECTION)), V.CORRECTED), T.collapse(T.capture(text, _CORRECTION, 2))
+    return T.lookup(T.fold(T.capture(text, P.CORRECTION)), V.CORRECTED), T.collapse(T.capture(text, P.CORRECTION, 2))
 
 
 def attested_sponsor(text: Column) -> Column:
-    return T.capture(text, _ATTESTS)
+    return T.capture(text, P.ATTESTS)
 
 
 def expected_purpose(text: Column) -> Column:
-    return T.collapse(T.capture(text, _PURPOSE))
+    return T.collapse(T.capture(text, P.EXPECTED))
 
 
 def attested_applicant(text: Column) -> Column:
-    return T.collapse(T.capture(text, r"\battests that\s+([^.]*)\s+is expected on earth\b"))
+    return T.collapse(T.capture(text, P.ATTESTED_APPLICANT))
 
 
 def attested_visa(text: Column) -> Column:
-    return T.capture(text, r"\bclass\s+([A-Za-z]+[- ]?\d)\s+compliance\b")
+    return T.capture(text, P.ATTESTED_CLASS)
 
 
 def sponsor_tokens(text: Column) -> Column:
@@ -97,17 +95,17 @@ def sponsor_tokens(text: Column) -> Column:
 
 
 def date_tokens(text: Column) -> Column:
-    return T.captures(text, r"\b(20\d{2}[-./]\d{2}[-./]\d{2})\b", flags=T.EXACT)
+    return T.captures(text, P.DAY_TOKEN, flags=T.EXACT)
 
 
 def receipt(text: Column) -> dict[str, Column]:
     """What a receipt says: status by amount and waiver code, status by a zero amount alone, waiver code."""
-    like = T.matches(text, r"\bm[il1]b\s+fe[eag]\s+receipt\b|\bfee\s+receipt\b")
-    gate = like | F.contains(F.lower(text), F.lit("waiver code")) | T.matches(text, r"\$\s*809\b", T.EXACT)
-    amount = T.capture(text, r"\bamount\s*\$?\s*(\d+(?:\.\d{2})?)").try_cast("decimal(20,2)")
-    waiver = F.upper(T.capture(text, r"\bwaiver code\s*[:]?\s*(N/A|[A-Z0-9_-]+)"))
+    like = T.matches(text, P.RECEIPT)
+    gate = like | F.contains(F.lower(text), F.lit("waiver code")) | T.matches(text, P.RECEIPT_SUM, T.EXACT)
+    amount = T.capture(text, P.RECEIPT_AMOUNT).try_cast("decimal(20,2)")
+    waiver = F.upper(T.capture(text, P.RECEIPT_CODE))
     both = F.when((amount == 0) & (waiver != "N/A"), "waived").when((amount > 0) & (waiver == "N/A"), "paid")
-    fallback = F.when(waiver.isNull() & like & T.matches(text, r"\$\s*0(?:\.00)?\b", T.EXACT), "waived")
+    fallback = F.when(waiver.isNull() & like & T.matches(text, P.RECEIPT_ZERO, T.EXACT), "waived")
     return {"status": F.when(gate, both), "fallback": F.when(gate, fallback), "code": F.when(gate & (waiver != "N/A"), waiver)}
 
 
@@ -185,7 +183,7 @@ def case_flags(pages: DataFrame) -> DataFrame:
 def manual_findings(pages: DataFrame) -> DataFrame:
     """(case_id, manual): finding of the last page that has one, on adjudicator pages."""
     text = F.col("text")
-    found = F.when((F.col("rank") == 1) | T.matches(text, r"adjudic|manual finding|\bfindi?ngs?\s*[.:]"), T.finding(text))
+    found = F.when((F.col("rank") == 1) | T.matches(text, P.FINDING_PAGE), T.finding(text))
     late = F.struct(F.col("ocr_only").cast("int"), F.col("page"))
     return pages.withColumn("found", found).where("found is not null").groupBy("case_id").agg(F.max_by("found", late).alias("manual"))
 

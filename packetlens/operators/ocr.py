@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from packetlens.functions import patterns as P
 from packetlens.functions import text as T
 from packetlens.functions import vocab as V
 
@@ -65,7 +66,7 @@ def fee_crop_pages(original: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda r: r["text"]), " ").alias("all"),
         F.bool_or(T.fee(F.col("text")).isNotNull()).alias("readable"),
     )
-    return page.where(T.matches(F.lower("all"), r"fe[eag]\s+receipt|fee\s+stat", T.EXACT) & ~F.col("readable")).select("case_id", "page")
+    return page.where(T.matches(F.lower("all"), P.RECEIPT_TITLE, T.EXACT) & ~F.col("readable")).select("case_id", "page")
 
 
 def band_images(images: DataFrame, side: int = V.BAND_SIDE) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetlens.functions import patterns as P
 from packetlens.functions import text as T
 from packetlens.functions import vocab as V
 
@@ -72,8 +73,8 @@ def species_pick(text: Column) -> Column:
 def sponsor_pick(text: Column) -> Column:
     now = F.col("sponsor_id")
     blank = now.isin("SPN-0000", "unknown", "")
-    attested = T.only(T.captures(text, r"Sponsor\s+(SPN-\d{4})\s+attests"))
-    revoked = T.only(T.captures(text, r"Revoked sponsor:\s*(SPN-\d{4})"))
+    attested = T.only(T.captures(text, P.ATTESTS_ID))
+    revoked = T.only(T.captures(text, P.REVOKED_ID))
     near = now.rlike(r"^SPN-\d{4}$") & (F.left(now, F.lit(7)) == F.left(attested, F.lit(7))) & (now != attested)
     pick = F.coalesce(revoked, F.when(blank | near, attested))
     return F.when(pick.isNotNull() & (_open("sponsor_id") | blank | (weak_source(F.col("sponsor_id_source")) & (now != pick))), pick)
