@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from packetlens.functions import vocab as V
 from packetlens.operators import analysis, decide, driver, fill, ocr, repair, resolve, spans
 from packetlens.operators import candidates as C
-from packetlens.plans import pipeline
+from packetlens.plans import catalog, fixtures, pipeline
 from packetlens.sources import adapters, readers, sinks
 from packetlens.streaming.incremental import adjudicate_stream
 
@@ -250,6 +250,21 @@ def test_pipeline_and_stream(spark, tmp_path) -> None:
     assert readers.records(spark, str(tmp_path / "out/*")).count() == 2
 
 
+def test_hidden_ink_clears_unless_visibility_is_strict(spark) -> None:
+    evidence = spark.createDataFrame(cells(ROWS), SPAN)
+    pages = spark.createDataFrame([("A", 1, "Observed flags: none")], "case_id string, page int, text string")
+    assert decide.emit(pipeline.run(evidence, pages)).first()["adjudication"] == "APPROVED"
+    assert decide.emit(pipeline.run(evidence, pages, strict_visibility=True)).first()["adjudication"] == "NEEDS_REVIEW"
+
+
+def test_no_approval_without_evidence(spark, sf) -> None:
+    decided = decide.gates(decide.decide(repair.repair(catalog.wide(spark, sf)), fixtures.STALE), fixtures.STALE)
+    approved = decided.where("adjudication = 'APPROVED'")
+    by_hand = (F.col("manual") == "APPROVED") & ((F.col("manual_source") == "text_layer") | F.col("page_text").rlike("Finding: APPROVED"))
+    bare = approved.where(~((F.col("risk_state") == "resolved") | F.coalesce(by_hand, F.lit(False)) | F.coalesce(F.col("gate") == "layout_consensus", F.lit(False))))
+    assert approved.count() > 0 and bare.count() == 0
+
+
 VALUE = st.sampled_from(["Ada Quill", "Ada Quil", "ADA QUILL", "Bo Tarn", "Cy"])
 ROW = st.tuples(st.integers(1, 3), VALUE, st.sampled_from(["text_layer", "ocr:original", "manual_correction"]))
 
