@@ -14,6 +14,7 @@ from packetlens.functions import text as T
 from packetlens.functions import vocab as V
 
 from .resolve import RESOLVED, UNKNOWN, normalize_record
+from .stage import sealed
 
 
 def unknown_scalar(value: Column) -> Column:
@@ -27,7 +28,7 @@ def weak_source(source: Column) -> Column:
 def with_proof(packets: DataFrame, name: str = "proof", *extra: str) -> DataFrame:
     """Adds the injection-free text of the layout and of ``extra`` columns, joined by line feeds."""
     parts = [F.col("layout_text"), *(T.strip_injection(F.col(c)) for c in (extra or ("page_text", "all_text")))]
-    return packets.withColumn(name, F.concat_ws("\n", *(F.nullif(p, F.lit("")) for p in parts)))
+    return sealed(packets.withColumn(name, F.concat_ws("\n", *(F.nullif(p, F.lit("")) for p in parts))))
 
 
 def _open(field: str) -> Column:
@@ -121,4 +122,5 @@ def repair(packets: DataFrame) -> DataFrame:
     df = with_proof(packets)
     for field in PICKS:
         df = repair_field(df, field)
+    df = sealed(df)
     return normalize_record(df.drop(*(f"{f}_repaired" for f in PICKS)))
