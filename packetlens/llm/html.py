@@ -2,38 +2,51 @@
 
 A page becomes a stream of blocks, each with the words it shows and what its
 elements say about it: inside the article, inside furniture (menus, headers,
-footers, adverts, forms, comments and so on), or neither. The pages of a host
-are concatenated as token streams, markup included; suffixes sorted by prefix
+footers, adverts, forms, comments and so on), or neither. Pages are
+concatenated as token streams, markup included; suffixes sorted by prefix
 doubling bring equal substrings together, and those of ``LONG`` tokens or more
-that occur on several distinct pages are boilerplate. A page keeps its article,
-without furniture; where no element marks an article, it keeps the unique runs
-that boilerplate doesn't cover.
-
-A host of many pages is cut into parts of about ``PART`` pages, each with a
-suffix array of its own, so its size bounds no task.
+that occur on several distinct pages of a host are boilerplate. A page keeps
+its article, without furniture; where no element marks an article, it keeps the
+unique runs that boilerplate doesn't cover.
+
+Tasks make a suffix array of ``PART`` pages at a time and send each other the
+distinct substrings with how many pages hold them; the sums are those of whole
+hosts. Those on several pages become sorted arrays in the shared folder, which
+workers map when they cut the pages. Pages stay where they are, so a host's
+size bounds no task.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import count
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import few, small_batches, spare, written
+from . import store
+from .lm import BUFFER, MAX_PART_BITS
+from .lm import _dealt as dealt
+from .lm import _gathered as gathered
+from .lm import _sent as sent
+from .runtime import few, shared_path, small_batches, spare, written
+from .tokens import gram_hash
 from .urlfilter import host_of
 
 #: Tokens of the shortest substring that counts as boilerplate, and pages that must show it.
 LONG = 8
 PAGES = 3
+#: Pages of a suffix array.
 PART = 200
-MAX_TASKS = 20_000
+#: A page's weight in sums; copies share it.
+ONE = 1 << 32
+#: Tokens whose hashes a worker remembers.
+HELD = 1_000_000
 
 # Element names of HTML.
 DROPPED = frozenset("script style noscript template svg iframe object canvas textarea select option button head math audio video".split())
@@ -152,17 +165,15 @@ def _close(stack: list[tuple[str, bool, bool]], name: str) -> None:
             return
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, length: int, pages: int) -> np.ndarray:
-    """Tokens covered by a substring of ``length`` or more that ``pages`` distinct pages hold.
+def _windows(tokens: np.ndarray, page: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a substring of ``length`` tokens of one page starts, and its rank: equal ranks are equal substrings.
 
     ``page`` numbers the page of each token; no substring crosses pages. The
-    suffixes are ranked by prefix doubling up to ``length`` tokens; equal ranks
-    are equal substrings.
+    suffixes are ranked by prefix doubling up to ``length`` tokens.
     """
     n = len(tokens)
-    covered = np.zeros(n, bool)
     if n < length:
-        return covered
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     width = 1
     while width < length:
@@ -173,50 +184,191 @@ def repeated(tokens: np.ndarray, page: np.ndarray, length: int, pages: int) -> n
         rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)[1]
         width += step
     starts = np.flatnonzero(page[length - 1 :] == page[: n - length + 1])
-    both = np.unique(rank[starts] * (int(page.max()) + 1) + page[starts])
-    often = np.bincount(both // (int(page.max()) + 1), minlength=int(rank.max()) + 1) >= pages
+    return starts, rank[starts]
+
+
+def _covered(n: int, hit: np.ndarray, length: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
-    hit = starts[often[rank[starts]]]
     np.add.at(edge, hit, 1)
     np.add.at(edge, hit + length, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def repeated(tokens: np.ndarray, page: np.ndarray, length: int, pages: int) -> np.ndarray:
+    """Tokens covered by a substring of ``length`` or more that ``pages`` distinct pages hold."""
+    starts, rank = _windows(tokens, page, length)
+    if not len(starts):
+        return np.zeros(len(tokens), bool)
+    both = np.unique(rank * (int(page.max()) + 1) + page[starts])
+    often = np.bincount(both // (int(page.max()) + 1), minlength=int(rank.max()) + 1) >= pages
+    return _covered(len(tokens), starts[often[rank]], length)
+
+
+class _Hashes(dict):
+    """64-bit hashes of tokens, the same in every worker."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        self[token] = value = int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return value
+
+
+_hashes = _Hashes()
+
+
+@dataclass
+class Stream:
+    """Blocks and token hashes of some pages. ``open`` tells the tokens that repeats may drop."""
+
+    blocks: list[list[tuple[int, str, str]]]
+    tokens: np.ndarray
+    page: np.ndarray
+    open: np.ndarray
+
+    @classmethod
+    def of(cls, pages: list[str]) -> Stream:
+        found = [blocks(p) for p in pages]
+        words: list[str] = []
+        sizes, runs, drops = [], [], []
+        for page in found:
+            before = len(words)
+            marked = any(k == ARTICLE_TEXT for k, _, _ in page)
+            for kind, marks, text in page:
+                said = text.split(" ")
+                tags = re.findall(r"<[^>]+>", marks)
+                words += tags
+                words += said
+                runs += (len(tags), len(said))
+                drops += (False, kind == PLAIN and not marked)
+            sizes.append(len(words) - before)
+        tokens = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+        return cls(found, tokens, np.repeat(np.arange(len(found)), sizes), np.repeat(np.array(drops, bool), runs))
+
+    def at_stake(self, starts: np.ndarray) -> np.ndarray:
+        """Which of the windows that start there hold a token that repeats may drop."""
+        upto = np.concatenate([[0], np.cumsum(self.open)])
+        return upto[starts + LONG] > upto[starts]
+
+    def keys(self, starts: np.ndarray, host: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each window with its host; ``host`` has a number for each page."""
+        return gram_hash([host[self.page[starts]], *(self.tokens[starts + k] for k in range(LONG))])
+
+    def texts(self, gone: np.ndarray) -> list[str]:
+        """Main text of each page; ``gone`` tells the tokens that repeats cover."""
+        gone = gone & self.open
+        out, at = [], 0
+        for page in self.blocks:
+            marked = any(k == ARTICLE_TEXT for k, _, _ in page)
+            kept = []
+            for kind, marks, text in page:
+                at += marks.count("<")
+                said = text.split(" ")
+                hidden = gone[at : at + len(said)]
+                at += len(said)
+                if kind == GONE or kind == PLAIN and marked:
+                    continue
+                if hidden.any():
+                    kept += [w for w, g in zip(said, hidden, strict=True) if not g]
+                else:
+                    kept.append(text)
+            out.append(" ".join(kept))
+        return out
+
+
 def extract(pages: list[str]) -> list[str]:
-    """Main text of each page of one part of a host. Equal pages count as one."""
+    """Main text of each of the pages of a host. Equal pages count as one."""
     kinds = {p: i for i, p in enumerate(dict.fromkeys(pages))}
-    texts = _extract(list(kinds))
+    stream = Stream.of(list(kinds))
+    texts = stream.texts(repeated(stream.tokens, stream.page, LONG, PAGES))
     return [texts[kinds[p]] for p in pages]
 
 
-def _extract(pages: list[str]) -> list[str]:
-    found = [blocks(p) for p in pages]
-    words: list[str] = []
-    sizes = []
-    for page in found:
-        before = len(words)
-        for _, marks, text in page:
-            words += re.findall(r"<[^>]+>", marks)
-            words += text.split(" ")
-        sizes.append(len(words) - before)
-    numbers: dict[str, int] = defaultdict(count().__next__)
-    tokens = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    covered = repeated(tokens, np.repeat(np.arange(len(found)), sizes), LONG, PAGES)
-    out, at = [], 0
-    for page in found:
-        marked = any(k == ARTICLE_TEXT for k, _, _ in page)
-        kept = []
-        for kind, marks, text in page:
-            at += marks.count("<")
-            said = text.split(" ")
-            hidden = covered[at : at + len(said)]
-            at += len(said)
-            if kind == ARTICLE_TEXT:
-                kept.append(text)
-            elif kind == PLAIN and not marked:
-                kept += [w for w, gone in zip(said, hidden, strict=True) if not gone]
-        out.append(" ".join(kept))
-    return out
+def _counts(pages: list[str], host: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Keys of the windows at stake in some pages, and the weight of the pages that hold each; from one suffix array."""
+    stream = Stream.of(pages)
+    starts, rank = _windows(stream.tokens, stream.page, LONG)
+    stake = stream.at_stake(starts)
+    starts, rank = starts[stake], rank[stake]
+    # A window counts once a page.
+    _, first = np.unique(rank * len(pages) + stream.page[starts], return_index=True)
+    starts = starts[first]
+    return store.summed([[stream.keys(starts, host), weight[stream.page[starts]]]])
+
+
+@dataclass
+class Repeats:
+    """Windows that several distinct pages of a host hold, as sorted arrays in the shared folder."""
+
+    folder: str
+    parts: int
+    present: frozenset[int] = frozenset()
+
+    def part_of(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.parts.bit_length() + 1)).astype(np.int64)
+
+    def pages(self, keys: np.ndarray) -> np.ndarray:
+        """How many distinct pages of its host hold each window; 0 if fewer than PAGES."""
+        kinds, at = np.unique(keys, return_inverse=True)
+        out = np.zeros(len(kinds), np.int64)
+        edges = np.searchsorted(self.part_of(kinds), np.arange(self.parts + 1))
+        for p in self.present:
+            a, b = edges[p], edges[p + 1]
+            if a < b:
+                known = store.mapped(self.folder, f"repeats-{p}", "<u8")
+                i = np.minimum(np.searchsorted(known, kinds[a:b]), len(known) - 1)
+                out[a:b] = np.where(known[i] == kinds[a:b], store.mapped(self.folder, f"repeat_pages-{p}", "<u8")[i].astype(np.int64), 0)
+        return out[at]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i in range(0, batch.num_rows, PART):
+        yield batch.slice(i, PART)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _repeats(rows: DataFrame) -> Repeats:
+    """Counts the windows of all hosts. ``rows``: html, number of the host, how many rows show the same page of it."""
+    folder = shared_path(rows.sparkSession, "repeats")
+    parts = 1 << min(MAX_PART_BITS, max(2, (2 * rows.rdd.getNumPartitions() - 1).bit_length()))
+    found = Repeats(folder, parts)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                keys, weights = store.summed(held)
+                held.clear()
+                if len(keys):
+                    yield sent(keys, found.part_of(keys), weights)
+
+        for batch in batches:
+            for piece in _slices(batch):
+                # Copies share the weight of one page, to within half a unit each.
+                weight = np.rint(ONE / _numbers(piece.column(2)).astype(np.float64)).astype(np.uint64)
+                held.append(_counts(piece.column(0).to_pylist(), _numbers(piece.column(1)), weight))
+                n += len(held[-1][0])
+                if n > BUFFER:
+                    yield from flush()
+                    n = 0
+        yield from flush()
+
+    def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (keys, weights) in gathered(batches):
+            pages = (weights + np.uint64(ONE // 2)) // np.uint64(ONE)
+            often = pages >= PAGES
+            if often.any():
+                store.put(folder, f"repeats-{part}", keys[often].astype("<u8"))
+                store.put(folder, f"repeat_pages-{part}", pages[often].astype("<u8"))
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())})
+
+    saved = dealt(rows.mapInArrow(count, "part int, packed binary")).mapInArrow(save, "part int").collect()
+    found.present = frozenset(r["part"] for r in saved)
+    return found
 
 
 def main_text(pages: DataFrame, out: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -227,47 +379,29 @@ def main_text(pages: DataFrame, out: str = "text", n_chars: str = "n_chars") ->
     block becomes one space; blocks are joined by one space in page order.
 
     A null html is empty and gives an empty text. Null urls form a host of
-    their own. Repeated rows count as pages of their own. An empty table gives
-    an empty one.
+    their own. Repeated rows stay, and count as one page. An empty table gives an
+    empty one.
     """
     small_batches(pages.sparkSession)
-    host, part, sizes = spare(pages, "_host"), spare(pages, "_part"), spare(pages, "_size")
+    host, digest, copies = spare(pages, "_host"), spare(pages, "_digest"), spare(pages, "_copies")
     rest = [c for c in pages.columns if c.lower() != "html"]
-    rows = pages.withColumn(host, host_of(F.col("url")))
-    hosts = written(rows.groupBy(host).agg(F.count(F.lit(1)).alias(sizes)), "hosts")
-    # Extraction is work for a processor, so tasks are cut by pages and not by bytes.
-    tasks = min(MAX_TASKS, -(-(hosts.agg(F.sum(sizes)).first()[0] or 1) // (2 * PART)))
-    parts = F.ceil(F.col(sizes) / PART)
-    rows = rows.join(few(hosts), host).withColumn(part, F.pmod(F.xxhash64(*rest), parts)).drop(sizes)
-    rows = rows.repartition(tasks, host, part).sortWithinPartitions(host, part)
-    rows = rows.select(host, part, F.coalesce("html", F.lit("")).alias("html"), *rest)
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.withColumn(host, F.xxhash64(host_of(F.col("url")))).withColumn(digest, F.xxhash64(html, F.length(html)))
+    same = written(rows.groupBy(host, digest).agg(F.count(F.lit(1)).alias(copies)).where(F.col(copies) > 1), "copies")
+    rows = rows.join(few(same), [host, digest], "left").select(html.alias("html"), F.col(host), F.coalesce(copies, F.lit(1)).cast("long").alias(copies), *rest)
+    repeats = _repeats(rows.select("html", host, copies))
     text, chars = spare(pages, out), spare(pages, n_chars)
     schema = rows.select(*rest, F.lit("").alias(text), F.lit(0).cast("long").alias(chars)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in schema.fields]
-        waiting: list[pa.RecordBatch] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if waiting:
-                whole = pa.Table.from_batches(waiting).combine_chunks().to_batches()
-                for batch in whole:
-                    texts = extract(batch.column(2).to_pylist())
-                    yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
-                waiting.clear()
-
-        now = None
         for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            begin = 0
-            for i, key in enumerate(keys):
-                if key != now:
-                    if i > begin:
-                        waiting.append(batch.slice(begin, i - begin))
-                    yield from done()
-                    now, begin = key, i
-            if len(keys) > begin:
-                waiting.append(batch.slice(begin))
-        yield from done()
+            for piece in _slices(batch):
+                stream = Stream.of(piece.column(0).to_pylist())
+                starts = np.flatnonzero(stream.page[LONG - 1 :] == stream.page[: max(0, len(stream.page) - LONG + 1)])
+                starts = starts[stream.at_stake(starts)]
+                often = repeats.pages(stream.keys(starts, _numbers(piece.column(1)))) >= PAGES
+                texts = stream.texts(_covered(len(stream.tokens), starts[often], LONG))
+                yield pa.RecordBatch.from_arrays([*piece.columns[3:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
     return rows.mapInArrow(run, schema)

@@ -152,6 +152,16 @@ def test_html(spark) -> None:
     assert out.count() == len(rows) and html.main_text(frame.limit(0)).count() == 0
 
 
+def test_html_repeats_count_over_a_whole_host(spark) -> None:
+    """A notice on 20 of 2,000 pages of a host, a copied page, and the same notice on two pages of another host."""
+    notice = "<div>sign up here for our weekly letter and all the news</div>"
+    rows = [(i, f"http://big.org/{i}", f"<div>page n{i} says w{i}</div>" + (notice if i % 100 == 0 else "")) for i in range(2000)]
+    rows += [(3000 + i, "http://copies.org/", f"{notice}<p>one") for i in range(500)] + [(4000, "http://copies.org/2", f"{notice}<p>two")]
+    found = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)).collect()}
+    assert len(found) == len(rows) and all(found[i] == f"page n{i} says w{i}" for i in range(2000))
+    assert found[3001] == "sign up here for our weekly letter and all the news one" and found[4000].endswith("news two")
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
