@@ -6,8 +6,9 @@ footers, adverts, forms, comments and so on), or neither. Pages are
 concatenated as token streams, markup included; suffixes sorted by prefix
 doubling bring equal substrings together, and those of ``LONG`` tokens or more
 that occur on several distinct pages of a host are boilerplate. A page keeps
-its article, without furniture; where no element marks an article, it keeps the
-unique runs that boilerplate doesn't cover.
+its article, without furniture and without what a large share of the host's
+pages repeats; where no element marks an article, it keeps the unique runs that
+boilerplate doesn't cover.
 
 Tasks make a suffix array of ``PART`` pages at a time and send each other the
 distinct substrings with how many pages hold them; the sums are those of whole
@@ -22,7 +23,6 @@ import html as entities
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +35,19 @@ from .lm import _dealt as dealt
 from .lm import _gathered as gathered
 from .lm import _sent as sent
 from .runtime import few, shared_path, small_batches, spare, written
-from .tokens import gram_hash
+from .tokens import gram_hash, pieces
 from .urlfilter import host_of
 
 #: Tokens of the shortest substring that counts as boilerplate, and pages that must show it.
 LONG = 8
 PAGES = 3
+#: Share of the host's pages, and pages at least, that must show it inside an article: copies and quotes stay.
+SHARE = 0.5
+ARTICLE_PAGES = 6
 #: Pages of a suffix array.
 PART = 200
 #: A page's weight in sums; copies share it.
 ONE = 1 << 32
-#: Tokens whose hashes a worker remembers.
-HELD = 1_000_000
 
 # Element names of HTML.
 DROPPED = frozenset("script style noscript template svg iframe object canvas textarea select option button head math audio video".split())
@@ -194,56 +195,52 @@ def _covered(n: int, hit: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _pages(rank: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """How many distinct pages hold each window; ``page`` has the page of each."""
+    if not len(rank):
+        return rank
+    n = int(page.max()) + 1
+    both = np.unique(rank * n + page)
+    return np.bincount(both // n, minlength=int(rank.max()) + 1)[rank]
+
+
 def repeated(tokens: np.ndarray, page: np.ndarray, length: int, pages: int) -> np.ndarray:
     """Tokens covered by a substring of ``length`` or more that ``pages`` distinct pages hold."""
     starts, rank = _windows(tokens, page, length)
-    if not len(starts):
-        return np.zeros(len(tokens), bool)
-    both = np.unique(rank * (int(page.max()) + 1) + page[starts])
-    often = np.bincount(both // (int(page.max()) + 1), minlength=int(rank.max()) + 1) >= pages
-    return _covered(len(tokens), starts[often[rank]], length)
-
-
-class _Hashes(dict):
-    """64-bit hashes of tokens, the same in every worker."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        self[token] = value = int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return value
-
-
-_hashes = _Hashes()
+    return _covered(len(tokens), starts[_pages(rank, page[starts]) >= pages], length)
 
 
 @dataclass
 class Stream:
-    """Blocks and token hashes of some pages. ``open`` tells the tokens that repeats may drop."""
+    """Blocks and token hashes of some pages. ``open`` tells the tokens that repeats may drop, ``marked`` the pages with an article."""
 
     blocks: list[list[tuple[int, str, str]]]
     tokens: np.ndarray
     page: np.ndarray
     open: np.ndarray
+    marked: np.ndarray
 
     @classmethod
     def of(cls, pages: list[str]) -> Stream:
         found = [blocks(p) for p in pages]
-        words: list[str] = []
-        sizes, runs, drops = [], [], []
-        for page in found:
-            before = len(words)
-            marked = any(k == ARTICLE_TEXT for k, _, _ in page)
+        marked = np.array([any(k == ARTICLE_TEXT for k, _, _ in page) for page in found], bool)
+        runs, drops = [], []
+        for page, has in zip(found, marked.tolist(), strict=True):
+            stake = ARTICLE_TEXT if has else PLAIN
             for kind, marks, text in page:
-                said = text.split(" ")
-                tags = re.findall(r"<[^>]+>", marks)
-                words += tags
-                words += said
-                runs += (len(tags), len(said))
-                drops += (False, kind == PLAIN and not marked)
-            sizes.append(len(words) - before)
-        tokens = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-        return cls(found, tokens, np.repeat(np.arange(len(found)), sizes), np.repeat(np.array(drops, bool), runs))
+                runs += (marks.count(">"), text.count(" ") + 1)
+                drops += (False, kind == stake)
+        # Neither names of elements nor words hold white space.
+        said = [" ".join([x for _, marks, text in page for x in (marks.replace("><", "> <"), text)]) for page in found]
+        tokens, sizes = [np.empty(0, np.uint64)], []
+        for piece in pieces(pa.array(said, pa.string())):
+            tokens.append(piece.hashes(lower=False))
+            sizes += np.diff(piece.first).tolist()
+        return cls(found, np.concatenate(tokens), np.repeat(np.arange(len(found)), sizes), np.repeat(np.array(drops, bool), runs), marked)
+
+    def least(self, of_host: np.ndarray) -> np.ndarray:
+        """Pages that must show a run for it to go from each page; ``of_host`` has how many distinct pages the host of each has."""
+        return np.where(self.marked, np.maximum(ARTICLE_PAGES, np.ceil(SHARE * of_host)), PAGES)
 
     def at_stake(self, starts: np.ndarray) -> np.ndarray:
         """Which of the windows that start there hold a token that repeats may drop."""
@@ -262,7 +259,7 @@ class Stream:
             marked = any(k == ARTICLE_TEXT for k, _, _ in page)
             kept = []
             for kind, marks, text in page:
-                at += marks.count("<")
+                at += marks.count(">")
                 said = text.split(" ")
                 hidden = gone[at : at + len(said)]
                 at += len(said)
@@ -280,12 +277,15 @@ def extract(pages: list[str]) -> list[str]:
     """Main text of each of the pages of a host. Equal pages count as one."""
     kinds = {p: i for i, p in enumerate(dict.fromkeys(pages))}
     stream = Stream.of(list(kinds))
-    texts = stream.texts(repeated(stream.tokens, stream.page, LONG, PAGES))
+    starts, rank = _windows(stream.tokens, stream.page, LONG)
+    least = stream.least(np.full(len(kinds), len(kinds)))
+    hit = _pages(rank, stream.page[starts]) >= least[stream.page[starts]]
+    texts = stream.texts(_covered(len(stream.tokens), starts[hit], LONG))
     return [texts[kinds[p]] for p in pages]
 
 
 def _counts(pages: list[str], host: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-    """Keys of the windows at stake in some pages, and the weight of the pages that hold each; from one suffix array."""
+    """Keys of hosts and of the windows at stake in some pages, and the weight of the pages of each; from one suffix array."""
     stream = Stream.of(pages)
     starts, rank = _windows(stream.tokens, stream.page, LONG)
     stake = stream.at_stake(starts)
@@ -293,12 +293,12 @@ def _counts(pages: list[str], host: np.ndarray, weight: np.ndarray) -> list[np.n
     # A window counts once a page.
     _, first = np.unique(rank * len(pages) + stream.page[starts], return_index=True)
     starts = starts[first]
-    return store.summed([[stream.keys(starts, host), weight[stream.page[starts]]]])
+    return store.summed([[gram_hash([host]), weight], [stream.keys(starts, host), weight[stream.page[starts]]]])
 
 
 @dataclass
 class Repeats:
-    """Windows that several distinct pages of a host hold, as sorted arrays in the shared folder."""
+    """Windows that several distinct pages of a host hold, and hosts of several, as sorted arrays in the shared folder."""
 
     folder: str
     parts: int
@@ -308,7 +308,7 @@ class Repeats:
         return (keys >> np.uint64(64 - self.parts.bit_length() + 1)).astype(np.int64)
 
     def pages(self, keys: np.ndarray) -> np.ndarray:
-        """How many distinct pages of its host hold each window; 0 if fewer than PAGES."""
+        """How many distinct pages of its host hold each window, or how many a host has; 0 if fewer than PAGES."""
         kinds, at = np.unique(keys, return_inverse=True)
         out = np.zeros(len(kinds), np.int64)
         edges = np.searchsorted(self.part_of(kinds), np.arange(self.parts + 1))
@@ -400,7 +400,9 @@ def main_text(pages: DataFrame, out: str = "text", n_chars: str = "n_chars") ->
                 stream = Stream.of(piece.column(0).to_pylist())
                 starts = np.flatnonzero(stream.page[LONG - 1 :] == stream.page[: max(0, len(stream.page) - LONG + 1)])
                 starts = starts[stream.at_stake(starts)]
-                often = repeats.pages(stream.keys(starts, _numbers(piece.column(1)))) >= PAGES
+                host = _numbers(piece.column(1))
+                least = stream.least(repeats.pages(gram_hash([host])))
+                often = repeats.pages(stream.keys(starts, host)) >= least[stream.page[starts]]
                 texts = stream.texts(_covered(len(stream.tokens), starts[often], LONG))
                 yield pa.RecordBatch.from_arrays([*piece.columns[3:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 

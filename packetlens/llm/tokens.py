@@ -54,8 +54,8 @@ class Piece:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_texts), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, A-Z lower-cased."""
+    def hashes(self, lower: bool = True) -> np.ndarray:
+        """A 64-bit hash of each word, A-Z lower-cased unless ``lower`` is false."""
         global _POWERS
         lens = self.ends - self.starts
         if not len(lens):
@@ -66,7 +66,8 @@ class Piece:
         inside = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(begin, lens)
         at = inside + np.repeat(self.starts, lens)
         with np.errstate(over="ignore"):
-            h = np.add.reduceat(_BYTE[LOWER[self.data[at]]] * _POWERS[inside], begin)
+            data = LOWER[self.data[at]] if lower else self.data[at]
+            h = np.add.reduceat(_BYTE[data] * _POWERS[inside], begin)
             return mix64(h + lens.astype(np.uint64) * _ODD)
 
     def word(self, i: int) -> bytes:

@@ -162,6 +162,18 @@ def test_html_repeats_count_over_a_whole_host(spark) -> None:
     assert found[3001] == "sign up here for our weekly letter and all the news one" and found[4000].endswith("news two")
 
 
+def test_html_repeats_decide_inside_articles(spark) -> None:
+    """A notice in a plain element of every article goes; a passage that a few articles quote stays."""
+    notice, quote = "<div>sign up here for our weekly letter and all the news</div>", "<p>a passage of ten words that only three articles quote</p>"
+    pages = [f"<article><p>page n{i} says w{i}</p>{quote if i % 10 == 0 else ''}{notice}</article>" for i in range(30)]
+    said = [f"page n{i} says w{i}" + (" a passage of ten words that only three articles quote" if i % 10 == 0 else "") for i in range(30)]
+    assert html.extract(pages) == said
+    small = [p for i, p in enumerate(pages) if i in (1, 2, 3)]
+    assert html.extract(small) == [f"page n{i} says w{i} sign up here for our weekly letter and all the news" for i in (1, 2, 3)]
+    frame = spark.createDataFrame([(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    assert [r["text"] for r in html.main_text(frame).orderBy("page_id").collect()] == said
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
