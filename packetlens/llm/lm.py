@@ -227,7 +227,8 @@ def train(docs: DataFrame) -> KneserNey:
     part_of_pairs = lambda k, weighted, weight: model.part_of_pair(k, (weighted // weight).astype(np.int64))
 
     def part_of_id(ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(model.first_id[1:], np.maximum(ids.astype(np.int64) - 1, 0), "right")
+        # The start of a text is in part 0, which may have no words.
+        return np.where(ids > 0, np.searchsorted(model.first_id[1:], np.maximum(ids.astype(np.int64) - 1, 0), "right"), 0)
 
     def save_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (keys, counts) in _gathered(batches):
@@ -309,9 +310,11 @@ def probabilities(model: KneserNey, ids: np.ndarray, counts: np.ndarray, first:
     total, one, two, more = (model.by_id(f"context_{n}", kinds, "<u8" if n == "total" else "<u4")[at] for n in ("total", "one", "two", "more"))
     unknown = (context == 0) & ~starts
     total = np.where(unknown, 0, total)
-    pair, at = np.unique(key, return_inverse=True)
+    # An unknown word has the key of a text's start, but no pairs.
+    real = ~unknown
+    pair, at = np.unique(key[real], return_inverse=True)
     where = np.zeros(len(pair), np.int64)
-    where[at] = model.part_of_pair(key, context_count)
+    where[at] = model.part_of_pair(key[real], context_count[real])
     seen = np.zeros(len(pair), np.int64)
     order = np.argsort(where, kind="stable")
     edges = np.searchsorted(where[order], np.arange(model.parts + 1))
@@ -325,7 +328,9 @@ def probabilities(model: KneserNey, ids: np.ndarray, counts: np.ndarray, first:
     known = total > 0
     n = np.maximum(total, 1)
     back = np.where(known, (d[1] * one + d[2] * two + d[3] * more) / n, 1.0)
-    high = np.where(known, _discounted(np.where(unknown, 0, seen[at]), d) / n, 0.0)
+    times = np.zeros(len(ids), np.int64)
+    times[real] = seen[at]
+    high = np.where(known, _discounted(times, d) / n, 0.0)
     return np.log10(high + back * low)
 
 

@@ -92,6 +92,17 @@ def test_language_model(spark, docs, corpus) -> None:
         assert (found[i]["n_tokens"], found[i]["n_known"]) == (len(said), sum(counts[w] > 0 for w in said))
 
 
+def test_language_model_with_a_spread_start(spark) -> None:
+    """The start of texts is hot in many parts; an unknown word before a word doesn't hide that the word starts texts."""
+    train = [f"w{i % 7} w{i % 11}" for i in range(200)]
+    texts = [f"w{i % 7} zzz w{i % 7}" for i in range(40)]
+    model = lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(40))
+    assert model.n_texts * model.parts * 2 > model.n_tokens
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r["score"] for r in lm.score(frame, model).orderBy("doc_id").collect()]
+    assert found == pytest.approx(brute_lm([helpers.words(t) for t in train], [helpers.words(t) for t in texts]), rel=1e-9)
+
+
 def test_language_model_without_training(spark) -> None:
     frame = spark.createDataFrame([("a b",), (None,)], "text string")
     rows = lm.score(frame, lm.train(frame.limit(0))).collect()
