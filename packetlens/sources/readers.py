@@ -19,6 +19,8 @@ def _schema(fields: str) -> T.StructType:
 SPANS = _schema("case_id string, page int, ord long, text string, x0 double, y0 double, x1 double, y1 double, size double, color int, source string")
 PAGES = _schema("case_id string, page int, width double, height double, text string")
 IMAGES = _schema("case_id string, page int, img_no int, width int, height int, channels int, content binary")
+RASTERS = _schema("case_id string, page int, dpi int, content binary")
+READS = _schema("case_id string, page int, crop int, text string")
 WORDS = _schema(
     "case_id string, source string, page_num string, block_num string, par_num string, line_num string, left string, top string, width string, height string, conf string, text string"
 )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import importlib.util
 import json
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -228,6 +230,41 @@ def test_adapters_say_what_is_missing(spark) -> None:
         adapters.text_spans(spark.createDataFrame([], "case_id string, content binary"))
 
 
+def test_pages_are_drawn_and_read(spark, monkeypatch, tmp_path) -> None:
+    """With a stand-in for pdftoppm that writes its arguments, and one for the neural reader."""
+    program = tmp_path / "pdftoppm"
+    program.write_text('#!/bin/sh\n[ "$5" -gt 2 ] && exit 0\nfor last; do :; done\necho "$3 $5 $7 $(cat "$8")" > "$last-$5.png"\n')
+    program.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:{os.environ['PATH']}")
+    assert adapters._rendered(b"body", 2, adapters.FORENSIC_DPI) == b"180 2 2 body\n" and adapters._rendered(b"body", 3, 180) is None
+    monkeypatch.setattr(adapters, "_rendered", lambda content, page, dpi: None if page > 2 else content + b"%d@%d" % (page, dpi))
+    monkeypatch.setattr(adapters, "_need", lambda *_: None)
+    monkeypatch.setattr(adapters, "_crops", lambda content, forensic: [content.decode(), content.decode(), content.decode() + "!"] if forensic else [content.decode()])
+    monkeypatch.setattr(adapters, "_engine", lambda: lambda image: type("Read", (), {"txts": (image, None, "end")}))
+
+    def here(frame, run, schema):  # in this process, where the stand-ins are
+        return spark.createDataFrame([tuple(r) for out in run([frame.toPandas()]) for r in out.itertuples(index=False)], schema)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", here)
+    packets = spark.createDataFrame([("A", bytearray(b"a")), ("B", bytearray(b"b")), ("C", bytearray(b"c"))], "case_id string, content binary")
+    pages = spark.createDataFrame([("A", 2), ("A", 1), ("A", 1), ("A", 3), ("B", 1), ("C", 1)], "case_id string, page int")
+    drawn = adapters.render_pages(packets, pages, 140).orderBy("case_id", "page").collect()
+    assert [(r["case_id"], r["page"], r["dpi"], bytes(r["content"])) for r in drawn] == [("A", 1, 140, b"a1@140"), ("A", 2, 140, b"a2@140"), ("B", 1, 140, b"b1@140"), ("C", 1, 140, b"c1@140")]
+    cases = spark.createDataFrame([("A",), ("C",)], "case_id string")
+    plain = {r["case_id"]: r["text"] for r in adapters.neural_reader(packets, pages)(cases).collect()}
+    assert plain == {"A": "a1@140\nend\na2@140\nend", "C": "c1@140\nend"}
+    deep = {r["case_id"]: r["text"] for r in adapters.neural_reader(packets, pages, adapters.FORENSIC_DPI, forensic=True)(cases).collect()}
+    assert deep["C"] == "c1@180\nend\nc1@180!\nend"
+
+
+def test_neural_reads_say_what_is_missing(spark) -> None:
+    for module in ("rapidocr", "PIL"):
+        if importlib.util.find_spec(module) is None:
+            with pytest.raises(adapters.AdapterMissing):
+                adapters.neural_reads(spark.createDataFrame([], readers.RASTERS))
+            return
+
+
 ROWS = [
     "FORM I-8090 Primary Intake", ("Applicant", "Ada Quill"), ("Species Code", "HUMAN"), ("Home World", "Kepler"), ("Visa Class", "XW-2"), ("Sponsor ID", "SPN-1234"),
     ("Arrival Date", "2026-03-01"), ("Declared Purpose", "research"), ("Fee Status", "paid"),
