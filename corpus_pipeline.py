@@ -73,7 +73,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def taken(mixed: DataFrame) -> DataFrame:
+    """The mix in effect: every row of the last stage as often as ``copies`` says, and none of 0."""
+    return mixed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(copy := spare(mixed, "_copy"))).drop(copy)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents left, once each, with the copies that the mix takes of them; ``taken`` puts these into effect."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+from collections import Counter
 
 import corpus_pipeline
 import helpers
@@ -114,6 +115,18 @@ def test_pipeline(spark, sf) -> None:
     assert share == pytest.approx(1.5, abs=0.05)
 
 
+def test_the_mix_is_put_into_effect(spark) -> None:
+    docs = spark.createDataFrame([(i, "one two three", "en", "a" if i < 300 else "b", 13) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    out = corpus_pipeline.taken(mixed)
+    assert out.columns == mixed.columns
+    copies = {r["doc_id"]: r["copies"] for r in mixed.collect()}
+    found = Counter(r["doc_id"] for r in out.collect())
+    assert found == +Counter(copies) and set(copies.values()) >= {1, 2}
+    zero = mixed.withColumn("copies", F.lit(0))
+    assert corpus_pipeline.taken(zero).count() == 0
+
+
 def test_stage_edges(spark, sf) -> None:
     """Every stage takes null and empty texts, repeated rows, extra columns and an empty table."""
     rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "plain words here and there " * 5, None, "a", None), (3, "plain words here and there " * 5, None, "a", None), (None, "some other words for this one", "en", "b", 29)]
