@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import arrow_map
+
 START = ""
 
 
@@ -143,7 +145,7 @@ def format_chats(conversations: DataFrame, template: ChatTemplate | None = None)
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_formatter(template), SEGMENTS)
+    return arrow_map(rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), _formatter(template), SEGMENTS)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
@@ -200,4 +202,4 @@ def read_back(segments: DataFrame, template: ChatTemplate | None = None) -> Data
     The segments are read in the order in which they were made, as a stream; no
     second shuffle is needed.
     """
-    return segments.mapInArrow(_reader(template or ChatTemplate()), DIGESTS)
+    return arrow_map(segments, _reader(template or ChatTemplate()), DIGESTS)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches
+from .runtime import arrow_map, small_batches
 from .tokens import Piece, gram_hash, grams, mix64, pieces
 
 SHINGLE = 5
@@ -189,7 +189,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> Dat
                         ids = batch.column(0).take(pa.array(np.array(text) + piece.rows.start))
                         yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(similarity, pa.float64()), pa.array(start, pa.int64())], names=["doc_id", "item_id", "similarity", "start"])
 
-        part = docs.mapInArrow(run, schema)
+        part = arrow_map(docs, run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else documents.sparkSession.createDataFrame([], schema)
 
@@ -207,5 +207,5 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8
                     leak[[piece.rows.start + m[0] for m in index.matches(piece, least)]] = True
                 yield batch.filter(pa.array(~leak))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = arrow_map(documents, run, documents.schema)
     return documents

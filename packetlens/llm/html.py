@@ -34,7 +34,7 @@ from .lm import BUFFER, MAX_PART_BITS
 from .lm import _dealt as dealt
 from .lm import _gathered as gathered
 from .lm import _sent as sent
-from .runtime import few, shared_path, small_batches, spare, written
+from .runtime import arrow_map, few, shared_path, small_batches, spare, written
 from .tokens import gram_hash, pieces
 from .urlfilter import host_of
 
@@ -366,7 +366,7 @@ def _repeats(rows: DataFrame) -> Repeats:
                 store.put(folder, f"repeat_pages-{part}", pages[often].astype("<u8"))
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())})
 
-    saved = dealt(rows.mapInArrow(count, "part int, packed binary")).mapInArrow(save, "part int").collect()
+    saved = arrow_map(dealt(arrow_map(rows, count, "part int, packed binary")), save, "part int").collect()
     found.present = frozenset(r["part"] for r in saved)
     return found
 
@@ -406,4 +406,4 @@ def main_text(pages: DataFrame, out: str = "text", n_chars: str = "n_chars") ->
                 texts = stream.texts(_covered(len(stream.tokens), starts[often], LONG))
                 yield pa.RecordBatch.from_arrays([*piece.columns[3:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)

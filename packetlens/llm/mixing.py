@@ -8,7 +8,10 @@ solves it. Each iteration sums tokens and slopes over (source, size) cells on
 the executors; the driver holds one number a source, as it holds the weights.
 
 Rates become whole copies by carrying the rounding rest from cell to cell,
-largest sizes first, so a source misses its target by less than a small document.
+largest sizes first, so a source misses its target by less than its smallest
+documents. Which documents of a cell get one copy more follows their exact
+places in the order of a hash: a cell is ranked in hashed parts, and prefix
+sums over the sizes of the parts turn ranks into places of the whole cell.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .runtime import n_words, written
 
-#: A cell with more documents than this is ranked in several hashed parts.
-PART = 20_000
+#: Documents that one task ranks together; results don't depend on it.
+PART = 500
 TOLERANCE = 1e-9
 MAX_STEPS = 80
 
@@ -115,12 +118,14 @@ def mix(
     weights: Callable[[list], dict] = cycle_weights,
     share: float = 1.5,
     cap: int = 2,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Copies of each document, so that sources meet their targets.
 
-    ``docs``: doc_id, source, text; other columns are ignored. ``weights`` maps
-    the list of sources to their weights. Returns doc_id, source, size,
-    source_size, target, copies, taken (``copies * size``).
+    ``docs``: doc_id, source, text; other columns are ignored, but for those that
+    ``keep`` names (no column of the result), which stay. ``weights`` maps the
+    list of sources to their weights. Returns doc_id, source, size, source_size,
+    target, copies, taken (``copies * size``), and what ``keep`` names.
 
     Null and empty texts have size 0 and take 0 words with 0 copies. A null
     source is a source of its own. Repeated rows count as documents of their
@@ -128,7 +133,7 @@ def mix(
     size alone, so reruns agree.
     """
     spark = docs.sparkSession
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "sizes")
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *keep), "sizes")
     cells = written(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
     # One row a source: a catalogue to which the caller gives weights.
     found = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("tokens"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n")).collect()
@@ -144,13 +149,15 @@ def mix(
     copies = rated.groupBy("source").applyInPandas(_to_copies(cap), "source string, size long, n long, k long")
     copies = written(copies.withColumnRenamed("source", "c_source").withColumnRenamed("size", "c_size"), "copies")
     part = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / PART)))
-    placed = sized.join(copies, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))).withColumn("part", part)
-    cell = Window.partitionBy("source", "size", "part")
-    placed = placed.withColumn("own", F.count(F.lit(1)).over(cell)).withColumn("rank", F.row_number().over(cell.orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id")))
+    placed = written(sized.join(copies, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))).withColumn("part", part).drop("c_source", "c_size"), "placed")
+    # Places before each part: a row a part, so a cell of n documents has n / PART.
+    parts = placed.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("own"))
+    before = F.sum("own").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("part").alias("p_part"), F.coalesce(before, F.lit(0)).alias("before"))
+    same = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("part") == F.col("p_part"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id", *keep))
+    placed = placed.join(parts, same).withColumn("place", F.col("before") + rank)
     base = F.floor(F.col("k") / F.col("n"))
-    extra = F.col("k") - base * F.col("n")
-    # Parts of one cell round their shares of the extra copies by a dither of their own.
-    dither = F.when(F.col("n") > PART, F.pmod(F.xxhash64("source", "size", "part"), F.lit(1024)) / 1024.0).otherwise(F.lit(0.5))
-    given = base + F.when(F.col("rank") <= F.floor(extra * F.col("own") / F.col("n") + dither), 1).otherwise(0)
-    placed = placed.withColumn("copies", F.least(given, F.lit(cap)).cast("long"))
-    return placed.join(plan, placed["source"].eqNullSafe(plan["src"])).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    given = base + F.when(F.col("place") <= F.col("k") - base * F.col("n"), 1).otherwise(0)
+    placed = placed.withColumn("copies", given.cast("long"))
+    return placed.join(plan, placed["source"].eqNullSafe(plan["src"])).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches, spare
+from .runtime import arrow_map, small_batches, spare
 from .tokens import Piece, grams, pieces
 
 PASSAGE = 48
@@ -204,4 +204,4 @@ def score(docs: DataFrame, model: AttentionModel, column: str = "score") -> Data
                 found[piece.rows] = model.forward(x, first)[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
+    return arrow_map(docs, run, docs.withColumn(name, F.lit(0.0)).schema)

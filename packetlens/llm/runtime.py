@@ -7,17 +7,22 @@ lost executor never takes the only copy of a stage's output with it.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the white space that separates words, as a regular expression class.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Tables of at most so many short rows are broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tables of at most so many bytes are broadcast; beyond, joins shuffle.
+BROADCAST_BYTES = 16_000_000
 
 #: Rows of an Arrow batch, on either side of a worker's pipe; a batch of whole texts takes some megabytes then.
 BATCH_ROWS = 1000
@@ -26,9 +31,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests) a temporary one."""
+    """The cluster's shared folder; only where none is set and all runs in one process (tests) a temporary one."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         path = tempfile.mkdtemp(prefix="packetlens-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -58,8 +66,28 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def few(rows: DataFrame) -> DataFrame:
-    """``rows`` of a few numbers each, to be broadcast if a count shows that they are few."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    """``rows``, whose columns are numbers, to be broadcast if a count shows that they are few."""
+    return F.broadcast(rows) if rows.count() * 16 * len(rows.columns) <= BROADCAST_BYTES else rows
+
+
+def give_back() -> None:
+    """Returns a worker's freed memory to the system; the worker lives on and waits for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` whose tasks give their memory back when they end."""
+
+    def lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -68,13 +96,23 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def made() -> int:
+    """How many shared paths there are, for ``drop_since``."""
+    return len(_written)
+
+
+def drop_since(mark: int, until: int) -> None:
+    """Removes the shared paths made after ``mark`` and before ``until``: what read them has been written."""
+    for spark, path in _written[mark:until]:
+        remove(spark, path)
+    del _written[mark:until]
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
-        try:
+        with suppress(Exception):  # a session that has ended: the folder's owner cleans up
             remove(spark, path)
-        except Exception:  # the session has ended: the folder's owner cleans up
-            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,8 +120,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def n_words(text: Column) -> Column:
-    """Words of a text, null counting as empty."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of a text, null counting as empty. No word becomes an object: every run of ink shrinks to one letter, and white space goes."""
+    return F.coalesce(F.length(F.translate(F.regexp_replace(text, f"{WORD}+", "x"), " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
 
 
 def lower_ascii(text: Column) -> Column:
