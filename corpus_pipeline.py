@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.llm import decontaminate, jaccard, linededup, mixing, quality
-from packetlens.llm.runtime import few, n_words, spare, table, written
+from packetlens.llm.runtime import drop_since, few, made, spare, table, written
 
 #: The classifier's score from which a document is kept.
 KEEP_SCORE = 0.7
@@ -21,14 +21,23 @@ LEAK = 0.8
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose quality score is below KEEP_SCORE."""
+    """Drops documents whose quality score is below KEEP_SCORE.
+
+    Null and empty texts are scored like others; equal texts go or stay
+    together; repeated rows stay as often as they come. An empty table gives an
+    empty one, and without labels every score is one half, so all go.
+    """
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     score = spare(docs, "score")
     return quality.score(docs, model, score).where(F.col(score) >= KEEP_SCORE).select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts later copies of three-line windows; a document of which nothing but blanks is left goes."""
+    """Cuts later copies of three-line windows; a document of which nothing but blanks is left goes.
+
+    A null or empty text stays as it is, and so does a repeated row: rows that
+    share a doc_id are one document. An empty table gives an empty one.
+    """
     lines, removed = spare(docs, "n_lines"), spare(docs, "n_removed")
     cut = linededup.dedup_lines(docs, n_removed=removed, n_lines=lines)
     cut = cut.where((F.col(removed) == 0) | (F.trim(F.regexp_replace("text", r"\s", " ")) != ""))
@@ -47,18 +56,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a window that repeats a benchmark item."""
+    """Drops documents with a window that repeats a benchmark item.
+
+    Null and empty texts stay; repeated rows go or stay together. An empty
+    table, or an empty benchmark, drops nothing.
+    """
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"), LEAK)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the copies that the mix takes of each: columns of documents, then size, source_size, target, copies, taken."""
-    added = ["source_size", "target", "copies", "taken"]
-    mixed = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), *added)
-    mixed = mixed.groupBy("_id", "_source", "_size").agg(*(F.max(c).alias(c) for c in added))
-    sized = docs.withColumn("size", n_words(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(mixed["_id"]) & sized["source"].eqNullSafe(mixed["_source"]) & (sized["size"] == mixed["_size"])
-    return sized.join(mixed, same).select(*docs.columns, "size", *added)
+    """All documents with the copies that the mix takes of each: columns of documents, then size, source_size, target, copies, taken.
+
+    Null and empty texts have size 0 and 0 copies; a null source is a source of
+    its own. Equal rows all get the largest number of copies that one of them has.
+    An empty table gives an empty one.
+    """
+    added = ["size", "source_size", "target", "copies", "taken"]
+    digest = spare(docs, "_digest")
+    told = docs.withColumn(digest, F.xxhash64("text", F.length("text")))
+    mixed = mixing.mix(told, keep=(digest,)).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col(digest).alias("_told")).agg(*(F.max(c).alias(c) for c in added))
+    same = told["doc_id"].eqNullSafe(mixed["_id"]) & told["source"].eqNullSafe(mixed["_source"]) & (told[digest] == mixed["_told"])
+    return told.join(mixed, same).select(*docs.columns, *(mixed[c] for c in added))
 
 
 STAGES = [
@@ -82,5 +100,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents left, once each, with the copies that the mix takes of them; ``taken`` puts these into effect."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = made()
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_since(before, made() - 1)  # what the stage kept for itself; its output is the last
     return docs
