@@ -110,8 +110,8 @@ def nearest(vectors: dict[int, list[float]], q: int, k: int) -> list[int]:
 
 
 def test_neighbours_with_recall(spark, monkeypatch) -> None:
-    monkeypatch.setattr(ann, "SMALL", 500)
     monkeypatch.setattr(ann, "BLOCK", 200)
+    monkeypatch.setattr(ann, "ASKED", 7)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 32))
     vectors = {i: (centres[i % 12] + 0.4 * rng.normal(size=32)).tolist() for i in range(3000)}
@@ -125,6 +125,29 @@ def test_neighbours_with_recall(spark, monkeypatch) -> None:
     assert found[3000] == [100, 3001, 3002, 3003, 3004]
 
 
+def test_neighbours_of_very_large_and_small_vectors(spark) -> None:
+    """Squares of these numbers overflow or vanish; cosines don't."""
+    rows = [(0, [1e-170, 0.0]), (1, [1e-170, 1e-170]), (50, [1e200, 1e200]), (2, [1e300, 0.0]), (3, [5e-324, 0.0])]
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()}
+    assert len(found) == 8
+    assert [found[0, r][0] for r in (1, 2, 3, 4)] == [2, 3, 1, 50] and found[0, 1][1] == 1.0 and found[0, 3][1] == pytest.approx(0.5**0.5)
+    assert [found[50, r][0] for r in (1, 2, 3, 4)] == [1, 0, 2, 3]
+
+
+def test_recall_of_the_query(spark, sf) -> None:
+    """The registered query against brute force over its whole table, with the scores of the original vectors."""
+    sf = sf.replace("sf0.001", "sf0.01")
+    vectors = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    found: dict[int, list] = {}
+    for r in queries.QUERIES["op6_nearest"](spark, sf).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+        a, b = np.array(vectors[r["query_id"]]), np.array(vectors[r["vec_id"]])
+        assert r["score"] == pytest.approx(float(a @ b / np.sqrt((a @ a) * (b @ b))), rel=1e-12)
+    asked = [i for i in vectors if i % 50 == 0]
+    assert sorted(found) == sorted(asked) and all(len(v) == 5 for v in found.values())
+    assert sum(len(set(found[q]) & set(nearest(vectors, q, 5))) for q in asked) / (5 * len(asked)) >= 0.9
+
+
 def test_neighbour_edges(spark) -> None:
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 1.0]), (1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, None]), (6, [float("inf"), 0.0]), (7, [1.0]), (None, [1.0, 2.0]), (1, [2.0, 0.1]), (100, [])]
