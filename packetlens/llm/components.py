@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import written
@@ -13,18 +13,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large and small stars: each round links every node's
     neighbours to its smallest one, which shortens paths exponentially. A
-    round's edges are written to the shared folder. Loops and repeated edges do
-    no harm; an empty table gives an empty one.
+    round's edges are written to the shared folder. Smallest neighbours are
+    pre-aggregated and joined back, so the centre of a large component is a
+    skewed join, which is split, and no window. Loops and repeated edges do no
+    harm; an empty table gives an empty one.
     """
+
+    def with_least(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("a").agg(F.min("b").alias("m")), "a")
+
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-        large = both.withColumn("m", low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a > b").distinct()
-        low = F.min("b").over(Window.partitionBy("a"))
-        small = large.withColumn("m", low)
+        large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        small = with_least(large.where("a > b").distinct())
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         now = written(small.where("a > b").distinct(), "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

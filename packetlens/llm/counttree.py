@@ -34,12 +34,12 @@ def packed(v: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes, m: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // m}").astype(np.int64)
+    return np.frombuffer(data, f"<u{len(data) // m}")
 
 
 def fold(v: np.ndarray, m: int) -> np.ndarray:
     """The vector for ``m`` groups, fewer than it has: groups whose last bits agree come together."""
-    return v.reshape(-1, m).sum(0) if len(v) > m else v
+    return v.reshape(-1, m).sum(0, dtype=np.int32) if len(v) > m else v
 
 
 def passes(bound: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:

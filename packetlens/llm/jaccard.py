@@ -7,13 +7,14 @@ a prefix. The order puts elements that a bounded sample shows to be frequent
 last, which keeps frequent passages out of the prefixes; any sample gives the
 same links.
 
-In its block a representative is a point of group counts. First every member
-meets the block's smallest id: pairs whose summed coordinate minima reach the
-wanted overlap are verified on the sets, and links give components. Blocks
-that hold several components are then joined by an R-tree over their points,
-and pairs of different components that its bounds leave are verified too. So
-all links between components are found, while a group of copies never makes all
-its pairs.
+Blocks only say which points meet; every candidate comes from a search of a
+count-vector R-tree. First the points that share a block with its smallest id
+form a tree, which that id searches: pairs whose summed coordinate minima reach
+the wanted overlap are verified on the sets, and links give components. Blocks
+that hold several components are then joined, each point searching the tree of
+the others, and pairs of different components that the bounds leave are
+verified too. So all links between components are found, while a group of
+copies never makes all its pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .counttree import LEAF, CountTree, count_vector, fold, n_groups, packed, passes, unpacked
-from .runtime import few, small_batches, written
+from .runtime import arrow_map, few, small_batches, written
 from .tokens import Piece, gram_hash, grams, mix64, pieces
 
 #: A block with more members is joined piece by piece.
@@ -111,7 +112,7 @@ def _sample_grams(k: int):
 def frequent(docs: DataFrame, k: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles seen in three or more documents of a sample of about SAMPLE, at most HEAVY of them, with their counts. Only the order of elements depends on them."""
     sample = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // SAMPLE))) == 0) & (F.length("text") <= 200_000)).select("text").limit(4 * SAMPLE)
-    found = sample.mapInArrow(_sample_grams(k), "g long").groupBy("g").count().where("count >= 3").orderBy(F.desc("count"), "g").limit(HEAVY).collect()
+    found = arrow_map(sample, _sample_grams(k), "g long").groupBy("g").count().where("count >= 3").orderBy(F.desc("count"), "g").limit(HEAVY).collect()
     g = np.array([r["g"] for r in found], np.int64).view(np.uint64)
     order = np.argsort(g)
     return g[order], np.array([r["count"] for r in found], np.int64)[order]
@@ -139,27 +140,13 @@ def _vectors(column: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     return [unpacked(v, n_groups(n)) for v, n in zip(column, sizes.tolist(), strict=True)]
 
 
-def _bounded(percent: int):
-    """Pairs (a, b, na, va, nb, vb) whose bound allows the similarity."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(_vectors(batch.column(3).to_pylist(), na), _vectors(batch.column(5).to_pylist(), nb), strict=True)):
-                keep[i] = _fits(a, b, na[i] + nb[i], percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return run
-
-
 def _fits(a: np.ndarray, b: np.ndarray, sizes: int, percent: int) -> bool:
     m = min(len(a), len(b))
     return bool(passes(np.minimum(fold(a, m), fold(b, m)).sum(), sizes, percent))
 
 
 def _tree_join(percent: int):
-    """Blocks sorted by key: (key, chunk pair, own chunk, id, component, n, vector) to pairs of different components within bounds."""
+    """Blocks sorted by key (key, one, two, id, component, n, vector, chunk) to pairs of different components within bounds: points of chunk ``one`` make the tree, those of ``two`` search it."""
 
     def join(rows: list[tuple], one: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids = np.array([r[0] for r in rows])
@@ -234,10 +221,10 @@ def _verifier(percent: int):
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose shingle sets reach the similarity, compared whole."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    sets = docs.select("doc_id", "text").join(few(ids), "doc_id", "left_semi").mapInArrow(_setter(k), "id long, elements binary")
+    sets = arrow_map(docs.select("doc_id", "text").join(few(ids), "doc_id", "left_semi"), _setter(k), "id long, elements binary")
     sets = written(sets, "sets")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
-    return written(joined.select("a", "b", "x", "y").mapInArrow(_verifier(percent), "a long, b long").distinct(), "links")
+    return written(arrow_map(joined.select("a", "b", "x", "y"), _verifier(percent), "a long, b long").distinct(), "links")
 
 
 def similar(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -257,11 +244,11 @@ def similar(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     heavy, weight = frequent(docs.where("text is not null"), k, docs.count())
-    signed = written(docs.mapInArrow(_signer(k, percent, heavy, weight), "doc_id long, n long, d1 long, d2 long, keys array<long>, vector binary"), "signed")
+    signed = written(arrow_map(docs, _signer(k, percent, heavy, weight), "doc_id long, n long, d1 long, d2 long, keys array<long>, vector binary"), "signed")
     classes = written(signed.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
     heads = signed.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", "n", "d1", "d2"], "left_semi")
     rows = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    blocks = written(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long"), "blocks")
+    blocks = written(arrow_map(rows.repartition("key").sortWithinPartitions("key", "id"), _shared, "key long, id long"), "blocks")
 
     # Blocks with the same members are one.
     member = F.xxhash64("id").cast("decimal(20,0)")
@@ -271,14 +258,18 @@ def similar(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     known = few(written(blocks.select(F.col("id").alias("doc_id")).distinct(), "members"))
     points = written(heads.join(known, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "vector"), "points")
 
-    def with_points(pairs: DataFrame) -> DataFrame:
-        one = points.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
-        two = points.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
-        near = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-        return pairs.join(one, "a").join(two, "b").where(near).select("a", "b", "na", "va", "nb", "vb")
-
-    stars = blocks.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    tried = written(with_points(stars).mapInArrow(_bounded(percent), "a long, b long").distinct(), "stars")
+    def searched(placed: DataFrame) -> DataFrame:
+        rows = placed.join(points, "id").select("key", "one", "two", "id", "component", "n", "vector", "chunk")
+        rows = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+        return arrow_map(rows, _tree_join(percent), "a long, b long").distinct()
+
+    # The points that meet a smallest id make trees, in pieces; it searches each.
+    met = written(blocks.where("id != center").select(F.col("center").alias("key"), "id").distinct(), "met")
+    cut = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
+    met = met.join(cut, "key").select("key", "id", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).cast("long").alias("component"))
+    asks = cut.select("key", F.col("key").alias("id"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("one"), F.lit(0).cast("long").alias("component"), F.lit(-1).alias("chunk"))
+    met = met.withColumn("one", F.col("chunk")).unionByName(asks).withColumn("two", F.lit(-1))
+    tried = written(searched(met), "stars")
     links = _verified(docs, tried, k, percent)
     joined = components(links)
 
@@ -286,11 +277,10 @@ def similar(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     placed = blocks.where("members > 2 AND id != center").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and hi is not null").select("key")
     chunks = F.ceil(F.col("members") / BLOCK)
-    placed = placed.join(open_, "key", "left_semi").withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+    placed = placed.join(open_, "key", "left_semi").withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
-    placed = placed.join(points, "id").select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "component", "n", "vector", "own")
-    pairs = placed.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_tree_join(percent), "a long, b long")
-    pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    placed = placed.withColumns({"one": F.least("chunk", "other"), "two": F.greatest("chunk", "other")})
+    pairs = written(searched(placed).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = _verified(docs, pairs, k, percent)
     final = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.join(final, classes["class_id"] == final["id"], "left").select("n", "d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
