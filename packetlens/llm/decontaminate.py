@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 An item of L words is compared with every window of L words of a document that
-could be similar to it: a similar window shares a shingle with the item, so only
-windows around a shared shingle are fingerprinted. Fingerprints of 128 bits are
+could be similar to it: a similar window shares a shingle with the item, so
+windows that share none are left out unless ``every_window`` asks for them, and
+the others are fingerprinted. Fingerprints of 128 bits are
 looked up in 16 tables, one for each byte: of two fingerprints at most
 ``RADIUS`` bits apart, some byte differs in at most ``RADIUS // 16`` bits, so
 the tables find every item within the radius. What they find is verified by the
@@ -30,6 +31,8 @@ SHINGLE = 5
 BITS = 128
 BLOCKS = BITS // 8
 RADIUS = 44
+#: Windows that are fingerprinted at once.
+WINDOWS = 8192
 #: Characters of benchmark text in one index; a larger benchmark is searched in several passes.
 INDEX_CHARS = 20_000_000
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -90,10 +93,8 @@ class BenchmarkIndex:
             index[k] = (kinds, np.append(first, len(key)), np.array([p[1] for p in pairs]))
         return cls(np.array(ids, np.int64), np.array(length), shingles, counts, prints_, tables, index)
 
-    def matches(self, piece: Piece, least: float) -> Iterator[tuple[int, int, float, int]]:
-        """(text, item_id, similarity, first word) of the best window for each text and item, where it reaches ``least``."""
-        h = piece.hashes()
-        near: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    def _near(self, piece: Piece, h: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(text, item length, places of shingles that it shares with items of that length, those items)."""
         for k, (kinds, first, owners) in self.seeds.items():
             g, text = grams(h, piece.first, k)
             if not len(g):
@@ -101,14 +102,34 @@ class BenchmarkIndex:
             at = np.minimum(np.searchsorted(kinds, g), len(kinds) - 1)
             n = np.maximum(np.diff(piece.first) - (k - 1), 0)
             begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-            for hit in np.flatnonzero(kinds[at] == g):
-                t = int(text[hit])
-                for item in owners[first[at[hit]] : first[at[hit] + 1]]:
-                    near[t, int(self.length[item])].append((int(hit - begin[t]), int(item)))
+            hits = np.flatnonzero(kinds[at] == g)
+            if not len(hits):
+                continue
+            times = first[at[hits] + 1] - first[at[hits]]
+            own = owners[np.repeat(first[at[hits]] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))]
+            hits = np.repeat(hits, times)
+            order = np.lexsort((self.length[own], text[hits]))
+            hits, own = hits[order], own[order]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(text[hits]) != 0) | (np.diff(self.length[own]) != 0)]))
+            for a, b in zip(new, [*new[1:], len(hits)], strict=True):
+                t = int(text[hits[a]])
+                yield t, int(self.length[own[a]]), np.unique(hits[a:b] - begin[t]), np.unique(own[a:b])
+
+    def _everywhere(self, piece: Piece) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """As ``_near``, with all places and all items."""
+        for size in np.unique(self.length):
+            k, items = min(SHINGLE, int(size)), np.flatnonzero(self.length == size)
+            for t, n in enumerate(np.diff(piece.first)):
+                if n >= k:
+                    yield t, int(size), np.arange(n - k + 1), items
+
+    def matches(self, piece: Piece, least: float, every_window: bool = False) -> Iterator[tuple[int, int, float, int]]:
+        """(text, item_id, similarity, first word) of the best window for each text and item, where it reaches ``least``."""
+        h = piece.hashes()
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for (t, size), hits in near.items():
+        for t, size, places, items in self._everywhere(piece) if every_window else self._near(piece, h):
             words = h[piece.first[t] : piece.first[t + 1]]
-            for found, similarity, start in self._windows(words, size, hits, least):
+            for found, similarity, start in self._windows(words, size, places, items, least):
                 if (t, found) not in best or (-similarity, start) < (-best[t, found][0], best[t, found][1]):
                     best[t, found] = (similarity, start)
         by_id: dict[tuple[int, int], tuple[float, int]] = {}
@@ -119,13 +140,21 @@ class BenchmarkIndex:
         for (t, item_id), (similarity, start) in sorted(by_id.items()):
             yield t, item_id, similarity, start
 
-    def _windows(self, words: np.ndarray, size: int, hits: list[tuple[int, int]], least: float) -> Iterator[tuple[int, float, int]]:
+    def _windows(self, words: np.ndarray, size: int, places: np.ndarray, items: np.ndarray, least: float) -> Iterator[tuple[int, float, int]]:
+        """The windows that hold one of the shingles at ``places``, compared with ``items``, some thousands at a time."""
         k = min(SHINGLE, size)
         size = min(size, len(words))  # a shorter text is one window
         wide = size - k + 1
-        items = sorted({i for _, i in hits})
-        positions = np.unique([p for p, _ in hits])
-        starts = np.unique(np.clip((positions[:, None] - np.arange(wide)).ravel(), 0, len(words) - size))
+        edge = np.zeros(len(words) - size + 2, np.int64)
+        np.add.at(edge, np.clip(places - wide + 1, 0, len(words) - size), 1)
+        np.add.at(edge, np.clip(places, 0, len(words) - size) + 1, -1)
+        starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        gaps = np.flatnonzero(np.diff(starts) > wide) + 1
+        for a, b in zip([0, *gaps], [*gaps, len(starts)], strict=True):
+            for c in range(a, b, WINDOWS):
+                yield from self._compared(words, k, wide, starts[c : min(b, c + WINDOWS)], items, least)
+
+    def _compared(self, words: np.ndarray, k: int, wide: int, starts: np.ndarray, items: np.ndarray, least: float) -> Iterator[tuple[int, float, int]]:
         low, high = int(starts[0]), int(starts[-1]) + wide
         own = gram_hash([words[low + x : high + x] for x in range(k)])
         run = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(own), axis=0, dtype=np.int32)])
@@ -134,7 +163,7 @@ class BenchmarkIndex:
         mask = np.zeros((len(starts), self.tables.shape[2]), np.uint8)
         for b in range(BLOCKS):
             mask |= self.tables[b][prints[:, b]]
-        for item in items:
+        for item in items.tolist():
             maybe = np.flatnonzero((mask[:, item >> 3] >> (7 - (item & 7))) & 1)
             maybe = maybe[_ONES[prints[maybe] ^ self.prints[item]].sum(1) <= RADIUS]
             if not len(maybe):
@@ -160,7 +189,7 @@ def _indexes(benchmark: DataFrame) -> Iterator[BenchmarkIndex]:
         yield BenchmarkIndex.build([(r["item_id"], r["text"]) for r in part.collect()])
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8, every_window: bool = False) -> DataFrame:
     """Pairs of a document and a benchmark item that one of its windows repeats.
 
     ``documents``: doc_id, text; ``benchmark``: item_id, text; other columns are
@@ -168,7 +197,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> Dat
     five words, or all of an item with fewer. Returns doc_id, item_id,
     similarity, start (first word of the most similar window, the first of
     equals), for similarities of ``least`` or more. A document shorter than an
-    item is one window.
+    item is one window. ``every_window`` fingerprints windows that share no
+    shingle with an item too; as their similarity is 0, results are the same.
 
     Null and empty texts and items match nothing. Repeated items count once;
     items that share an item_id give their best window. Repeated documents give
@@ -183,7 +213,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> Dat
         def run(batches: Iterable[pa.RecordBatch], index: BenchmarkIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in pieces(batch.column(1)):
-                    found = list(index.matches(piece, least))
+                    found = list(index.matches(piece, least, every_window))
                     if found:
                         text, item, similarity, start = zip(*found, strict=True)
                         ids = batch.column(0).take(pa.array(np.array(text) + piece.rows.start))

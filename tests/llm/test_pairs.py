@@ -6,10 +6,11 @@ import random
 
 import helpers
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from packetlens.llm import components, counttree, decontaminate, jaccard, linededup
+from packetlens.llm import components, counttree, decontaminate, jaccard, linededup, tokens
 
 DOC = "doc_id long, text string"
 
@@ -85,6 +86,23 @@ def test_leaks_in_several_passes(spark, corpus, monkeypatch) -> None:
     assert sorted(map(tuple, decontaminate.leaks(frame, bench).collect())) == whole and whole
 
 
+def test_leaks_in_very_long_texts(spark) -> None:
+    """A text that repeats one shingle of an item everywhere, and holds the item once, far in."""
+    item = "a b c d e f g h i j"
+    text = "a b c d e " * 40_000 + item + " z" * 100_000
+    frame = spark.createDataFrame([(1, text), (2, "a b c d e " * 40_000)], DOC)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.leaks(frame, bench).collect()] == [(1, 7, 1.0, 200_000)]
+
+
+def test_leaks_with_every_window(corpus) -> None:
+    items = [(1, " ".join(corpus[15].split()[:30])), (2, "w1 w2 w3"), (5, corpus[64]), (6, "ONE")]
+    index = decontaminate.BenchmarkIndex.build(items)
+    texts = [t for i, t in corpus.items() if i < 100]
+    found = [[(p.rows.start + t, *x) for p in tokens.pieces(pa.array(texts)) for t, *x in index.matches(p, 0.8, every)] for every in (False, True)]
+    assert found[0] == found[1] and found[0]
+
+
 def test_leak_edges(spark) -> None:
     some = spark.createDataFrame([(1, "a b c d e f g")], DOC)
     items = spark.createDataFrame([(1, "b c d e f")], "item_id long, text string")
