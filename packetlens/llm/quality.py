@@ -6,8 +6,9 @@ repetition), mapped to a hidden vector, and weighted by gated attention; the
 document's score is a logistic function of the weighted sum. Encoder, attention
 and scorer are learned together from document labels alone.
 
-The fit takes a sample of labelled documents of bounded size (``max_fit`` rows
-of at most ``max_chars`` characters each); scoring covers every whole text.
+The fit takes a sample of labelled documents of bounded size (``max_fit``
+documents, and of each ``max_passages`` passages at most, spread evenly over
+it); scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -159,27 +160,38 @@ def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 12,
     return model
 
 
-def _encoder(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in pieces(batch.column(2)):
-            x, first = encode(piece)
-            rows = [x[first[i] : first[i + 1]].tobytes() for i in range(piece.n_texts)]
-            part = batch.slice(piece.rows.start, piece.n_texts)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "passages"])
+def spread(first: int, last: int, most: int) -> np.ndarray:
+    """At most ``most`` of the numbers from ``first`` up to ``last``, spread evenly, both ends included."""
+    n = last - first
+    return np.arange(first, last) if n <= most else first + np.arange(most) * (n - 1) // max(1, most - 1)
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, max_chars: int = 200_000) -> AttentionModel:
+def _encoder(max_passages: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column(2)):
+                x, first = encode(piece)
+                rows = [x[spread(int(first[i]), int(first[i + 1]), max_passages)].tobytes() for i in range(piece.n_texts)]
+                part = batch.slice(piece.rows.start, piece.n_texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "passages"])
+
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, max_passages: int = 48) -> AttentionModel:
     """A model from the labelled rows of ``docs``.
 
     ``docs``: doc_id, text; ``labels``: doc_id, quality (0 or 1; null is no label; the mean decides among several). At most
-    ``max_fit`` documents of at most ``max_chars`` characters are taken, in the
-    order of a hash of doc_id. Without labels every score is one half.
+    ``max_fit`` documents are taken, in the order of a hash of doc_id, and of each
+    ``max_passages`` passages at most, so the driver holds 4000 * 48 passages of
+    177 numbers, 136 MB, whatever the lengths of documents. Without labels every
+    score is one half.
     """
     order = lambda df: df.orderBy(F.xxhash64(F.col("doc_id"), F.lit(9)), "doc_id").limit(max_fit)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     # The sample of labels has at most max_fit rows, so it is broadcast.
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars)
-    sample = text.join(F.broadcast(order(known)), "doc_id").select("doc_id", "label", "text").mapInArrow(_encoder, "doc_id long, label int, passages binary")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sample = arrow_map(text.join(F.broadcast(order(known)), "doc_id").select("doc_id", "label", "text"), _encoder(max_passages), "doc_id long, label int, passages binary")
     rows = sorted(order(sample).collect(), key=lambda r: (r["doc_id"], bytes(r["passages"])))
     bags = [np.frombuffer(r["passages"], np.float32).reshape(-1, WIDTH) for r in rows]
     return fit(bags, np.array([r["label"] for r in rows], np.float32))
