@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .runtime import shared_path, small_batches, spare
+from .runtime import arrow_map, shared_path, small_batches, spare
 from .tokens import Piece, mix64, pieces
 
 #: The token that ends every text; no word has this hash but by chance of 2 ** -64.
@@ -206,7 +206,7 @@ def train(docs: DataFrame) -> KneserNey:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())], "texts": [int(counts[keys == END].sum())]})
 
     packed = "part int, packed binary"
-    counted = _dealt(texts.mapInArrow(_counter(lambda k: model.part_of_hash(k), words), packed)).mapInArrow(save_words, "part int, n long, total long, texts long").collect()
+    counted = arrow_map(_dealt(arrow_map(texts, _counter(lambda k: model.part_of_hash(k), words), packed)), save_words, "part int, n long, total long, texts long").collect()
     sizes = np.zeros(parts, np.int64)
     for row in counted:  # a row for each part
         sizes[row["part"]] = row["n"]
@@ -233,7 +233,7 @@ def train(docs: DataFrame) -> KneserNey:
     def save_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (keys, counts) in _gathered(batches):
             store.put(folder, f"pairs-{part}", keys.astype("<u8"))
-            store.put(folder, f"pair_counts-{part}", counts.astype("<u4"))
+            store.put_counts(folder, f"pair_counts-{part}", counts)
             context, word = keys >> np.uint64(32), keys & np.uint64((1 << 32) - 1)
             for kind, ids, values in (
                 (0, context, [counts, counts == 1, counts == 2, counts >= 3]),
@@ -252,17 +252,18 @@ def train(docs: DataFrame) -> KneserNey:
         return [pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int64())]
 
     def save_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = []
-        rest = []
-        for batch in batches:
-            own = batch.column(0).to_numpy() < 0
-            if own.any():
-                kept = batch.filter(pa.array(own))
-                totals += zip(kept.column(2).to_pylist(), kept.column(3).to_pylist(), strict=True)
-            rest.append(batch.filter(pa.array(~own)))
-        out = [(0, c, n) for c, n in totals]
+        out = []
+
+        def tables() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(0).to_numpy() < 0
+                if own.any():
+                    kept = batch.filter(pa.array(own))
+                    out.extend((0, c, n) for c, n in zip(kept.column(2).to_pylist(), kept.column(3).to_pylist(), strict=True))
+                yield batch.filter(pa.array(~own))
+
         # Kinds: 0 a part of pairs, 1 sums by word, 2 sums by context; the last class is the part.
-        for part, (ids, *values) in _gathered(rest):
+        for part, (ids, *values) in _gathered(tables()):
             kind, q = divmod(part, parts)
             low = 0 if q == 0 else int(model.first_id[q]) + 1
             size = int(model.first_id[q + 1]) + 1 - low
@@ -278,8 +279,8 @@ def train(docs: DataFrame) -> KneserNey:
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.int64())], names=["kind", "classes", "n"])
 
     held = "part int, packed binary, classes array<long>, n long"
-    by_part = _dealt(texts.mapInArrow(_counter(part_of_pairs, pairs), packed)).mapInArrow(save_pairs, held)
-    sums = _dealt(by_part).mapInArrow(save_sums, "kind int, classes array<long>, n long").collect()
+    by_part = arrow_map(_dealt(arrow_map(texts, _counter(part_of_pairs, pairs), packed)), save_pairs, held)
+    sums = arrow_map(_dealt(by_part), save_sums, "kind int, classes array<long>, n long").collect()
     classes = [np.sum([r["classes"][:-1] for r in sums if r["kind"] == kind] or [[0] * (4 + kind)], axis=0) for kind in (0, 1)]
     names = (("pairs",), ("followed",), ("context_total", "context_one", "context_two", "context_more"))
     model.present = frozenset(f"{name}-{r['classes'][-1]}" for r in sums for name in names[r["kind"]])
@@ -323,7 +324,7 @@ def probabilities(model: KneserNey, ids: np.ndarray, counts: np.ndarray, first:
         if len(own) and f"pairs-{p}" in model.present:
             known = store.mapped(model.folder, f"pairs-{p}", "<u8")
             i = np.minimum(np.searchsorted(known, pair[own]), len(known) - 1)
-            seen[own] = np.where(known[i] == pair[own], store.mapped(model.folder, f"pair_counts-{p}", "<u4")[i], 0)
+            seen[own] = np.where(known[i] == pair[own], store.mapped_counts(model.folder, f"pair_counts-{p}", len(known))[i], 0)
     d = model.pair_discount
     known = total > 0
     n = np.maximum(total, 1)
@@ -359,7 +360,7 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
                 sums = [np.diff(first), np.add.reduceat((counts > 0).astype(np.int64), first[:-1]), np.add.reduceat(base, first[:-1]), np.add.reduceat(logs, first[:-1])]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(s) for s in sums)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def held_out(doc_id: Column, of: int = 7, which: int = 2) -> Column:

@@ -28,7 +28,7 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
     system.move(own, f"{path}/{name}")
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1024)
 def mapped(folder: str, name: str, kind: str) -> np.ndarray:
     """The array, memory-mapped. In a store that isn't a mounted folder, a worker first copies the file beside itself, once."""
     system, path = _place(folder)
@@ -44,6 +44,16 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
     return np.memmap(local, kind, "r")
 
 
+def put_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """Counts in 32 bits, or in 64 if one needs them; ``mapped_counts`` reads either."""
+    put(folder, name, counts.astype("<u4" if not len(counts) or counts.max() < 1 << 32 else "<u8"))
+
+
+def mapped_counts(folder: str, name: str, n: int) -> np.ndarray:
+    raw = mapped(folder, name, "<u4")
+    return raw if len(raw) == n else raw.view("<u8")
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Compressed by byte planes: those of small numbers are empty."""
     return _SHOWN.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes(), asbytes=True) if len(x) else b""
