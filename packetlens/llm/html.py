@@ -5,10 +5,13 @@ elements say about it: inside the article, inside furniture (menus, headers,
 footers, adverts, forms, comments and so on), or neither. Pages are
 concatenated as token streams, markup included; suffixes sorted by prefix
 doubling bring equal substrings together, and those of ``LONG`` tokens or more
-that occur on several distinct pages of a host are boilerplate. A page keeps
-its article, without furniture and without what a large share of the host's
-pages repeats; where no element marks an article, it keeps the unique runs that
-boilerplate doesn't cover.
+that occur on several distinct pages of a host are boilerplate: every longer
+repeat is covered by its own pieces of that length, so ranks are doubled up to
+it and no further. A page keeps its article, without furniture and without what
+a large share of the host's pages repeats; where no element marks an article,
+it keeps the unique runs that boilerplate doesn't cover. A run that reaches into
+a block from markup or from other blocks takes the block whole or leaves it
+whole; only a run inside a block cuts words out of it.
 
 Tasks make a suffix array of ``PART`` pages at a time and send each other the
 distinct substrings with how many pages hold them; the sums are those of whole
@@ -212,31 +215,33 @@ def repeated(tokens: np.ndarray, page: np.ndarray, length: int, pages: int) -> n
 
 @dataclass
 class Stream:
-    """Blocks and token hashes of some pages. ``open`` tells the tokens that repeats may drop, ``marked`` the pages with an article."""
+    """Blocks and token hashes of some pages. ``open`` tells the tokens that repeats may drop, ``block`` the block of each word (-1: markup), ``marked`` the pages with an article."""
 
     blocks: list[list[tuple[int, str, str]]]
     tokens: np.ndarray
     page: np.ndarray
     open: np.ndarray
+    block: np.ndarray
     marked: np.ndarray
 
     @classmethod
     def of(cls, pages: list[str]) -> Stream:
         found = [blocks(p) for p in pages]
         marked = np.array([any(k == ARTICLE_TEXT for k, _, _ in page) for page in found], bool)
-        runs, drops = [], []
+        runs, drops, own = [], [], []
         for page, has in zip(found, marked.tolist(), strict=True):
             stake = ARTICLE_TEXT if has else PLAIN
             for kind, marks, text in page:
                 runs += (marks.count(">"), text.count(" ") + 1)
                 drops += (False, kind == stake)
+                own += (-1, len(own) // 2)
         # Neither names of elements nor words hold white space.
         said = [" ".join([x for _, marks, text in page for x in (marks.replace("><", "> <"), text)]) for page in found]
         tokens, sizes = [np.empty(0, np.uint64)], []
         for piece in pieces(pa.array(said, pa.string())):
             tokens.append(piece.hashes(lower=False))
             sizes += np.diff(piece.first).tolist()
-        return cls(found, np.concatenate(tokens), np.repeat(np.arange(len(found)), sizes), np.repeat(np.array(drops, bool), runs), marked)
+        return cls(found, np.concatenate(tokens), np.repeat(np.arange(len(found)), sizes), np.repeat(np.array(drops, bool), runs), np.repeat(np.array(own, np.int64), runs), marked)
 
     def least(self, of_host: np.ndarray) -> np.ndarray:
         """Pages that must show a run for it to go from each page; ``of_host`` has how many distinct pages the host of each has."""
@@ -251,9 +256,12 @@ class Stream:
         """A 64-bit hash of each window with its host; ``host`` has a number for each page."""
         return gram_hash([host[self.page[starts]], *(self.tokens[starts + k] for k in range(LONG))])
 
-    def texts(self, gone: np.ndarray) -> list[str]:
-        """Main text of each page; ``gone`` tells the tokens that repeats cover."""
-        gone = gone & self.open
+    def texts(self, hit: np.ndarray) -> list[str]:
+        """Main text of each page; repeated windows start at ``hit``."""
+        n = len(self.tokens)
+        gone = _covered(n, hit, LONG) & self.open
+        inside = hit[(self.block[hit] >= 0) & (self.block[hit] == self.block[hit + LONG - 1])]
+        within = _covered(n, inside, LONG) & self.open
         out, at = [], 0
         for page in self.blocks:
             marked = any(k == ARTICLE_TEXT for k, _, _ in page)
@@ -262,6 +270,8 @@ class Stream:
                 at += marks.count(">")
                 said = text.split(" ")
                 hidden = gone[at : at + len(said)]
+                if not hidden.all():
+                    hidden = within[at : at + len(said)]
                 at += len(said)
                 if kind == GONE or kind == PLAIN and marked:
                     continue
@@ -280,7 +290,7 @@ def extract(pages: list[str]) -> list[str]:
     starts, rank = _windows(stream.tokens, stream.page, LONG)
     least = stream.least(np.full(len(kinds), len(kinds)))
     hit = _pages(rank, stream.page[starts]) >= least[stream.page[starts]]
-    texts = stream.texts(_covered(len(stream.tokens), starts[hit], LONG))
+    texts = stream.texts(starts[hit])
     return [texts[kinds[p]] for p in pages]
 
 
@@ -403,7 +413,7 @@ def main_text(pages: DataFrame, out: str = "text", n_chars: str = "n_chars") ->
                 host = _numbers(piece.column(1))
                 least = stream.least(repeats.pages(gram_hash([host])))
                 often = repeats.pages(stream.keys(starts, host)) >= least[stream.page[starts]]
-                texts = stream.texts(_covered(len(stream.tokens), starts[often], LONG))
+                texts = stream.texts(starts[often])
                 yield pa.RecordBatch.from_arrays([*piece.columns[3:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
     return arrow_map(rows, run, schema)
