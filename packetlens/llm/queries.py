@@ -45,39 +45,44 @@ FROM marked GROUP BY conv_id
 
 
 def _op4_sql() -> str:
-    """The URL filter in DuckDB SQL, a group of CTEs for each level of the tree."""
+    """The URL filter in DuckDB SQL, a group of CTEs for each of the first eight levels of the tree; no path of the tables is deeper."""
+    depth = 8
     rules = sorted(URL_RULES, key=lambda r: (-len(r.text), r.text))
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in rules) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in rules) + " END"
+    siblings = urlfilter.SIBLINGS
     value = urlfilter.VALUE.replace("'", "''")
     ctes = [
         "u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, "
         "coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages)",
         f"paths AS (SELECT host, path, count(*) AS pages, {rule} AS rule, {verdict} AS by_rule FROM u GROUP BY ALL)",
         "f0 AS (SELECT *, CASE WHEN rule IS NULL THEN 0 ELSE pages END AS known, CASE WHEN by_rule = 'block' THEN pages ELSE 0 END AS blocked, "
-        "list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, '' AS template, '' AS shape FROM paths)",
+        "list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, '' AS template FROM paths)",
     ]
-    for d in range(urlfilter.DEPTH):
+    for d in range(depth):
         ctes += [
             f"c{d} AS (SELECT host, template, segs[{d + 1}] AS seg, sum(pages) AS own FROM f{d} WHERE len(segs) > {d} GROUP BY ALL)",
             f"p{d} AS (SELECT host, template, count(*) AS children, sum(own) AS total FROM c{d} GROUP BY ALL)",
             f"m{d} AS (SELECT c.host, c.template, seg, CASE WHEN regexp_matches(seg, '{value}') OR (children > {urlfilter.CHILDREN} AND own < {urlfilter.RARE} * total) THEN '*' ELSE seg END AS part "
             f"FROM c{d} c JOIN p{d} p ON c.host = p.host AND c.template = p.template)",
-            f"f{d + 1} AS (SELECT f.* REPLACE (CASE WHEN part IS NULL THEN f.template ELSE f.template || '/' || part END AS template, "
-            f"CASE WHEN part IS NULL THEN shape WHEN part = '*' THEN shape || '/*' ELSE shape || '/+' END AS shape) "
+            f"f{d + 1} AS (SELECT f.* REPLACE (CASE WHEN part IS NULL THEN f.template ELSE f.template || '/' || part END AS template) "
             f"FROM f{d} f LEFT JOIN m{d} m ON f.host = m.host AND f.template = m.template AND f.segs[{d + 1}] = m.seg)",
         ]
-    last = f"f{urlfilter.DEPTH}"
+    last = f"f{depth}"
     ctes += [
-        f"f AS (SELECT * REPLACE (CASE WHEN len(segs) > {urlfilter.DEPTH} THEN template || '/**' ELSE template END AS template) FROM {last})",
-        "leaf AS (SELECT host, shape, template, sum(known)::BIGINT AS known, sum(blocked)::BIGINT AS blocked FROM f GROUP BY ALL)",
-        "pool AS (SELECT host, shape, sum(known)::BIGINT AS k, sum(blocked)::BIGINT AS b FROM leaf GROUP BY ALL)",
+        f"f AS (SELECT * FROM {last})",
+        f"leaf AS (SELECT host, template, regexp_replace(template, '{siblings}', '/+\\1') AS kin, sum(known)::BIGINT AS known, sum(blocked)::BIGINT AS blocked FROM f GROUP BY ALL)",
+        "pool AS (SELECT host, kin, sum(known)::BIGINT AS k, sum(blocked)::BIGINT AS b FROM leaf GROUP BY ALL)",
         "both_ AS (SELECT leaf.*, k, b, coalesce(CASE WHEN known > 0 AND k - known > 0 THEN abs(blocked / known - (b - blocked) / (k - known)) "
-        f"<= {urlfilter.SAME} * sqrt((b / k) * (1 - b / k) * (1 / known + 1 / (k - known))) ELSE false END, false) AS like_ FROM leaf JOIN pool ON leaf.host = pool.host AND leaf.shape = pool.shape)",
-        "merged AS (SELECT host, shape, sum(known)::BIGINT AS mk, sum(blocked)::BIGINT AS mb FROM both_ WHERE like_ GROUP BY ALL)",
-        "q AS (SELECT both_.*, CASE WHEN like_ THEN mk ELSE known END AS n, CASE WHEN like_ THEN mb ELSE blocked END AS bad FROM both_ LEFT JOIN merged ON both_.host = merged.host AND both_.shape = merged.shape)",
-        f"j AS (SELECT host, template, (bad + {urlfilter.PRIOR}::DOUBLE * o) / (n + {urlfilter.PRIOR}::DOUBLE) AS purity, n FROM q, (SELECT coalesce(sum(blocked) / nullif(sum(known), 0), 0)::DOUBLE AS o FROM leaf) x)",
+        f"<= {urlfilter.SAME} * sqrt((b / k) * (1 - b / k) * (1 / known + 1 / (k - known))) ELSE false END, false) AS like_ FROM leaf JOIN pool ON leaf.host = pool.host AND leaf.kin = pool.kin)",
+        "merged AS (SELECT host, kin, sum(known)::BIGINT AS mk, sum(blocked)::BIGINT AS mb FROM both_ WHERE like_ GROUP BY ALL)",
+        "q AS (SELECT both_.*, CASE WHEN like_ THEN mk ELSE known END AS n, CASE WHEN like_ THEN mb ELSE blocked END AS bad FROM both_ LEFT JOIN merged ON both_.host = merged.host AND both_.kin = merged.kin)",
+        "up AS (SELECT host, template, known, blocked, n, unnest(list_transform(range(1, greatest(len(string_split(template, '/')), 2)), lambda k: array_to_string(string_split(template, '/')[1:k], '/'))) AS above FROM q)",
+        "nodes AS (SELECT host, above, count(*) AS nn, sum(CASE WHEN blocked * 2 >= known THEN 1 ELSE 0 END)::BIGINT AS nb FROM up WHERE n > 0 GROUP BY ALL)",
+        "near AS (SELECT up.host, up.template, arg_max(nn, length(above)) AS nn, arg_max(nb, length(above)) AS nb FROM up JOIN nodes USING (host, above) WHERE up.n = 0 GROUP BY ALL)",
+        "r AS (SELECT q.host, q.template, coalesce(nn, n) AS n, coalesce(nb, bad) AS bad FROM q LEFT JOIN near ON q.host = near.host AND q.template = near.template)",
+        f"j AS (SELECT host, template, (bad + {urlfilter.PRIOR}::DOUBLE * o) / (n + {urlfilter.PRIOR}::DOUBLE) AS purity, n FROM r, (SELECT coalesce(sum(blocked) / nullif(sum(known), 0), 0)::DOUBLE AS o FROM leaf) x)",
     ]
     return (
         f"WITH {', '.join(ctes)} SELECT page_id, u.host, u.path, f.rule, coalesce(by_rule, CASE WHEN n > 0 AND purity >= {urlfilter.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, f.template, purity "

@@ -70,6 +70,13 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() * 16 * len(rows.columns) <= BROADCAST_BYTES else rows
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """``rows``, which may hold texts, to be broadcast if their bytes, summed first, are few."""
+    own = [F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(0) for c, t in rows.dtypes]
+    size = rows.agg(F.sum(sum(own, F.lit(16 * len(own))).cast("long"))).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
+
+
 def give_back() -> None:
     """Returns a worker's freed memory to the system; the worker lives on and waits for other tasks."""
     gc.collect()

@@ -2,11 +2,15 @@
 
 The tree of a host has a level for each path segment. A segment becomes a
 wildcard if it looks like a value (digits, dates, hex) or is one of many rare
-children of its parent. Branches of one shape whose share of blocked pages is
-statistically the same are merged. A template is rejected when its share of
+children of its parent. Sibling branches, which differ in their last literal
+segment alone, are merged where their shares of blocked pages are statistically
+the same. A template is rejected when its share of
 labelled pages that are blocked, smoothed towards the share among all labelled
-pages, reaches a threshold. Rules label the pages they fit; the caller may give
-more labels.
+pages, reaches a threshold. A template without labelled pages is judged by its
+nearest ancestor that has some, in which every labelled template counts as one
+observation, blocked or allowed by its majority: pages of one branch resemble
+each other, so a branch says little about its siblings and many of them say
+much. Rules label the pages they fit; the caller may give more labels.
 """
 
 from __future__ import annotations
@@ -17,10 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import lower_ascii, spare, written
+from .runtime import lower_ascii, small, spare, written
 
-#: Segments below this depth count as one wildcard.
-DEPTH = 8
 #: A parent with more children than this makes those with less than RARE of its pages a wildcard.
 CHILDREN = 16
 RARE = 0.05
@@ -29,6 +31,8 @@ PRIOR = 4.0
 REJECT = 0.8
 #: Standard errors within which two shares are the same.
 SAME = 1.96
+#: A template's last literal segment, and the wildcards after it.
+SIBLINGS = r"/[^/*][^/]*((?:/\*)*)$"
 VALUE = r"^(?:\d[\d_.,-]*|[0-9a-fA-F]{8,}|[0-9a-fA-F-]{32,})(?:\.[A-Za-z0-9]{1,5})?$"
 
 
@@ -62,55 +66,70 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 
 def templates(paths: DataFrame) -> DataFrame:
-    """(host, path, pages, known, blocked) with the path's template and its shape.
+    """(host, path, pages, known, blocked) with the path's template.
 
-    A level at a time: the children of each node are counted, then every path
-    gets its own or a wildcard segment. All hosts go together; tables of
-    counts, never rows of pages, are joined.
+    A level at a time, to the deepest: the children of each node are counted,
+    then every path gets its own or a wildcard segment. Paths that have ended
+    wait aside. All hosts go together; tables of counts, never rows of pages, are
+    joined, and broadcast where they are small.
     """
-    found = paths.withColumn("left", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit("")).withColumn("shape", F.lit(""))
-    depth = min(DEPTH, found.agg(F.max(F.size("left"))).first()[0] or 0)
-    for level in range(depth):
-        found = found.withColumn("seg", F.get("left", F.lit(level)))
-        there = found.where("seg is not null")
+    found = paths.withColumn("left", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
+    ended = []
+    for level in range(found.agg(F.max(F.size("left"))).first()[0] or 0):
+        ended.append(found.where(F.size("left") == level))
+        there = found.where(F.size("left") > level).withColumn("seg", F.get("left", F.lit(level)))
         child = there.groupBy("host", "template", "seg").agg(F.sum("pages").alias("own"))
         parent = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("own").alias("all"))
         rare = (F.col("children") > CHILDREN) & (F.col("own") < RARE * F.col("all"))
         named = child.join(parent, ["host", "template"]).select("host", "template", "seg", F.when(F.col("seg").rlike(VALUE) | rare, "*").otherwise(F.col("seg")).alias("part"))
-        found = found.join(named, ["host", "template", "seg"], "left")
-        more = F.col("part").isNotNull()
-        found = found.withColumn("shape", F.when(more, F.concat("shape", F.lit("/"), F.when(F.col("part") == "*", "*").otherwise("+"))).otherwise(F.col("shape")))
-        found = written(found.withColumn("template", F.when(more, F.concat("template", F.lit("/"), "part")).otherwise(F.col("template"))).drop("seg", "part"), "level")
-    deep = F.size("left") > DEPTH
-    return found.withColumn("template", F.when(deep, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("left")
+        there = there.join(small(written(named, "named")), ["host", "template", "seg"])
+        found = written(there.withColumn("template", F.concat("template", F.lit("/"), "part")).drop("seg", "part"), "level")
+    for rows in ended:
+        found = found.unionByName(rows)
+    return found.drop("left")
 
 
 def judged(found: DataFrame) -> DataFrame:
     """(host, template) with the smoothed purity of its branch, after merging, and whether it is rejected."""
-    leaf = written(found.groupBy("host", "shape", "template").agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked")), "leaves")
+    leaf = found.groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked"))
+    leaf = written(leaf.withColumn("kin", F.regexp_replace("template", SIBLINGS, "/+$1")), "leaves")
     known, blocked = leaf.agg(F.sum("known"), F.sum("blocked")).first()
     overall = (blocked or 0) / known if known else 0.0
-    pool = leaf.groupBy("host", "shape").agg(F.sum("known").alias("k"), F.sum("blocked").alias("b"))
-    both = leaf.join(pool, ["host", "shape"])
+    pool = leaf.groupBy("host", "kin").agg(F.sum("known").alias("k"), F.sum("blocked").alias("b"))
+    both = leaf.join(pool, ["host", "kin"])
     rest = F.col("k") - F.col("known")
     share = F.col("b") / F.col("k")
     error = F.sqrt(share * (1 - share) * (1 / F.col("known") + 1 / rest))
     gap = F.abs(F.col("blocked") / F.col("known") - (F.col("b") - F.col("blocked")) / rest)
     like = F.when((F.col("known") > 0) & (rest > 0), gap <= SAME * error).otherwise(F.lit(False))
     both = both.withColumn("like", like)
-    merged = both.where("like").groupBy("host", "shape").agg(F.sum("known").alias("mk"), F.sum("blocked").alias("mb"))
-    both = both.join(merged, ["host", "shape"], "left")
+    merged = both.where("like").groupBy("host", "kin").agg(F.sum("known").alias("mk"), F.sum("blocked").alias("mb"))
+    both = both.join(merged, ["host", "kin"], "left")
     n = F.when(F.col("like"), F.col("mk")).otherwise(F.col("known"))
     bad = F.when(F.col("like"), F.col("mb")).otherwise(F.col("blocked"))
+    both = written(both.select("host", "template", "known", "blocked", n.alias("n"), bad.alias("bad")), "branches")
+    # Ancestors: every labelled template is one observation, blocked or allowed by its majority.
+    seen = both.where("n > 0").select("host", F.explode(_ancestors(F.col("template"))).alias("above"), (F.col("blocked") * 2 >= F.col("known")).cast("long").alias("bad"))
+    seen = seen.groupBy("host", "above").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    asks = both.where("n = 0").select("host", "template", F.explode(_ancestors(F.col("template"))).alias("above"))
+    near = asks.join(seen, ["host", "above"]).groupBy("host", "template").agg(F.max(F.struct(F.length("above"), "n", "bad")).alias("near"))
+    both = both.join(near, ["host", "template"], "left")
+    n, bad = F.coalesce("near.n", "n"), F.coalesce("near.bad", "bad")
     purity = (bad + PRIOR * overall) / (n + PRIOR)
     return both.select("host", "template", purity.alias("purity"), ((n > 0) & (purity >= REJECT)).alias("rejected"))
 
 
+def _ancestors(template: Column) -> Column:
+    """The nodes above a template; the empty one, which is the host, first."""
+    parts = F.split(template, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], labels: DataFrame | None = None) -> DataFrame:
     """``pages`` with host, path, rule, verdict, template and purity for each ``url``.
 
     The longest rule that fits decides; other pages are blocked where their
-    template is rejected, and allowed else. ``labels`` (url, blocked boolean)
+    template is rejected, and allowed else (see ``judged``). ``labels`` (url, blocked boolean)
     adds labelled urls to those that rules label. Added columns get underscores
     in front if ``pages`` has their names.
 
@@ -128,7 +147,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], labels: DataFrame | Non
         told = told.groupBy("host", "path").agg(F.count(F.lit(1)).alias("told"), F.sum("bad").alias("bad"))
         paths = paths.join(told, ["host", "path"], "left").withColumn("known", F.col("known") + F.coalesce("told", F.lit(0))).withColumn("blocked", F.col("blocked") + F.coalesce("bad", F.lit(0))).drop("told", "bad")
     found = templates(written(paths, "paths"))
-    table = found.join(judged(found), ["host", "template"]).select(
+    table = found.join(small(written(judged(found), "judged")), ["host", "template"]).select(
         F.col("host").alias("_h"), F.col("path").alias("_p"), "rule", F.coalesce("by_rule", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), "template", "purity"
     )
     table = written(table, "verdicts")

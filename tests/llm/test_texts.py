@@ -141,6 +141,27 @@ def test_templates_are_rejected_by_purity(spark) -> None:
     assert {t for _, t in found.values()} == {"/spam/*/*", "/good/*/*"}
 
 
+def test_templates_without_labels_ask_their_ancestors(spark) -> None:
+    """An unruled page is blocked where enough labelled branches around it are, and one blocked branch says nothing about its siblings."""
+    pages = [(f"http://h.org/spam/kind{k}/{i}", True) for k in range(12) for i in range(1, 4)] + [(f"http://h.org/good/kind{k}/{i}", False) for k in range(12) for i in range(1, 4)]
+    asks = ["http://h.org/spam/kind99/1/2/3/4/5/6/7/8/9/x", "http://h.org/spam/other", "http://h.org/good/other", "http://h.org/news/1", "http://one.org/de/1"]
+    told = [*pages, ("http://one.org/es/1", True), ("http://one.org/es/2", True)]
+    labels = spark.createDataFrame(told, "url string, blocked boolean")
+    frame = spark.createDataFrame([(u,) for u, _ in told] + [(u,) for u in asks] + [(asks[0],)], "url string")
+    found = {r["url"]: (r["verdict"], r["template"]) for r in urlfilter.filter_urls(frame, (), labels).collect()}
+    assert [found[u][0] for u in asks] == ["block", "block", "allow", "allow", "allow"]
+    assert found[asks[0]][1] == "/spam/kind99/*/*/*/*/*/*/*/*/*/x"  # as deep as the path is
+    assert all(found[u][0] == ("block" if bad else "allow") for u, bad in pages)  # two labelled pages, as on one.org, are too few
+
+
+def test_urls_with_long_paths_and_repeated_rows(spark) -> None:
+    deep = "http://h.org/" + "/".join(f"part{i}" for i in range(30))
+    long = "http://h.org/" + "x" * 100_000
+    rows = [(1, deep), (1, deep), (2, long), (3, "http://h.org"), (4, "http://h.org///a//b")]
+    found = sorted((r["page_id"], r["template"], r["verdict"]) for r in urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect())
+    assert found == sorted([(1, deep[12:], "allow")] * 2 + [(2, long[12:], "allow"), (3, "", "allow"), (4, "/a/b", "allow")])
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><header class='site'>Site</header><nav><a href=/>Home</a></nav>"
     "<div class='cookie-notice'>We use cookies</div><article><h1>Title &amp; more</h1><p>One <b>two</b>\n  three<br>four</p><div class=\"ad\">Buy</div><p>x&lt;y &#233;</p>"
@@ -185,6 +206,72 @@ def test_html_repeats_decide_inside_articles(spark) -> None:
     assert [r["text"] for r in html.main_text(frame).orderBy("page_id").collect()] == said
 
 
+def test_html_against_brute_force(spark) -> None:
+    """Pages of several hosts, with and without articles, repeats counted in plain Python over the whole host."""
+    r = random.Random(8)
+    phrase = lambda k: " ".join(f"p{k}w{j}" for j in range(r.choice([5, 8, 11])))
+    stock, notice = [phrase(k) for k in range(12)], " ".join(f"notice{j}" for j in range(9))
+    say = lambda: " ".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 12)))
+    body = lambda: "".join(f"<{t}>{r.choice([say(), r.choice(stock), say() + ' ' + r.choice(stock) + ' ' + say(), 'body'])}</{t}>" for t in r.choices(["p", "div", "li"], k=r.randint(1, 8)))
+    rows = []
+    for i in range(240):
+        page = r.choice([*[lambda: f"<main>{body()}<div>{notice}</div></main>"] * 4, body, lambda: f"{body()}<nav>menu</nav>{body()}"])()
+        rows.append((i, f"http://h{i % 3}.org/{i}", page))
+    rows += [(300 + i, "http://h0.org/x", rows[0][2]) for i in range(5)]
+    by_host: dict = defaultdict(dict)
+    for _, url, page in rows:
+        by_host[url.split("/")[2]][page] = None
+
+    def stream(page: str) -> list:
+        out = []
+        for b, (kind, marks, text) in enumerate(html.blocks(page)):
+            out += [(m, None, None) for m in marks.replace("><", "> <").split()] + [(w, b, kind) for w in text.split()]
+        return out
+
+    wanted = {}
+    for host, kinds in by_host.items():
+        seen: dict = defaultdict(set)
+        for page in kinds:
+            s = [w for w, _, _ in stream(page)]
+            for i in range(len(s) - 7):
+                seen[tuple(s[i : i + 8])].add(page)
+        for page in kinds:
+            s = stream(page)
+            marked = any(kind == html.ARTICLE_TEXT for _, _, kind in s)
+            stake = html.ARTICLE_TEXT if marked else html.PLAIN
+            least = max(html.ARTICLE_PAGES, html.SHARE * len(kinds)) if marked else html.PAGES
+            covered, within = set(), set()
+            for i in range(len(s) - 7):
+                if len(seen[tuple(w for w, _, _ in s[i : i + 8])]) >= least:
+                    covered |= set(range(i, i + 8))
+                    if s[i][1] is not None and s[i][1] == s[i + 7][1]:
+                        within |= set(range(i, i + 8))
+            kept: list = []
+            for b in sorted({b for _, b, _ in s if b is not None}):
+                own = [i for i, x in enumerate(s) if x[1] == b]
+                if s[own[0]][2] == stake and not set(own) <= covered:
+                    kept += [s[i][0] for i in own if i not in within]
+            wanted[host, page] = " ".join(kept)
+    found = {x["page_id"]: x["text"] for x in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert found == {i: wanted[url.split("/")[2], page] for i, url, page in rows}
+    without = {i: " ".join(w for w, b, kind in stream(page) if b is not None and kind == (html.ARTICLE_TEXT if "<main>" in page else html.PLAIN)) for i, _, page in rows}
+    changed = {i for i, *_ in rows if found[i] != without[i]}
+    # The repeats decide on pages with an article and on pages without.
+    assert any("<main>" in page for i, _, page in rows if i in changed) and any("<main>" not in page for i, _, page in rows if i in changed)
+
+
+def test_words_after_repeated_markup_stay() -> None:
+    """A run that ends inside a block doesn't cut the block's first word."""
+    pages = [f"<div>menu one two three four five six seven</div><div>body {i}</div>" for i in range(6)]
+    assert html.extract(pages) == [f"body {i}" for i in range(6)]
+
+
+def test_html_of_a_very_long_page(spark) -> None:
+    text = " ".join(f"w{i}" for i in range(300_000))
+    frame = spark.createDataFrame([(1, "http://a.org/", f"<nav>x</nav><article><p>{text}</p></article>")], "page_id long, url string, html string")
+    assert html.main_text(frame).first()["text"] == text
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
@@ -237,6 +324,32 @@ def test_classifier(spark) -> None:
     assert quality.score(docs.limit(0), quality.learn(docs, labels)).count() == 0
 
 
+def test_long_documents_enter_the_fit() -> None:
+    assert quality.spread(3, 8, 10).tolist() == [3, 4, 5, 6, 7]
+    found = quality.spread(10, 1010, 48)
+    assert len(set(found.tolist())) == 48 and found[0] == 10 and found[-1] == 1009 and np.all(np.diff(found) > 0)
+
+
+def test_forward_pass_against_plain_python() -> None:
+    rng = np.random.default_rng(3)
+    bags = [rng.normal(size=(n, quality.WIDTH)).astype(np.float32) for n in (1, 2, 4)]
+    model = quality.fit(bags, np.array([0.0, 1.0, 0.0], np.float32), epochs=2)
+    w = {k: np.array(v, np.float64) for k, v in model.w.items()}
+    model.w = w
+    scores = model.forward(np.concatenate(bags).astype(np.float64), np.array([0, 1, 3, 7]))[0]
+    for bag, score in zip(bags, scores, strict=True):
+        hidden, weight = [], []
+        for passage in bag.astype(np.float64):
+            z = [min(8.0, max(-8.0, (passage[i] - w["mean"][i]) / w["scale"][i])) for i in range(quality.WIDTH)]
+            h = [math.tanh(sum(z[i] * w["W"][i, j] for i in range(len(z))) + w["b"][j]) for j in range(len(w["b"]))]
+            gate = [math.tanh(sum(h[i] * w["V"][i, j] for i in range(len(h)))) / (1 + math.exp(-sum(h[i] * w["U"][i, j] for i in range(len(h))))) for j in range(len(w["q"]))]
+            hidden.append(h)
+            weight.append(math.exp(sum(g * q for g, q in zip(gate, w["q"], strict=True))))
+        total = sum(weight)
+        pooled = [sum(a / total * h[j] for a, h in zip(weight, hidden, strict=True)) for j in range(len(w["c"]))]
+        assert score == pytest.approx(1 / (1 + math.exp(-(sum(p * c for p, c in zip(pooled, w["c"], strict=True)) + float(w["d"])))), rel=1e-9)
+
+
 def test_gradients() -> None:
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, quality.WIDTH)).astype(np.float32) for n in (1, 3, 5)]
