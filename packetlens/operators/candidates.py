@@ -46,6 +46,11 @@ def label_values(text: Column) -> list[tuple[str, int, Column]]:
     return [(field, i, T.collapse(T.capture(text, rf"\b{label}\s*:\s*([^|]+)$"))) for i, (field, label) in enumerate(pairs)]
 
 
+def has_label(text: Column) -> Column:
+    """Whether a span holds any label at all; without one neither ``label_values`` nor ``glued_value`` finds a thing."""
+    return T.matches(text, "|".join([*(label for labels in V.LABELS.values() for label in labels), V.FEE_LABEL]))
+
+
 def glued_value(text: Column, field: str) -> Column:
     """Value of a form row read as one line, with or without a colon."""
     labels = "|".join(V.LABELS[field])
@@ -129,14 +134,15 @@ def span_candidates(spans: DataFrame, pages: DataFrame) -> DataFrame:
     ocr = F.startswith("source", F.lit("ocr:"))
     rank = F.col("page_rank").cast(RANK) + F.when(ocr, _dec(V.OCR_OFFSET)).otherwise(_dec("0"))
     cells = right_cells(spans, label_of(text).isNotNull() & ~is_correction(text)).withColumnRenamed("value", "cell")
-    known = known.join(cells, [*keys, "ord"], "left").withColumns({"rank": rank, "plain": ~is_correction(text)})
+    known = known.join(cells, [*keys, "ord"], "left").withColumns({"rank": rank, "plain": ~is_correction(text), "labelled": has_label(text)})
     plain = F.col("plain")
     fields = list(V.LABELS)
     cell = F.when(~F.contains(T.fold(F.col("cell")), F.lit("sample denial")), F.col("cell"))
     named, corrected = correction(text)
+    labelled = plain & F.col("labelled")
     rows = [_row(label_of(text), F.col("rank"), F.when(plain, cell), F.col("source"), 1, 0)]
-    rows += [_row(f, F.col("rank"), F.when(plain, v), F.col("source"), 2, i) for f, i, v in label_values(text)]
-    rows += [_row(f, F.col("rank"), F.when(plain, glued_value(text, f)), F.col("source"), 3, i) for i, f in enumerate(fields)]
+    rows += [_row(f, F.col("rank"), F.when(labelled & F.contains(text, F.lit(":")), v), F.col("source"), 2, i) for f, i, v in label_values(text)]
+    rows += [_row(f, F.col("rank"), F.when(labelled, glued_value(text, f)), F.col("source"), 3, i) for i, f in enumerate(fields)]
     rows += [
         _row(named, _dec(V.CORRECTION_RANK), corrected, "manual_correction", 4, 0),
         _row("sponsor_id", F.col("rank"), attested_sponsor(text), "sponsor_attestation", 5, 0),

@@ -25,10 +25,22 @@ def weak_source(source: Column) -> Column:
     return source.isNull() | source.isin("rapidocr", "forensic_ocr", "layout_text") | F.coalesce(F.startswith(source, F.lit("ocr")), F.lit(False))
 
 
-def with_proof(packets: DataFrame, name: str = "proof", *extra: str) -> DataFrame:
-    """Adds the injection-free text of the layout and of ``extra`` columns, joined by line feeds."""
-    parts = [F.col("layout_text"), *(T.strip_injection(F.col(c)) for c in (extra or ("page_text", "all_text")))]
-    return sealed(packets.withColumn(name, F.concat_ws("\n", *(F.nullif(p, F.lit("")) for p in parts))))
+def with_page_proof(packets: DataFrame) -> DataFrame:
+    """Adds ``page_proof``, the injection-free text of layout and pages, unless it is there already."""
+    if "page_proof" in packets.columns:
+        return packets
+    return sealed(packets.withColumn("page_proof", _lines(F.col("layout_text"), T.strip_injection(F.col("page_text")))))
+
+
+def with_proof(packets: DataFrame) -> DataFrame:
+    """Adds ``proof``, the injection-free text of layout, pages and OCR, unless it is there already."""
+    if "proof" in packets.columns:
+        return packets
+    return sealed(with_page_proof(packets).withColumn("proof", _lines(F.col("page_proof"), T.strip_injection(F.col("all_text")))))
+
+
+def _lines(*parts: Column) -> Column:
+    return F.concat_ws("\n", *(F.nullif(p, F.lit("")) for p in parts))
 
 
 def _open(field: str) -> Column:
@@ -118,7 +130,7 @@ def repair_field(packets: DataFrame, field: str, proof: str = "proof") -> DataFr
 
 
 def repair(packets: DataFrame) -> DataFrame:
-    """All repairs on the proof of layout, page and OCR texts, then ``normalize_record``."""
+    """All repairs on the proof of layout, page and OCR texts, then ``normalize_record``. The proofs stay, for the gates."""
     df = with_proof(packets)
     for field in PICKS:
         df = repair_field(df, field)

@@ -90,6 +90,12 @@ def pages_to_ocr(pages: DataFrame, spans: DataFrame, images: DataFrame) -> DataF
     return missing.unionByName(footer_pages(pages)).unionByName(image_pages(images)).distinct()
 
 
+def oracle_pages(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """(case_id, page) that an outside reader sees: pages with an image, and every first page even without one."""
+    keys = ["case_id", "page"]
+    return pages.where("page = 1").select(keys).unionByName(pages.select(keys).join(images.select(keys).distinct(), keys, "left_semi")).distinct()
+
+
 def audit_pages(pages: DataFrame, images: DataFrame, to_ocr: DataFrame, needs: DataFrame) -> DataFrame:
     """(case_id, page) to audit for unknown fields.
 

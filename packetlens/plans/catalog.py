@@ -12,7 +12,7 @@ from packetlens.functions import vocab as V
 from packetlens.operators import analysis, decide, driver, fill, ocr, repair, resolve, spans
 from packetlens.operators import candidates as C
 
-from . import pipeline
+from . import folder, pipeline
 from .fixtures import STALE, fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,11 @@ def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.audit_pages(pages, images, todo, needs)
 
 
+@query
+def oracle_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.oracle_pages(page_texts(spark, sf_dir), fixture(spark, sf_dir, "images"))
+
+
 @query
 def page_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, _, todo = _todo(spark, sf_dir)
@@ -189,13 +194,13 @@ def same_line_value(rows: DataFrame) -> DataFrame:
 
 def _exploded(rows: DataFrame, pairs: list[tuple[str, Column]]) -> DataFrame:
     values = F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in pairs))
-    plain = rows.where(~C.is_correction(F.col("text")))
+    plain = rows.where(C.has_label(F.col("text")) & ~C.is_correction(F.col("text")))
     return plain.select("case_id", "page", "ord", F.explode(values).alias("c")).select("case_id", "page", "ord", "c.*").where("value is not null")
 
 
 @on("spans")
 def label_value_pairs(rows: DataFrame) -> DataFrame:
-    return _exploded(rows, [(f, v) for f, _, v in C.label_values(F.col("text"))])
+    return _exploded(rows.where(F.contains("text", F.lit(":"))), [(f, v) for f, _, v in C.label_values(F.col("text"))])
 
 
 @on("spans")
@@ -417,6 +422,14 @@ def pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Driver and analysis
 
 
+@query
+def folder_to_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every packet of a folder gets a record: those that could be read theirs, the others the blank one."""
+    cases = fixture(spark, sf_dir, "wide").select("case_id")
+    unreadable = cases.where(F.substring("case_id", -1, 1) == "7")
+    return folder.records_of(cases, pipeline_layout(spark, sf_dir).join(unreadable, "case_id", "left_anti"))
+
+
 @query
 def emit_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = pipeline_layout(spark, sf_dir)
@@ -442,6 +455,11 @@ def pure_miss_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.pure_misses(fixture(spark, sf_dir, "truth"), fixture(spark, sf_dir, "predictions"))
 
 
+@query
+def first_miss_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.first_misses(fixture(spark, sf_dir, "truth"), fixture(spark, sf_dir, "predictions"), 40)
+
+
 @query
 def risk_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(spark, sf_dir).select("case_id", "page", *(v.alias(k) for k, v in T.signals(F.col("text")).items()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from packetlens.functions import vocab as V
+from packetlens.operators import analysis
 
 from . import duck as D
 from .fixtures import STALE, with_clause
@@ -232,6 +233,19 @@ img AS (SELECT DISTINCT case_id, page FROM images WHERE greatest(width, height)
 todo AS (SELECT case_id, page FROM page_text EXCEPT SELECT case_id, page FROM mean UNION SELECT case_id, page FROM foot UNION SELECT case_id, page FROM img)
 """
 
+_LAYOUT = ("case_id", "applicant_name", "species_code", "home_world", "visa_class", "sponsor_id", "arrival_date", "declared_purpose", f"{_EMIT_RISK} AS risk_flags", "fee_status", "adjudication", "confidence")
+_LAID_OUT = f"{_W}, {_PROOF}, {_REPAIRED}, {_DECIDE.replace('{source}', 'rp')}, {_CLEAN}, {_CONS.replace('{source}', 'c')}"
+_FLAT_FLAGS = D.names(*((f"contains(replace(replace(lower(text), '-', '_'), ' ', '_'), {D.q(f)})", f) for f in V.RISK_FLAGS))
+
+
+def _blank(field: str) -> str:
+    return D.q(V.BLANK[field]) if isinstance(V.BLANK[field], str) else f"{V.BLANK[field]}::DOUBLE"
+
+
+def _flat(label: str) -> str:
+    return rf"{label}\s*[:#-]\s*(.+?)(?:\s+(?:{analysis.NEXT_LABEL})\s*[:#-]|$)"
+
+
 ORACLES: dict[str, str] = {
     "adjudicate_packets": over(
         "packets",
@@ -355,10 +369,36 @@ ORACLES: dict[str, str] = {
     "decide_packets": over("wide", "SELECT case_id, adjudication, confidence, reason FROM d", f"{_W}, {_DECIDE.replace('{source}', 'w')}"),
     "clean_packet_gate": over("wide", "SELECT case_id, adjudication, confidence, gate, risk_source FROM c", f"{_W}, {_DECIDE.replace('{source}', 'w')}, {_CLEAN}"),
     "consensus_gate": over("wide", "SELECT case_id, adjudication, confidence, gate FROM e", f"{_W}, {_DECIDE.replace('{source}', 'w')}, {_CONS.replace('{source}', 'd')}"),
-    "pipeline_layout": over(
+    "pipeline_layout": over("wide", f"SELECT {', '.join(_LAYOUT)} FROM e", _LAID_OUT),
+    "folder_to_records": over(
         "wide",
-        f"SELECT case_id, applicant_name, species_code, home_world, visa_class, sponsor_id, arrival_date, declared_purpose, {_EMIT_RISK} AS risk_flags, fee_status, adjudication, confidence FROM e",
-        f"{_W}, {_PROOF}, {_REPAIRED}, {_DECIDE.replace('{source}', 'rp')}, {_CLEAN}, {_CONS.replace('{source}', 'c')}",
+        "SELECT case_id, " + ", ".join(f"CASE WHEN right(case_id, 1) = '7' THEN {_blank(f)} ELSE coalesce({f}, {_blank(f)}) END AS {f}" for f in V.BLANK) + f" FROM (SELECT {', '.join(_LAYOUT)} FROM e)",
+        _LAID_OUT,
+    ),
+    "emit_jsonl": over("wide", f"SELECT case_id, to_json(struct_pack({', '.join(f'{f} := {f}' for f in sorted(['case_id', *V.BLANK]))}))::VARCHAR AS line FROM (SELECT {', '.join(_LAYOUT)} FROM e)", _LAID_OUT),
+    "oracle_pages": over(("page_text", "images"), "SELECT DISTINCT p.case_id, p.page FROM page_text p LEFT JOIN images i ON p.case_id = i.case_id AND p.page = i.page WHERE p.page = 1 OR i.case_id IS NOT NULL"),
+    "first_miss_ids": over(
+        "predictions",
+        "SELECT t.case_id FROM truth t JOIN predictions p ON t.case_id = p.case_id WHERE t.adjudication = 'APPROVED' AND p.adjudication = 'NEEDS_REVIEW' AND "
+        + " AND ".join(f"lower(coalesce(p.{k}, '')) = lower(coalesce(t.{k}, ''))" for k in ("risk_flags", "fee_status", "visa_class", "sponsor_id", "species_code", "home_world"))
+        + " ORDER BY 1 LIMIT 40",
+    ),
+    "alt_extract": over(
+        "page_text",
+        "SELECT case_id, risk_flags, " + ", ".join(f"max(value) FILTER (WHERE field = '{f}') AS {f}" for f in (*analysis.TOKENS, *analysis.FLAT_LABELS)) + " FROM fl LEFT JOIN (SELECT * FROM rk WHERE k = 1) USING (case_id) GROUP BY ALL",
+        f"fl AS (SELECT case_id, {D.pipes('list_sort(list_distinct(flatten(list(' + _FLAT_FLAGS + '))))')} AS risk_flags FROM page_text GROUP BY case_id), "
+        "c AS ("
+        + " UNION ALL ".join(
+            [
+                f"SELECT case_id, page, ocr_only, '{f}' AS field, upper(unnest({D.every('text', p, 0)})) AS value, generate_subscripts({D.every('text', p, 0)}, 1) AS place FROM page_text"
+                for f, p in analysis.TOKENS.items()
+            ]
+            + [
+                f"SELECT case_id, page, ocr_only, '{f}' AS field, coalesce({', '.join(D.collapse(D.ext('text', _flat(x))) for x in labels)}) AS value, 0 AS place FROM page_text"
+                for f, labels in analysis.FLAT_LABELS.items()
+            ]
+        )
+        + "), rk AS (SELECT *, row_number() OVER (PARTITION BY case_id, field ORDER BY ocr_only, -(1.0 / page), page, place) AS k FROM c WHERE value IS NOT NULL)",
     ),
     "packet_slice": over("packets", "SELECT case_id, visa_class FROM packets ORDER BY case_id LIMIT 500 OFFSET 100"),
     "case_list_join": over("packets", "SELECT pos, case_id, visa_class, fee_status FROM packets JOIN (SELECT o_orderkey AS ok, 1000000000000 - o_orderkey AS pos FROM orders) x ON k = ok"),

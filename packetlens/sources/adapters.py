@@ -2,7 +2,8 @@
 
 Each takes a packet relation (case_id, content) and returns a relation with a
 fixed schema by ``mapInPandas``. Where a library is missing the adapter says so
-before any job runs; a packet that can't be read gives no rows, or one with its error.
+before any job runs. A packet that can't be opened gives no rows, and one of
+``unreadable`` with its error. Rows are built by plain functions.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import os
 import shutil
 import subprocess
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -21,10 +22,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetlens.operators.ocr import distinct_texts
 
-from .readers import IMAGES, PAGES, RASTERS, READS, SPANS, WORDS
+from .readers import ERRORS, IMAGES, PAGES, RASTERS, READS, SPANS, WORDS
 
 # Rendering resolutions of the OCR ladder.
 OCR_DPI, RAPID_DPI, BOOST_DPI, FORENSIC_DPI = 160, 140, 200, 180
@@ -41,77 +43,94 @@ def _need(module: str | None = None, program: str | None = None) -> None:
         raise AdapterMissing(f"the program {program} is not installed")
 
 
-def text_spans(packets: DataFrame) -> DataFrame:
-    """Every text run of every page with its geometry; filters stay in Catalyst."""
+def _opened(frame: pd.DataFrame) -> Iterator[tuple[str, object, str | None]]:
+    """(case_id, document, None) of each packet, or (case_id, None, error) of one that can't be opened."""
+    import fitz
+
+    for case_id, content in zip(frame["case_id"], frame["content"], strict=True):
+        try:
+            document = fitz.open(stream=bytes(content), filetype="pdf")
+        except Exception as error:
+            yield case_id, None, f"{type(error).__name__}: {error}"
+            continue
+        with document:
+            yield case_id, document, None
+
+
+def _mapped(packets: DataFrame, rows_of: Callable[[str, object], Iterable[tuple]], schema: T.StructType) -> DataFrame:
+    """The rows of every packet that can be opened; ``unreadable`` names the others."""
     _need("fitz")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
+        for frame in frames:
+            rows = [row for case_id, document, _ in _opened(frame) if document is not None for row in rows_of(case_id, document)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return packets.select("case_id", "content").mapInPandas(run, schema)
+
+
+def unreadable(packets: DataFrame) -> DataFrame:
+    """(case_id, error) of the packets that can't be opened; the driver gives them the blank record."""
+    _need("fitz")
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for case_id, content in zip(frame["case_id"], frame["content"], strict=True):
-                try:
-                    document = fitz.open(stream=content, filetype="pdf")
-                except Exception:
-                    continue
-                for number, page in enumerate(document, start=1):
-                    order = 0
-                    for block in page.get_text("dict").get("blocks", ()):
-                        for line in block.get("lines", ()):
-                            for span in line.get("spans", ()):
-                                rows.append((case_id, number, order, span["text"], *map(float, span["bbox"]), float(span["size"]), int(span["color"]), "text_layer"))
-                                order += 1
-            yield pd.DataFrame(rows, columns=SPANS.names)
+            yield pd.DataFrame([(case_id, error) for case_id, _, error in _opened(frame) if error], columns=ERRORS.names)
+
+    return packets.select("case_id", "content").mapInPandas(run, ERRORS)
+
 
-    return packets.select("case_id", "content").mapInPandas(run, SPANS)
+def span_rows(case_id: str, number: int, page: dict) -> Iterator[tuple]:
+    """Rows of SPANS from a page's nested blocks, lines and spans, in reading order."""
+    runs = (span for block in page.get("blocks", ()) for line in block.get("lines", ()) for span in line.get("spans", ()))
+    for order, span in enumerate(runs):
+        yield (case_id, number, order, span["text"], *map(float, span["bbox"]), float(span["size"]), int(span["color"]), "text_layer")
+
+
+def text_spans(packets: DataFrame) -> DataFrame:
+    """Every text run of every page with its geometry; filters stay in Catalyst."""
+    return _mapped(packets, lambda case_id, document: (row for i, page in enumerate(document, start=1) for row in span_rows(case_id, i, page.get_text("dict"))), SPANS)
 
 
 def plain_pages(packets: DataFrame) -> DataFrame:
     """Size and plain text of every page."""
-    _need("fitz")
+    return _mapped(packets, lambda case_id, document: ((case_id, i, page.rect.width, page.rect.height, page.get_text() or "") for i, page in enumerate(document, start=1)), PAGES)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
 
-        for frame in frames:
-            rows = []
-            for case_id, content in zip(frame["case_id"], frame["content"], strict=True):
-                try:
-                    document = fitz.open(stream=content, filetype="pdf")
-                except Exception:
-                    continue
-                rows += [(case_id, i, page.rect.width, page.rect.height, page.get_text() or "") for i, page in enumerate(document, start=1)]
-            yield pd.DataFrame(rows, columns=PAGES.names)
+def _image_rows(case_id: str, document) -> Iterator[tuple]:
+    import fitz
 
-    return packets.select("case_id", "content").mapInPandas(run, PAGES)
+    for number, page in enumerate(document, start=1):
+        for k, image in enumerate(page.get_images(full=True)):
+            try:
+                raster = fitz.Pixmap(document, image[0])
+                raster = fitz.Pixmap(fitz.csRGB, raster) if raster.n >= 5 else raster
+                yield case_id, number, k, raster.width, raster.height, raster.n, raster.tobytes("png")
+            except Exception:  # an image that can't be decoded still counts as one
+                yield case_id, number, k, None, None, None, None
 
 
 def page_images(packets: DataFrame) -> DataFrame:
-    """Embedded images of every page as PNG, CMYK turned to RGB."""
-    _need("fitz")
+    """Embedded images of every page as PNG, CMYK turned to RGB; a broken image has its place alone."""
+    return _mapped(packets, _image_rows, IMAGES)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
 
-        for frame in frames:
-            rows = []
-            for case_id, content in zip(frame["case_id"], frame["content"], strict=True):
-                try:
-                    document = fitz.open(stream=content, filetype="pdf")
-                except Exception:
-                    continue
-                for number, page in enumerate(document, start=1):
-                    for k, image in enumerate(page.get_images(full=True)):
-                        try:
-                            raster = fitz.Pixmap(document, image[0])
-                            raster = fitz.Pixmap(fitz.csRGB, raster) if raster.n >= 5 else raster
-                            rows.append((case_id, number, k, raster.width, raster.height, raster.n, raster.tobytes("png")))
-                        except Exception:
-                            continue
-            yield pd.DataFrame(rows, columns=IMAGES.names)
+def word_rows(case_id: str, page: int, source: str, table: str) -> Iterator[list[str]]:
+    """Rows of WORDS from tab-separated values with a header; missing columns are empty."""
+    header, *lines = table.splitlines() or [""]
+    names = header.split("\t")
+    for line in lines:
+        row = dict(zip(names, line.split("\t"), strict=False)) | {"case_id": case_id, "source": source, "page_num": str(page)}
+        yield [row.get(n, "") for n in WORDS.names]
+
 
-    return packets.select("case_id", "content").mapInPandas(run, IMAGES)
+def _read(content: bytes, psm: int, *form: str) -> str:
+    """What tesseract writes for an image; empty if it fails."""
+    with tempfile.NamedTemporaryFile(suffix=".png") as file:
+        file.write(content)
+        file.flush()
+        done = subprocess.run(["tesseract", file.name, "stdout", "--psm", str(psm), *form], capture_output=True, text=True, check=False, env={**os.environ, "OMP_THREAD_LIMIT": "1"})
+    return "" if done.returncode else done.stdout
 
 
 def ocr_words(images: DataFrame, source: str = "ocr:original", psm: int = 6) -> DataFrame:
@@ -120,24 +139,24 @@ def ocr_words(images: DataFrame, source: str = "ocr:original", psm: int = 6) ->
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = []
-            for case_id, page, content in zip(frame["case_id"], frame["page"], frame["content"], strict=True):
-                with tempfile.NamedTemporaryFile(suffix=".png") as file:
-                    file.write(content)
-                    file.flush()
-                    done = subprocess.run(["tesseract", file.name, "stdout", "--psm", str(psm), "tsv"], capture_output=True, text=True, check=False)
-                if done.returncode:
-                    continue
-                header, *lines = done.stdout.splitlines() or [""]
-                names = header.split("\t")
-                for line in lines:
-                    row = dict(zip(names, line.split("\t"), strict=False)) | {"case_id": case_id, "source": source, "page_num": str(page)}
-                    found.append([row.get(n, "") for n in WORDS.names])
-            yield pd.DataFrame(found, columns=WORDS.names)
+            read = zip(frame["case_id"], frame["page"], frame["content"], strict=True)
+            yield pd.DataFrame([row for case_id, page, content in read if content is not None for row in word_rows(case_id, page, source, _read(bytes(content), psm, "tsv"))], columns=WORDS.names)
 
     return images.select("case_id", "page", "content").mapInPandas(run, WORDS)
 
 
+def ocr_texts(images: DataFrame, modes: tuple[int, ...] = (6, 11)) -> DataFrame:
+    """Raw text that tesseract reads in each image in each page segmentation mode; empty where a read fails. ``crop`` numbers the modes."""
+    _need(program="tesseract")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            read = zip(frame["case_id"], frame["page"], frame["content"], strict=True)
+            yield pd.DataFrame([(case_id, page, k, "" if content is None else _read(bytes(content), mode)) for case_id, page, content in read for k, mode in enumerate(modes)], columns=READS.names)
+
+    return images.select("case_id", "page", "content").mapInPandas(run, READS)
+
+
 def _rendered(content: bytes, page: int, dpi: int) -> bytes | None:
     """One page as PNG, by pdftoppm or else PyMuPDF; none if the page isn't there or can't be drawn."""
     if shutil.which("pdftoppm"):

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from packetlens.plans import catalog, fixtures, oracles
 
-WITHOUT = {"all_candidates", "pipeline_full", "emit_jsonl", "alt_extract"}
+WITHOUT = {"all_candidates", "pipeline_full"}
 
 
 @pytest.fixture(scope="module")

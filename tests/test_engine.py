@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from packetlens.functions import vocab as V
 from packetlens.operators import analysis, decide, driver, fill, ocr, repair, resolve, spans
 from packetlens.operators import candidates as C
-from packetlens.plans import catalog, fixtures, pipeline
+from packetlens.plans import catalog, fixtures, folder, pipeline
 from packetlens.sources import adapters, readers, sinks
 from packetlens.streaming.incremental import adjudicate_stream
 
@@ -225,6 +225,66 @@ def test_driver_operators(spark, tmp_path) -> None:
     assert readers.packets(spark, str(tmp_path)).first()["case_id"] == "a"
 
 
+def test_rows_of_pages_and_words() -> None:
+    """What parsers return, as stored dictionaries and tables."""
+    page = {"blocks": [{"type": 1}, {"lines": [{"spans": [{"text": "Visa", "bbox": (1, 2, 3, 4), "size": 9, "color": 255}, {"text": "XW-1", "bbox": (5, 2, 8, 4), "size": 9.5, "color": 0}]}, {}]}, {"lines": [{"spans": [{"text": "", "bbox": (0, 0, 0, 0), "size": 1, "color": 0}]}]}]}
+    found = list(adapters.span_rows("A", 3, page))
+    assert found == [("A", 3, 0, "Visa", 1.0, 2.0, 3.0, 4.0, 9.0, 255, "text_layer"), ("A", 3, 1, "XW-1", 5.0, 2.0, 8.0, 4.0, 9.5, 0, "text_layer"), ("A", 3, 2, "", 0.0, 0.0, 0.0, 0.0, 1.0, 0, "text_layer")]
+    assert list(adapters.span_rows("A", 1, {})) == []
+    table = "level\tpage_num\tblock_num\tleft\tconf\ttext\n5\t1\t2\t10\t96.5\tFee\n5\t1\t2\t30\n"
+    rows = [dict(zip(readers.WORDS.names, r, strict=True)) for r in adapters.word_rows("A", 7, "ocr:original", table)]
+    assert [(r["case_id"], r["page_num"], r["block_num"], r["left"], r["conf"], r["text"], r["top"]) for r in rows] == [("A", "7", "2", "10", "96.5", "Fee", ""), ("A", "7", "2", "30", "", "", "")]
+    assert list(adapters.word_rows("A", 7, "ocr:original", "")) == []
+
+
+def test_texts_of_a_failed_read_are_empty(monkeypatch, tmp_path) -> None:
+    program = tmp_path / "tesseract"
+    program.write_text('#!/bin/sh\n[ "$4" = 11 ] && exit 1\necho "read in mode $4 of $(cat "$1")"\n')
+    program.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:{os.environ['PATH']}")
+    assert adapters._read(b"page", 6) == "read in mode 6 of page\n" and adapters._read(b"page", 11) == ""
+
+
+def test_folder_to_json_lines(spark, monkeypatch, tmp_path) -> None:
+    """A folder with a readable and an unreadable packet, a stand-in for the parser: every packet gets a line."""
+
+    class Page:
+        rect = type("Rect", (), {"width": 600.0, "height": 800.0})
+        said = ("Visa Class: XW-1", "Sponsor ID: SPN-1234", "Finding: DENIED")
+
+        def get_text(self, form: str = "text"):
+            if form != "dict":
+                return "\n".join(self.said)
+            return {"blocks": [{"lines": [{"spans": [{"text": t, "bbox": (10, 20 * i, 200, 20 * i + 10), "size": 10, "color": 0} for i, t in enumerate(self.said, 1)]}]}]}
+
+    def opened(frame):
+        for case_id, content in zip(frame["case_id"], frame["content"], strict=True):
+            yield (case_id, [Page()], None) if bytes(content) == b"good" else (case_id, None, "broken")
+
+    def here(frame, run, schema):  # in this process, where the stand-ins are
+        return spark.createDataFrame([tuple(r) for out in run([frame.toPandas()]) for r in out.itertuples(index=False)], schema)
+
+    monkeypatch.setattr(adapters, "_opened", opened)
+    monkeypatch.setattr(adapters, "_need", lambda *_, **__: None)
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", here)
+    for name, content in (("A", b"good"), ("B", b"junk"), ("C", b"good")):
+        (tmp_path / f"{name}.pdf").write_bytes(content)
+    assert [(r["case_id"], r["error"]) for r in adapters.unreadable(readers.packets(spark, str(tmp_path))).collect()] == [("B", "broken")]
+    folder.main([str(tmp_path), str(tmp_path / "out"), "--files", "1", "--no-ocr", "--no-neural"])
+    lines = [json.loads(x) for x in sorted((tmp_path / "out").glob("part-*"))[0].read_text().splitlines()]
+    assert [x["case_id"] for x in lines] == ["A", "B", "C"]
+    assert lines[0]["visa_class"] == "XW-1" and lines[0]["sponsor_id"] == "SPN-1234" and lines[0]["adjudication"] == "DENIED"
+    assert lines[1] == {"case_id": "B", **V.BLANK}
+
+
+def test_gates_share_the_proofs_of_the_repairs(spark, sf) -> None:
+    wide = catalog.wide(spark, sf).limit(50)
+    repaired = repair.repair(wide)
+    assert {"proof", "page_proof"} <= set(repaired.columns)
+    alone = decide.gates(decide.decide(repaired.drop("proof", "page_proof")))
+    assert sorted(map(tuple, decide.emit(decide.gates(decide.decide(repaired))).collect())) == sorted(map(tuple, decide.emit(alone).collect()))
+
+
 def test_adapters_say_what_is_missing(spark) -> None:
     with pytest.raises(adapters.AdapterMissing):
         adapters.text_spans(spark.createDataFrame([], "case_id string, content binary"))
