@@ -1,13 +1,19 @@
 """Language-model scoring: interpolated modified Kneser-Ney, counted in Spark, memory-mapped by workers.
 
-The model has order two. Training makes three passes: counts of words, then of
-pairs, then sums of pairs by context and by word. Tasks send each other sorted,
-compressed tables of counts, one for each part of the key space, so a hot word
-or pair is a single number once a task has counted it; contexts with many
-tokens are spread over parts by their next word. Results are sorted arrays in
-the shared folder: word hashes with counts, pairs (context and word numbers in
-one 64-bit key) with counts, and dense tables by word number. Workers map them
-and look up sorted queries; the page cache, not a heap, holds what is used.
+Training counts words, then pairs, then longer grams up to the model's order, a
+pass over the texts for each, and sums counts by context and by what a gram
+ends in. Grams of a level are numbered by their place in its sorted arrays, and
+a gram of the next level is a pair of such numbers in one 64-bit key: that of
+its context, and that of itself without its first word. So every level is
+counted, stored and looked up as pairs are. The highest level has counts; lower
+ones have how many different words come before a gram, or, where a text's start
+comes before it and nothing else can, its count.
+
+Tasks send each other sorted, compressed tables of counts, one for each part of
+the key space, so a hot word or pair is a single number once a task has counted
+it; contexts with many tokens are spread over parts by what follows. Results
+are sorted arrays in the shared folder, and dense tables by number. Workers map
+them and look up sorted queries; the page cache, not a heap, holds what is used.
 
 What is gathered grows with the corpus; nothing of it passes the driver but a
 few totals a part.
@@ -16,7 +22,7 @@ few totals a part.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -63,57 +69,80 @@ def count_classes(c: np.ndarray) -> list[int]:
 
 @dataclass
 class KneserNey:
-    """Where the arrays are, and the totals that scoring needs."""
+    """Where the arrays are, and the totals that scoring needs. Levels count from 1, the words."""
 
     folder: str
     parts: int
-    first_id: np.ndarray  # number of the first word of each part of the vocabulary
-    n_tokens: int
-    pair_discount: np.ndarray
-    word_discount: np.ndarray
-    n_pairs: int
-    word_classes: tuple[int, int, int]
+    order: int
+    first: dict[int, np.ndarray] = field(default_factory=dict)  # by level: number of the first gram of each part, their number last
+    discounts: dict[int, np.ndarray] = field(default_factory=dict)
+    n_tokens: int = 0
     n_texts: int = 0  # how often a text's start was a context
+    n_pairs: int = 0
+    word_classes: tuple[int, int, int] = (0, 0, 0)
     present: frozenset[str] = frozenset()  # tables that training wrote; a part without keys has none
 
     @property
     def n_words(self) -> int:
-        return int(self.first_id[-1])
+        return int(self.first[1][-1])
 
     def part_of_hash(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - int(self.parts).bit_length() + 1)).astype(np.int64) if self.parts > 1 else np.zeros(len(h), np.int64)
 
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (from 1; 0 if unknown) and training count of each sorted distinct hash."""
-        ids, counts = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        edges = np.searchsorted(self.part_of_hash(h), np.arange(self.parts + 1))
-        for p in range(self.parts):
-            a, b = edges[p], edges[p + 1]
-            if a == b or self.first_id[p] == self.first_id[p + 1]:
-                continue
-            known = store.mapped(self.folder, f"words-{p}", "<u8")
-            at = np.minimum(np.searchsorted(known, h[a:b]), len(known) - 1)
-            good = known[at] == h[a:b]
-            ids[a:b] = np.where(good, at + self.first_id[p] + 1, 0)
-            counts[a:b] = np.where(good, store.mapped(self.folder, f"word_counts-{p}", "<u8")[at].astype(np.int64), 0)
-        return ids, counts
-
-    def part_of_pair(self, key: np.ndarray, context_count: np.ndarray) -> np.ndarray:
+        return self._found(1, h, self.part_of_hash(h))
+
+    def part_of_gram(self, key: np.ndarray, context_count: np.ndarray) -> np.ndarray:
         hot = context_count * self.parts * 2 > self.n_tokens
         spread = np.where(hot, key & np.uint64(SPREAD - 1), np.uint64(0))
         with np.errstate(over="ignore"):
             return (mix64((key >> np.uint64(32)) * np.uint64(SPREAD) + spread) % np.uint64(self.parts)).astype(np.int64)
 
-    def by_id(self, name: str, ids: np.ndarray, kind: str = "<u4") -> np.ndarray:
-        """Values of a dense table for sorted distinct numbers (0 stands for the start of a text, or an unknown word)."""
-        out = np.zeros(len(ids), np.int64)
-        edges = np.searchsorted(ids, np.concatenate([[0], self.first_id[1:] + 1]))
-        for p in range(self.parts):
-            a, b = edges[p], edges[p + 1]
-            if a < b and f"{name}-{p}" in self.present:
-                low = 0 if p == 0 else self.first_id[p] + 1
-                out[a:b] = store.mapped(self.folder, f"{name}-{p}", kind)[ids[a:b] - low]
-        return out
+    def _found(self, level: int, keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        numbers, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(self.parts + 1))
+        for p in np.flatnonzero(np.diff(edges)):
+            if f"grams{level}-{p}" in self.present:
+                own = order[edges[p] : edges[p + 1]]
+                known = store.mapped(self.folder, f"grams{level}-{p}", "<u8")
+                at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
+                good = known[at] == keys[own]
+                numbers[own] = np.where(good, at + self.first[level][p] + 1, 0)
+                counts[own] = np.where(good, store.mapped_counts(self.folder, f"counts{level}-{p}", len(known))[at].astype(np.int64), 0)
+        return numbers, counts
+
+    def longer(self, level: int, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """From each token's gram a level below: number and count of its gram, its context's number, and whether it has a context."""
+        key, context_count, has = _keys(level, ids, counts, first, self.n_texts)
+        kinds, at, back = np.unique(key[has], return_index=True, return_inverse=True)
+        found = self._found(level, kinds, self.part_of_gram(kinds, context_count[has][at]))
+        numbers, times = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        numbers[has], times[has] = found[0][back], found[1][back]
+        return numbers, times, (key >> np.uint64(32)).astype(np.int64), has
+
+    def low(self, level: int, part: int) -> int:
+        """The least number in a part's dense tables; 0, in the first, stands for a text's start or what is unknown."""
+        return 0 if part == 0 else int(self.first[level][part]) + 1
+
+    def size(self, level: int, part: int) -> int:
+        return int(self.first[level][part + 1]) + 1 - self.low(level, part)
+
+    def part_of_number(self, level: int, ids: np.ndarray) -> np.ndarray:
+        # Number 0 is in part 0, which may have no grams.
+        return np.where(ids > 0, np.searchsorted(self.first[level][1:], np.maximum(ids.astype(np.int64) - 1, 0), "right"), 0)
+
+    def by_number(self, name: str, level: int, ids: np.ndarray) -> np.ndarray:
+        """Values of a dense table for numbers of a level."""
+        kinds, back = np.unique(ids, return_inverse=True)
+        out = np.zeros(len(kinds), np.int64)
+        edges = np.searchsorted(kinds, np.concatenate([[0], self.first[level][1:] + 1]))
+        for p in np.flatnonzero(np.diff(edges)):
+            if f"{name}-{p}" in self.present:
+                table = store.mapped_counts(self.folder, f"{name}-{p}", self.size(level, p))
+                out[edges[p] : edges[p + 1]] = table[kinds[edges[p] : edges[p + 1]] - self.low(level, p)]
+        return out[back]
 
 
 def _numbered(tokens: np.ndarray, model: KneserNey) -> tuple[np.ndarray, np.ndarray]:
@@ -122,13 +151,15 @@ def _numbered(tokens: np.ndarray, model: KneserNey) -> tuple[np.ndarray, np.ndar
     return ids[at], counts[at]
 
 
-def _pairs(ids: np.ndarray, counts: np.ndarray, first: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each token with its context, and the context's count; a text's start is context 0."""
+def _keys(level: int, ids: np.ndarray, counts: np.ndarray, first: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key of each token's gram, its context's count, and whether it has a known context; of pairs, a text's start is context 0."""
     context = np.concatenate([[0], ids[:-1]])
     count = np.concatenate([[0], counts[:-1]])
-    context[first[:-1]] = 0
-    count[first[:-1]] = n_texts
-    return (context.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), count
+    place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+    has = (context > 0) & (place >= max(1, level - 2))
+    if level == 2:
+        context[first[:-1]], count[first[:-1]], has[first[:-1]] = 0, n_texts, True
+    return (context.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), count, has
 
 
 def _sent(keys: np.ndarray, part: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
@@ -185,73 +216,66 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.repartition("part").sortWithinPartitions("part")
 
 
-def train(docs: DataFrame) -> KneserNey:
-    """Counts a model over all rows of ``docs`` (text; null is empty). An empty table gives a model of no words."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    folder = shared_path(spark, "lm")
-    parts = 1 << min(MAX_PART_BITS, max(2, (2 * texts.rdd.getNumPartitions() - 1).bit_length()))
-    model = KneserNey(folder, parts, np.zeros(parts + 1, np.int64), 0, np.zeros(4), np.zeros(4), 0, (0, 0, 0))
+#: Rows between the steps of training: a packed table for a part, or totals of a table that a task wrote (part -1).
+HELD = "part int, packed binary, classes array<long>, n long"
+#: What such totals are of: a part of a level's grams, how many words come before its grams, sums by its contexts.
+GRAMS, FOLLOWED, CONTEXTS = 0, 1, 2
+SUMS = ("total", "one", "two", "more")
 
-    def words(piece: Piece) -> list[np.ndarray]:
-        tokens, _ = tokens_of(piece)
-        kinds, n = np.unique(tokens, return_counts=True)
-        return [kinds, n.astype(np.uint64)]
 
-    def save_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (keys, counts) in _gathered(batches):
-            store.put(folder, f"words-{part}", keys.astype("<u8"))
-            store.put(folder, f"word_counts-{part}", counts.astype("<u8"))
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())], "texts": [int(counts[keys == END].sum())]})
+def _tables(sent: pa.RecordBatch, add: int) -> pa.RecordBatch:
+    n = len(sent)
+    return pa.RecordBatch.from_arrays([pa.array(sent.column(0).to_numpy() + add, pa.int32()), sent.column(1), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int64())], names=["part", "packed", "classes", "n"])
+
+
+def _totals(rows: list[tuple[list[int], int]]) -> pa.RecordBatch:
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), pa.array([b""] * n, pa.binary()), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.int64())], names=["part", "packed", "classes", "n"])
+
+
+def _summed_by(ids: np.ndarray, values: list[np.ndarray], part_of, add: int) -> pa.RecordBatch:
+    """Sums of values by number, a packed table for each part of the numbers."""
+    order = np.argsort(ids, kind="stable")
+    own, first = np.unique(ids[order], return_index=True)
+    return _tables(_sent(own, part_of(own), *(np.add.reduceat(v[order].astype(np.uint64), first) for v in values)), add)
 
-    packed = "part int, packed binary"
-    counted = arrow_map(_dealt(arrow_map(texts, _counter(lambda k: model.part_of_hash(k), words), packed)), save_words, "part int, n long, total long, texts long").collect()
-    sizes = np.zeros(parts, np.int64)
-    for row in counted:  # a row for each part
-        sizes[row["part"]] = row["n"]
-    model.first_id = np.concatenate([[0], np.cumsum(sizes)])
-    model.n_tokens = sum(r["total"] for r in counted)
-    n_texts = sum(r["texts"] for r in counted)
-    if model.n_words >= 1 << 32:
-        raise ValueError("more than 2 ** 32 distinct words")
 
-    def pairs(piece: Piece) -> list[np.ndarray]:
+def _by_context(keys: np.ndarray, counts: np.ndarray, part_of) -> pa.RecordBatch:
+    return _summed_by(keys >> np.uint64(32), [counts, counts == 1, counts == 2, counts >= 3], part_of, 0)
+
+
+def _count_grams(texts: DataFrame, model: KneserNey, level: int) -> DataFrame:
+    """Writes a level's grams and counts; rows for ``_save_sums`` of the level below."""
+
+    def grams(piece: Piece) -> list[np.ndarray]:
         tokens, first = tokens_of(piece)
         ids, counts = _numbered(tokens, model)
-        key, context_count = _pairs(ids, counts, first, n_texts)
-        kinds, at, n = np.unique(key, return_index=True, return_counts=True)
-        return [kinds, n.astype(np.uint64), context_count[at].astype(np.uint64) * n.astype(np.uint64), n.astype(np.uint64)]
+        for low in range(2, level):
+            ids, counts, _, _ = model.longer(low, ids, counts, first)
+        key, context_count, has = _keys(level, ids, counts, first, model.n_texts)
+        kinds, at, n = np.unique(key[has], return_index=True, return_counts=True)
+        return [kinds, n.astype(np.uint64), context_count[has][at].astype(np.uint64) * n.astype(np.uint64), n.astype(np.uint64)]
 
     # Values sum up, so the context's count comes as a weighted sum beside its weight.
-    part_of_pairs = lambda k, weighted, weight: model.part_of_pair(k, (weighted // weight).astype(np.int64))
+    part_of = lambda k, weighted, weight: model.part_of_gram(k, (weighted // weight).astype(np.int64))
 
-    def part_of_id(ids: np.ndarray) -> np.ndarray:
-        # The start of a text is in part 0, which may have no words.
-        return np.where(ids > 0, np.searchsorted(model.first_id[1:], np.maximum(ids.astype(np.int64) - 1, 0), "right"), 0)
-
-    def save_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part_below = lambda ids: model.part_of_number(level - 1, ids)
         for part, (keys, counts) in _gathered(batches):
-            store.put(folder, f"pairs-{part}", keys.astype("<u8"))
-            store.put_counts(folder, f"pair_counts-{part}", counts)
-            context, word = keys >> np.uint64(32), keys & np.uint64((1 << 32) - 1)
-            for kind, ids, values in (
-                (0, context, [counts, counts == 1, counts == 2, counts >= 3]),
-                (1, word, [np.ones(len(keys), np.uint64)]),
-            ):
-                order = np.argsort(ids, kind="stable")
-                own, first = np.unique(ids[order], return_index=True)
-                sent = _sent(own, part_of_id(own), *(np.add.reduceat(v[order].astype(np.uint64), first) for v in values))
-                yield pa.RecordBatch.from_arrays([pc_add(sent.column(0), kind * parts), sent.column(1), *nothing(len(sent))], names=["part", "packed", "classes", "n"])
-            yield pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int32()), "packed": pa.array([b""], pa.binary()), "classes": pa.array([[*count_classes(counts), part]], pa.list_(pa.int64())), "n": pa.array([len(keys)], pa.int64())})
-
-    def pc_add(column: pa.Array, n: int) -> pa.Array:
-        return pa.array(column.to_numpy() + n, pa.int32())
-
-    def nothing(n: int) -> list[pa.Array]:
-        return [pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int64())]
-
-    def save_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store.put(model.folder, f"grams{level}-{part}", keys.astype("<u8"))
+            store.put_counts(model.folder, f"counts{level}-{part}", counts)
+            if level == model.order:
+                yield _by_context(keys, counts, part_below)
+            yield _summed_by(keys & np.uint64((1 << 32) - 1), [np.ones(len(keys), np.uint64)], part_below, model.parts)
+            yield _totals([([level, GRAMS, part, *count_classes(counts), 0], len(keys))])
+
+    return arrow_map(_dealt(arrow_map(texts, _counter(part_of, grams), "part int, packed binary")), save, HELD)
+
+
+def _save_sums(rows: DataFrame, model: KneserNey, level: int) -> DataFrame:
+    """Writes dense tables by a level's numbers. Where these are grams, what comes before each is summed by context for the level below."""
+
+    def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
 
         def tables() -> Iterator[pa.RecordBatch]:
@@ -259,35 +283,96 @@ def train(docs: DataFrame) -> KneserNey:
                 own = batch.column(0).to_numpy() < 0
                 if own.any():
                     kept = batch.filter(pa.array(own))
-                    out.extend((0, c, n) for c, n in zip(kept.column(2).to_pylist(), kept.column(3).to_pylist(), strict=True))
+                    out.extend(zip(kept.column(2).to_pylist(), kept.column(3).to_pylist(), strict=True))
                 yield batch.filter(pa.array(~own))
 
-        # Kinds: 0 a part of pairs, 1 sums by word, 2 sums by context; the last class is the part.
         for part, (ids, *values) in _gathered(tables()):
-            kind, q = divmod(part, parts)
-            low = 0 if q == 0 else int(model.first_id[q]) + 1
-            size = int(model.first_id[q + 1]) + 1 - low
-            for name, v in zip(("context_total", "context_one", "context_two", "context_more") if kind == 0 else ("followed",), values, strict=True):
-                dense = np.zeros(size, "<u8" if name == "context_total" else "<u4")
-                dense[ids.astype(np.int64) - low] = v
-                store.put(folder, f"{name}-{q}", dense)
-            if kind == 1:
-                out.append((1, [*count_classes(values[0]), int((values[0] >= 3).sum()), q], int(values[0].sum())))
-            else:
-                out.append((2, [q], 0))
+            kind, q = divmod(part, model.parts)
+            at = ids.astype(np.int64) - model.low(level, q)
+            dense = [np.zeros(model.size(level, q), np.uint64) for _ in values]
+            for d, v in zip(dense, values, strict=True):
+                d[at] = v
+            if kind == 0:
+                for name, d in zip(SUMS, dense, strict=True):
+                    store.put_counts(model.folder, f"context{level + 1}_{name}-{q}", d)
+                out.append(([level + 1, CONTEXTS, q, 0, 0, 0, 0, 0], 0))
+                continue
+            (before,) = dense
+            if level > 1:
+                # Before a gram that opens a text comes nothing else: it keeps its count.
+                keys = store.mapped(model.folder, f"grams{level}-{q}", "<u8")
+                own = before[len(before) - len(keys) :]
+                own[:] = np.where(own > 0, own, store.mapped_counts(model.folder, f"counts{level}-{q}", len(keys)))
+                yield _by_context(keys, own, lambda i: model.part_of_number(level - 1, i))
+            store.put_counts(model.folder, f"followed{level}-{q}", before)
+            out.append(([level, FOLLOWED, q, *count_classes(before), int((before >= 3).sum())], int(before.sum())))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.int64())], names=["kind", "classes", "n"])
-
-    held = "part int, packed binary, classes array<long>, n long"
-    by_part = arrow_map(_dealt(arrow_map(texts, _counter(part_of_pairs, pairs), packed)), save_pairs, held)
-    sums = arrow_map(_dealt(by_part), save_sums, "kind int, classes array<long>, n long").collect()
-    classes = [np.sum([r["classes"][:-1] for r in sums if r["kind"] == kind] or [[0] * (4 + kind)], axis=0) for kind in (0, 1)]
-    names = (("pairs",), ("followed",), ("context_total", "context_one", "context_two", "context_more"))
-    model.present = frozenset(f"{name}-{r['classes'][-1]}" for r in sums for name in names[r["kind"]])
-    model.n_texts = n_texts
-    model.pair_discount, model.word_discount = discounts(classes[0][:4]), discounts(classes[1][:4])
-    model.n_pairs = sum(r["n"] for r in sums if r["kind"] == 1)
-    model.word_classes = (int(classes[1][0]), int(classes[1][1]), int(classes[1][4]))
+            yield _totals(out)
+
+    return arrow_map(_dealt(rows), save, HELD)
+
+
+def train(docs: DataFrame, order: int = 2) -> KneserNey:
+    """Counts a model of ``order`` 2 or more over all rows of ``docs`` (text; null is empty). An empty table gives a model of no words.
+
+    Levels below the highest may have up to 2 ** 32 distinct grams; beyond, an
+    error says so.
+    """
+    if order < 2:
+        raise ValueError("the order is 2 or more")
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    folder = shared_path(spark, "lm")
+    parts = 1 << min(MAX_PART_BITS, max(2, (2 * texts.rdd.getNumPartitions() - 1).bit_length()))
+    model = KneserNey(folder, parts, order)
+
+    def words(piece: Piece) -> list[np.ndarray]:
+        tokens, _ = tokens_of(piece)
+        kinds, n = np.unique(tokens, return_counts=True)
+        return [kinds, n.astype(np.uint64)]
+
+    def save_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (keys, counts) in _gathered(batches):
+            store.put(folder, f"grams1-{part}", keys.astype("<u8"))
+            store.put_counts(folder, f"counts1-{part}", counts)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())], "texts": [int(counts[keys == END].sum())]})
+
+    def numbered(level: int, sizes: Iterable[tuple[int, int]]) -> None:
+        n = np.zeros(parts, np.int64)
+        for part, size in sizes:  # a row for each part
+            n[part] = size
+        model.first[level] = np.concatenate([[0], np.cumsum(n)])
+        model.present |= {f"grams{level}-{p}" for p in np.flatnonzero(n)}
+        if level < order and model.first[level][-1] >= 1 << 32:
+            raise ValueError(f"more than 2 ** 32 distinct grams of {level} words")
+
+    part_of_word = lambda k: model.part_of_hash(k)
+    counted = arrow_map(_dealt(arrow_map(texts, _counter(part_of_word, words), "part int, packed binary")), save_words, "part int, n long, total long, texts long").collect()
+    numbered(1, ((r["part"], r["n"]) for r in counted))
+    model.n_tokens = sum(r["total"] for r in counted)
+    model.n_texts = sum(r["texts"] for r in counted)
+
+    nothing = store.pack(np.empty(0, np.uint64), np.empty(0, np.uint64))
+    for level in range(2, order + 1):
+        rows = _count_grams(texts, model, level)
+        if level > 2:
+            # Grams that all open texts have nothing before them: their parts come up all the same.
+            known = [(parts + p, nothing, None, None) for p in range(parts) if f"grams{level - 1}-{p}" in model.present]
+            rows = _save_sums(rows.union(spark.createDataFrame(known, HELD)) if known else rows, model, level - 1)
+        totals = [(*r["classes"], r["n"]) for r in _save_sums(rows, model, level - 1 if level == 2 else level - 2).collect()]
+        classes: dict[tuple[int, int], np.ndarray] = {}
+        for own, kind, part, *counts, _ in totals:
+            classes[own, kind] = classes.get((own, kind), 0) + np.array(counts)
+            model.present |= {f"followed{own}-{part}"} if kind == FOLLOWED else {f"context{own}_{name}-{part}" for name in SUMS} if kind == CONTEXTS else set()
+        numbered(level, ((t[2], t[-1]) for t in totals if t[:2] == (level, GRAMS)))
+        of_below = classes.get((level - 1, FOLLOWED), np.zeros(5, np.int64))
+        model.discounts[level - 1] = discounts(of_below[:4])
+        if level == 2:
+            model.n_pairs = sum(t[-1] for t in totals if t[:2] == (1, FOLLOWED))
+            model.word_classes = (int(of_below[0]), int(of_below[1]), int(of_below[4]))
+        if level == order:
+            model.discounts[level] = discounts(classes.get((level, GRAMS), np.zeros(5, np.int64))[:4])
     return model
 
 
@@ -296,43 +381,19 @@ def _discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def probabilities(model: KneserNey, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 probability of every token, given the one before it."""
-    key, context_count = _pairs(ids, counts, first, model.n_texts)
-    kinds, at = np.unique(ids, return_inverse=True)
-    floor = np.dot(model.word_discount[1:], model.word_classes) / model.n_pairs if model.n_pairs else 1.0
-    followed = np.where(kinds > 0, model.by_id("followed", kinds) if model.n_pairs else 0, 0)
-    low = (_discounted(followed, model.word_discount) / max(1, model.n_pairs) + floor / (model.n_words + 1))[at]
-    if not model.n_pairs:
-        return np.log10(low)
-    starts = np.zeros(len(ids), bool)
-    starts[first[:-1]] = True
-    context = (key >> np.uint64(32)).astype(np.int64)
-    kinds, at = np.unique(context, return_inverse=True)
-    total, one, two, more = (model.by_id(f"context_{n}", kinds, "<u8" if n == "total" else "<u4")[at] for n in ("total", "one", "two", "more"))
-    unknown = (context == 0) & ~starts
-    total = np.where(unknown, 0, total)
-    # An unknown word has the key of a text's start, but no pairs.
-    real = ~unknown
-    pair, at = np.unique(key[real], return_inverse=True)
-    where = np.zeros(len(pair), np.int64)
-    where[at] = model.part_of_pair(key[real], context_count[real])
-    seen = np.zeros(len(pair), np.int64)
-    order = np.argsort(where, kind="stable")
-    edges = np.searchsorted(where[order], np.arange(model.parts + 1))
-    for p in range(model.parts):
-        own = order[edges[p] : edges[p + 1]]
-        if len(own) and f"pairs-{p}" in model.present:
-            known = store.mapped(model.folder, f"pairs-{p}", "<u8")
-            i = np.minimum(np.searchsorted(known, pair[own]), len(known) - 1)
-            seen[own] = np.where(known[i] == pair[own], store.mapped_counts(model.folder, f"pair_counts-{p}", len(known))[i], 0)
-    d = model.pair_discount
-    known = total > 0
-    n = np.maximum(total, 1)
-    back = np.where(known, (d[1] * one + d[2] * two + d[3] * more) / n, 1.0)
-    times = np.zeros(len(ids), np.int64)
-    times[real] = seen[at]
-    high = np.where(known, _discounted(times, d) / n, 0.0)
-    return np.log10(high + back * low)
+    """log10 probability of every token, given those before it in its text."""
+    floor = np.dot(model.discounts[1][1:], model.word_classes) / model.n_pairs if model.n_pairs else 1.0
+    followed = np.where(ids > 0, model.by_number("followed1", 1, ids), 0)
+    p = _discounted(followed, model.discounts[1]) / max(1, model.n_pairs) + floor / (model.n_words + 1)
+    for level in range(2, model.order + 1 if model.n_pairs else 2):
+        ids, counts, context, has = model.longer(level, ids, counts, first)
+        total, one, two, more = (np.where(has, model.by_number(f"context{level}_{name}", level - 1, context), 0) for name in SUMS)
+        times = counts if level == model.order else np.where(ids > 0, model.by_number(f"followed{level}", level, ids), 0)
+        d = model.discounts[level]
+        n = np.maximum(total, 1)
+        back = np.where(total > 0, (d[1] * one + d[2] * two + d[3] * more) / n, 1.0)
+        p = np.where(total > 0, _discounted(times, d) / n, 0.0) + back * p
+    return np.log10(p)
 
 
 def score(docs: DataFrame, model: KneserNey) -> DataFrame:

@@ -28,7 +28,7 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
     system.move(own, f"{path}/{name}")
 
 
-@lru_cache(maxsize=1024)
+@lru_cache(maxsize=2048)
 def mapped(folder: str, name: str, kind: str) -> np.ndarray:
     """The array, memory-mapped. In a store that isn't a mounted folder, a worker first copies the file beside itself, once."""
     system, path = _place(folder)
@@ -45,13 +45,13 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
 
 
 def put_counts(folder: str, name: str, counts: np.ndarray) -> None:
-    """Counts in 32 bits, or in 64 if one needs them; ``mapped_counts`` reads either."""
-    put(folder, name, counts.astype("<u4" if not len(counts) or counts.max() < 1 << 32 else "<u8"))
+    """Counts in as few bytes as the largest needs; ``mapped_counts`` reads any."""
+    put(folder, name, counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0).newbyteorder("<")))
 
 
 def mapped_counts(folder: str, name: str, n: int) -> np.ndarray:
-    raw = mapped(folder, name, "<u4")
-    return raw if len(raw) == n else raw.view("<u8")
+    raw = mapped(folder, name, "<u1")
+    return raw.view(f"<u{len(raw) // n}") if n else raw
 
 
 def _planes(x: np.ndarray) -> bytes:

@@ -92,6 +92,62 @@ def test_language_model(spark, docs, corpus) -> None:
         assert (found[i]["n_tokens"], found[i]["n_known"]) == (len(said), sum(counts[w] > 0 for w in said))
 
 
+def brute_lm_of(order: int, train: list[list], texts: list[list]) -> list[float]:
+    """Modified Kneser-Ney of any order, by dictionaries of word tuples; one start before a text."""
+    raw: dict[tuple, int] = Counter()
+    for w in train:
+        said = ["<s>", *w, None]
+        for k in range(1, order + 1):
+            raw.update(tuple(said[i : i + k]) for i in range(len(said) - k + 1) if k > 1 or i)
+    before: dict[tuple, set] = defaultdict(set)
+    for g in raw:
+        if len(g) > 1:
+            before[g[1:]].add(g[0])
+    # What opens texts has nothing before it, and keeps its count.
+    count = {g: c if len(g) == order or g[0] == "<s>" else len(before[g]) for g, c in raw.items()}
+    classes = lambda k: [sum(c == x for g, c in count.items() if len(g) == k) for x in (1, 2, 3, 4)]
+    d = {k: lm.discounts(classes(k)) for k in range(1, order + 1)}
+    after: dict[tuple, list[int]] = defaultdict(list)
+    for g, c in count.items():
+        after[g[:-1]].append(c)
+
+    def p(context: tuple, w: str | None) -> float:
+        low = p(context[1:], w) if context else 1 / (len(after[()]) + 1)
+        own = after.get(context)
+        if not own:
+            return low
+        k, c = len(context) + 1, count.get((*context, w), 0)
+        return (max(c - d[k][min(c, 3)], 0) + sum(d[k][min(x, 3)] for x in own) * low) / sum(own)
+
+    out = []
+    for t in texts:
+        said = ["<s>", *t, None]
+        out.append(sum(math.log10(p(tuple(said[max(0, i - order + 1) : i]), said[i])) for i in range(1, len(said))))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_models_of_each_order(spark, docs, corpus, order) -> None:
+    train = [helpers.words(t) for i, t in corpus.items() if i % 3]
+    wanted = brute_lm_of(order, train, [helpers.words(t) for t in corpus.values()])
+    found = {r["doc_id"]: r["_score"] for r in lm.score(docs, lm.train(docs.where("doc_id % 3 != 0"), order)).collect()}
+    assert [found[i] for i in corpus] == pytest.approx(wanted, rel=1e-9)
+    if order == 2:
+        assert wanted == pytest.approx(brute_lm(train, [helpers.words(t) for t in corpus.values()]), rel=1e-9)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_short_texts_and_hot_pairs(spark, order) -> None:
+    """Texts that only open, pairs that no word comes before, one pair hot in many parts; parts don't change a score."""
+    train = [f"w{i % 7} w{i % 11}" for i in range(200)] + ["", "alone"] + ["hot pair"] * 200 + [f"x{i} hot pair y{i % 3}" for i in range(50)]
+    texts = ["", "alone", "zzz", "hot pair", "zzz hot pair y1", "x1 hot pair", "w1 w2 zzz w1"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for slices in (1, 30):
+        model = lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(slices), order)
+        found = [r["score"] for r in lm.score(frame, model).orderBy("doc_id").collect()]
+        assert found == pytest.approx(brute_lm_of(order, [helpers.words(t) for t in train], [helpers.words(t) for t in texts]), rel=1e-9)
+
+
 def test_language_model_with_a_spread_start(spark) -> None:
     """The start of texts is hot in many parts; an unknown word before a word doesn't hide that the word starts texts."""
     train = [f"w{i % 7} w{i % 11}" for i in range(200)]
