@@ -134,9 +134,13 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+#: The order of the query's model.
+LM_ORDER = 3
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.held_out(F.col("doc_id")))
-    model = lm.train(docs.where(~F.col("held_out")))
+    model = lm.train(docs.where(~F.col("held_out")), LM_ORDER)
     scored = lm.score(docs, model)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
