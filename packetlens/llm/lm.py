@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .runtime import arrow_map, shared_path, small_batches, spare
+from .runtime import arrow_map, shared_path, small_batches, spare, tidy_shuffles
 from .tokens import Piece, mix64, pieces
 
 #: The token that ends every text; no word has this hash but by chance of 2 ** -64.
@@ -63,6 +63,24 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))])
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, each key's place among them, and how many there are of each."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]])
+    first = np.flatnonzero(new)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return own[first], order[first], back, np.diff(first, append=len(keys))
+
+
+def _by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by part that keeps the order within each, and where each part begins; small numbers sort by their digits."""
+    part = part.astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
 def count_classes(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
@@ -101,8 +119,7 @@ class KneserNey:
 
     def _found(self, level: int, keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         numbers, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(self.parts + 1))
+        order, edges = _by_part(part, self.parts)
         for p in np.flatnonzero(np.diff(edges)):
             if f"grams{level}-{p}" in self.present:
                 own = order[edges[p] : edges[p + 1]]
@@ -110,13 +127,13 @@ class KneserNey:
                 at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
                 good = known[at] == keys[own]
                 numbers[own] = np.where(good, at + self.first[level][p] + 1, 0)
-                counts[own] = np.where(good, store.mapped_counts(self.folder, f"counts{level}-{p}", len(known))[at].astype(np.int64), 0)
+                counts[own] = np.where(good, store.mapped_counts(self.folder, f"counts{level}-{p}", len(known))[at], 0)
         return numbers, counts
 
     def longer(self, level: int, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """From each token's gram a level below: number and count of its gram, its context's number, and whether it has a context."""
         key, context_count, has = _keys(level, ids, counts, first, self.n_texts)
-        kinds, at, back = np.unique(key[has], return_index=True, return_inverse=True)
+        kinds, at, back, _ = _distinct(key[has])
         found = self._found(level, kinds, self.part_of_gram(kinds, context_count[has][at]))
         numbers, times = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         numbers[has], times[has] = found[0][back], found[1][back]
@@ -133,22 +150,26 @@ class KneserNey:
         # Number 0 is in part 0, which may have no grams.
         return np.where(ids > 0, np.searchsorted(self.first[level][1:], np.maximum(ids.astype(np.int64) - 1, 0), "right"), 0)
 
-    def by_number(self, name: str, level: int, ids: np.ndarray) -> np.ndarray:
-        """Values of a dense table for numbers of a level."""
-        kinds, back = np.unique(ids, return_inverse=True)
-        out = np.zeros(len(kinds), np.int64)
+    def by_number(self, names: Iterable[str], level: int, ids: np.ndarray) -> list[np.ndarray]:
+        """Values of dense tables for numbers of a level."""
+        kinds, _, back, _ = _distinct(ids)
         edges = np.searchsorted(kinds, np.concatenate([[0], self.first[level][1:] + 1]))
-        for p in np.flatnonzero(np.diff(edges)):
-            if f"{name}-{p}" in self.present:
-                table = store.mapped_counts(self.folder, f"{name}-{p}", self.size(level, p))
-                out[edges[p] : edges[p + 1]] = table[kinds[edges[p] : edges[p + 1]] - self.low(level, p)]
-        return out[back]
+        parts = np.flatnonzero(np.diff(edges))
+        found = []
+        for name in names:
+            out = np.zeros(len(kinds), np.int64)
+            for p in parts:
+                if f"{name}-{p}" in self.present:
+                    table = store.mapped_counts(self.folder, f"{name}-{p}", self.size(level, p))
+                    out[edges[p] : edges[p + 1]] = table[kinds[edges[p] : edges[p + 1]] - self.low(level, p)]
+            found.append(out[back])
+        return found
 
 
 def _numbered(tokens: np.ndarray, model: KneserNey) -> tuple[np.ndarray, np.ndarray]:
-    kinds, at = np.unique(tokens, return_inverse=True)
+    kinds, _, back, _ = _distinct(tokens)
     ids, counts = model.ids(kinds)
-    return ids[at], counts[at]
+    return ids[back], counts[back]
 
 
 def _keys(level: int, ids: np.ndarray, counts: np.ndarray, first: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,10 +185,9 @@ def _keys(level: int, ids: np.ndarray, counts: np.ndarray, first: np.ndarray, n_
 
 def _sent(keys: np.ndarray, part: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
     """One packed table a part, of sorted keys."""
-    order = np.argsort(part, kind="stable")
-    parts, first = np.unique(part[order], return_index=True)
-    ends = np.append(first[1:], len(order))
-    blobs = [store.pack(keys[o], *(v[o] for v in values)) for o in (order[a:b] for a, b in zip(first, ends, strict=True))]
+    order, edges = _by_part(part, int(part.max()) + 1 if len(part) else 0)
+    parts = np.flatnonzero(np.diff(edges))
+    blobs = [store.pack(keys[o], *(v[o] for v in values)) for o in (order[edges[p] : edges[p + 1]] for p in parts)]
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "packed"])
 
 
@@ -235,7 +255,7 @@ def _totals(rows: list[tuple[list[int], int]]) -> pa.RecordBatch:
 
 def _summed_by(ids: np.ndarray, values: list[np.ndarray], part_of, add: int) -> pa.RecordBatch:
     """Sums of values by number, a packed table for each part of the numbers."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids)
     own, first = np.unique(ids[order], return_index=True)
     return _tables(_sent(own, part_of(own), *(np.add.reduceat(v[order].astype(np.uint64), first) for v in values)), add)
 
@@ -253,7 +273,7 @@ def _count_grams(texts: DataFrame, model: KneserNey, level: int) -> DataFrame:
         for low in range(2, level):
             ids, counts, _, _ = model.longer(low, ids, counts, first)
         key, context_count, has = _keys(level, ids, counts, first, model.n_texts)
-        kinds, at, n = np.unique(key[has], return_index=True, return_counts=True)
+        kinds, at, _, n = _distinct(key[has])
         return [kinds, n.astype(np.uint64), context_count[has][at].astype(np.uint64) * n.astype(np.uint64), n.astype(np.uint64)]
 
     # Values sum up, so the context's count comes as a weighted sum beside its weight.
@@ -302,7 +322,7 @@ def _save_sums(rows: DataFrame, model: KneserNey, level: int) -> DataFrame:
                 # Before a gram that opens a text comes nothing else: it keeps its count.
                 keys = store.mapped(model.folder, f"grams{level}-{q}", "<u8")
                 own = before[len(before) - len(keys) :]
-                own[:] = np.where(own > 0, own, store.mapped_counts(model.folder, f"counts{level}-{q}", len(keys)))
+                own[:] = np.where(own > 0, own, store.mapped_counts(model.folder, f"counts{level}-{q}", len(keys))[np.arange(len(keys))])
                 yield _by_context(keys, own, lambda i: model.part_of_number(level - 1, i))
             store.put_counts(model.folder, f"followed{level}-{q}", before)
             out.append(([level, FOLLOWED, q, *count_classes(before), int((before >= 3).sum())], int(before.sum())))
@@ -348,31 +368,33 @@ def train(docs: DataFrame, order: int = 2) -> KneserNey:
             raise ValueError(f"more than 2 ** 32 distinct grams of {level} words")
 
     part_of_word = lambda k: model.part_of_hash(k)
-    counted = arrow_map(_dealt(arrow_map(texts, _counter(part_of_word, words), "part int, packed binary")), save_words, "part int, n long, total long, texts long").collect()
+    with tidy_shuffles(spark):
+        counted = arrow_map(_dealt(arrow_map(texts, _counter(part_of_word, words), "part int, packed binary")), save_words, "part int, n long, total long, texts long").collect()
     numbered(1, ((r["part"], r["n"]) for r in counted))
     model.n_tokens = sum(r["total"] for r in counted)
     model.n_texts = sum(r["texts"] for r in counted)
 
     nothing = store.pack(np.empty(0, np.uint64), np.empty(0, np.uint64))
-    for level in range(2, order + 1):
-        rows = _count_grams(texts, model, level)
-        if level > 2:
-            # Grams that all open texts have nothing before them: their parts come up all the same.
-            known = [(parts + p, nothing, None, None) for p in range(parts) if f"grams{level - 1}-{p}" in model.present]
-            rows = _save_sums(rows.union(spark.createDataFrame(known, HELD)) if known else rows, model, level - 1)
-        totals = [(*r["classes"], r["n"]) for r in _save_sums(rows, model, level - 1 if level == 2 else level - 2).collect()]
-        classes: dict[tuple[int, int], np.ndarray] = {}
-        for own, kind, part, *counts, _ in totals:
-            classes[own, kind] = classes.get((own, kind), 0) + np.array(counts)
-            model.present |= {f"followed{own}-{part}"} if kind == FOLLOWED else {f"context{own}_{name}-{part}" for name in SUMS} if kind == CONTEXTS else set()
-        numbered(level, ((t[2], t[-1]) for t in totals if t[:2] == (level, GRAMS)))
-        of_below = classes.get((level - 1, FOLLOWED), np.zeros(5, np.int64))
-        model.discounts[level - 1] = discounts(of_below[:4])
-        if level == 2:
-            model.n_pairs = sum(t[-1] for t in totals if t[:2] == (1, FOLLOWED))
-            model.word_classes = (int(of_below[0]), int(of_below[1]), int(of_below[4]))
-        if level == order:
-            model.discounts[level] = discounts(classes.get((level, GRAMS), np.zeros(5, np.int64))[:4])
+    with tidy_shuffles(spark):
+        for level in range(2, order + 1):
+            rows = _count_grams(texts, model, level)
+            if level > 2:
+                # Grams that all open texts have nothing before them: their parts come up all the same.
+                known = [(parts + p, nothing, None, None) for p in range(parts) if f"grams{level - 1}-{p}" in model.present]
+                rows = _save_sums(rows.union(spark.createDataFrame(known, HELD)) if known else rows, model, level - 1)
+            totals = [(*r["classes"], r["n"]) for r in _save_sums(rows, model, level - 1 if level == 2 else level - 2).collect()]
+            classes: dict[tuple[int, int], np.ndarray] = {}
+            for own, kind, part, *counts, _ in totals:
+                classes[own, kind] = classes.get((own, kind), 0) + np.array(counts)
+                model.present |= {f"followed{own}-{part}"} if kind == FOLLOWED else {f"context{own}_{name}-{part}" for name in SUMS} if kind == CONTEXTS else set()
+            numbered(level, ((t[2], t[-1]) for t in totals if t[:2] == (level, GRAMS)))
+            of_below = classes.get((level - 1, FOLLOWED), np.zeros(5, np.int64))
+            model.discounts[level - 1] = discounts(of_below[:4])
+            if level == 2:
+                model.n_pairs = sum(t[-1] for t in totals if t[:2] == (1, FOLLOWED))
+                model.word_classes = (int(of_below[0]), int(of_below[1]), int(of_below[4]))
+            if level == order:
+                model.discounts[level] = discounts(classes.get((level, GRAMS), np.zeros(5, np.int64))[:4])
     return model
 
 
@@ -383,12 +405,12 @@ def _discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 def probabilities(model: KneserNey, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
     """log10 probability of every token, given those before it in its text."""
     floor = np.dot(model.discounts[1][1:], model.word_classes) / model.n_pairs if model.n_pairs else 1.0
-    followed = np.where(ids > 0, model.by_number("followed1", 1, ids), 0)
+    followed = np.where(ids > 0, model.by_number(["followed1"], 1, ids)[0], 0)
     p = _discounted(followed, model.discounts[1]) / max(1, model.n_pairs) + floor / (model.n_words + 1)
     for level in range(2, model.order + 1 if model.n_pairs else 2):
         ids, counts, context, has = model.longer(level, ids, counts, first)
-        total, one, two, more = (np.where(has, model.by_number(f"context{level}_{name}", level - 1, context), 0) for name in SUMS)
-        times = counts if level == model.order else np.where(ids > 0, model.by_number(f"followed{level}", level, ids), 0)
+        total, one, two, more = (np.where(has, x, 0) for x in model.by_number([f"context{level}_{name}" for name in SUMS], level - 1, context))
+        times = counts if level == model.order else np.where(ids > 0, model.by_number([f"followed{level}"], level, ids)[0], 0)
         d = model.discounts[level]
         n = np.maximum(total, 1)
         back = np.where(total > 0, (d[1] * one + d[2] * two + d[3] * more) / n, 1.0)

@@ -12,7 +12,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +65,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run inside remove their shuffle files when they end. For results that are collected or written once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def few(rows: DataFrame) -> DataFrame:
     """``rows``, whose columns are numbers, to be broadcast if a count shows that they are few."""
     return F.broadcast(rows) if rows.count() * 16 * len(rows.columns) <= BROADCAST_BYTES else rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -41,17 +42,40 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
             os.replace(own, local)
     if os.path.getsize(local) == 0:
         return np.empty(0, kind)
-    return np.memmap(local, kind, "r")
+    return np.memmap(local, kind, "r").view(np.ndarray)
+
+
+#: A count of a byte that stands for a larger one, kept beside.
+LARGE = 255
 
 
 def put_counts(folder: str, name: str, counts: np.ndarray) -> None:
-    """Counts in as few bytes as the largest needs; ``mapped_counts`` reads any."""
-    put(folder, name, counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0).newbyteorder("<")))
+    """A byte a count, then place and value of each that needs more; ``mapped_counts`` reads them."""
+    large = np.flatnonzero(counts >= LARGE)
+    bytes_ = np.zeros(-(-len(counts) // 8) * 8, np.uint8)
+    bytes_[: len(counts)] = np.minimum(counts, LARGE)
+    put(folder, name, np.concatenate([bytes_, large.astype("<u8").view(np.uint8), counts[large].astype("<u8").view(np.uint8)]))
+
+
+@dataclass
+class Counts:
+    bytes_: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.bytes_[at].astype(np.int64)
+        large = np.flatnonzero(out == LARGE)
+        if len(large):
+            out[large] = self.value[np.searchsorted(self.place, at[large].astype(np.uint64))]
+        return out
 
 
-def mapped_counts(folder: str, name: str, n: int) -> np.ndarray:
+def mapped_counts(folder: str, name: str, n: int) -> Counts:
     raw = mapped(folder, name, "<u1")
-    return raw.view(f"<u{len(raw) // n}") if n else raw
+    size = -(-n // 8) * 8
+    large = raw[size:].view("<u8")
+    return Counts(raw[:n], large[: len(large) // 2], large[len(large) // 2 :])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -88,7 +112,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
 def summed(blobs: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Distinct keys of several packed tables, and the sums of their values."""
     keys = np.concatenate([b[0] for b in blobs])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     out = [keys[first]]
