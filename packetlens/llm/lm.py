@@ -37,6 +37,8 @@ from .tokens import Piece, mix64, pieces
 END = np.uint64(0xE17A1465B0C4D1B9)
 #: Tokens or pairs that a task counts before it sends what it has.
 BUFFER = 4_000_000
+#: Tokens that are looked up at once, or those of one longer piece.
+GROUP = 300_000
 #: Contexts with more than this share of a part's tokens are spread over SPREAD parts.
 SPREAD = 64
 #: Parts are twice the input's partitions, up to this power of two: a task sends a table to each.
@@ -55,6 +57,23 @@ def tokens_of(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def _groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, tokens and first tokens of some whole texts: the more are looked up at once, the nearer their places lie."""
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def joined() -> tuple[int, np.ndarray, np.ndarray]:
+        begin = np.cumsum([0, *(len(t) for _, t, _ in held)])
+        return held[0][0], np.concatenate([t for _, t, _ in held]), np.concatenate([*(f[:-1] + b for (_, _, f), b in zip(held, begin[:-1], strict=True)), begin[-1:]])
+
+    for piece in pieces(column):
+        held.append((piece.rows.start, *tokens_of(piece)))
+        if sum(len(t) for _, t, _ in held) > GROUP:
+            yield joined()
+            held.clear()
+    if held:
+        yield joined()
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """Discounts of counts 1, 2, and 3 or more, from how many keys have each count from 1 to 4."""
     n1, n2, n3, n4 = (float(x) for x in n)
@@ -127,7 +146,7 @@ class KneserNey:
                 at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
                 good = known[at] == keys[own]
                 numbers[own] = np.where(good, at + self.first[level][p] + 1, 0)
-                counts[own] = np.where(good, store.mapped_counts(self.folder, f"counts{level}-{p}", len(known))[at], 0)
+                counts[own] = np.where(good, store.mapped_counts(self.folder, f"counts{level}-{p}", len(known))[at][:, 0], 0)
         return numbers, counts
 
     def longer(self, level: int, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,20 +169,16 @@ class KneserNey:
         # Number 0 is in part 0, which may have no grams.
         return np.where(ids > 0, np.searchsorted(self.first[level][1:], np.maximum(ids.astype(np.int64) - 1, 0), "right"), 0)
 
-    def by_number(self, names: Iterable[str], level: int, ids: np.ndarray) -> list[np.ndarray]:
-        """Values of dense tables for numbers of a level."""
+    def by_number(self, name: str, level: int, ids: np.ndarray, width: int = 1) -> np.ndarray:
+        """Rows of a dense table for numbers of a level."""
         kinds, _, back, _ = _distinct(ids)
+        out = np.zeros((len(kinds), width), np.int64)
         edges = np.searchsorted(kinds, np.concatenate([[0], self.first[level][1:] + 1]))
-        parts = np.flatnonzero(np.diff(edges))
-        found = []
-        for name in names:
-            out = np.zeros(len(kinds), np.int64)
-            for p in parts:
-                if f"{name}-{p}" in self.present:
-                    table = store.mapped_counts(self.folder, f"{name}-{p}", self.size(level, p))
-                    out[edges[p] : edges[p + 1]] = table[kinds[edges[p] : edges[p + 1]] - self.low(level, p)]
-            found.append(out[back])
-        return found
+        for p in np.flatnonzero(np.diff(edges)):
+            if f"{name}-{p}" in self.present:
+                table = store.mapped_counts(self.folder, f"{name}-{p}", self.size(level, p), width)
+                out[edges[p] : edges[p + 1]] = table[kinds[edges[p] : edges[p + 1]] - self.low(level, p)]
+        return out.take(back, axis=0)
 
 
 def _numbered(tokens: np.ndarray, model: KneserNey) -> tuple[np.ndarray, np.ndarray]:
@@ -220,8 +235,8 @@ def _counter(parts_of, keys_of):
                 held.clear()
 
         for batch in batches:
-            for piece in pieces(batch.column(0)):
-                table = keys_of(piece)
+            for _, tokens, first in _groups(batch.column(0)):
+                table = keys_of(tokens, first)
                 held.append(table)
                 n += len(table[0])
                 if n > BUFFER:
@@ -240,7 +255,8 @@ def _dealt(df: DataFrame) -> DataFrame:
 HELD = "part int, packed binary, classes array<long>, n long"
 #: What such totals are of: a part of a level's grams, how many words come before its grams, sums by its contexts.
 GRAMS, FOLLOWED, CONTEXTS = 0, 1, 2
-SUMS = ("total", "one", "two", "more")
+#: The sums by a context: all counts, and how many are 1, 2, and 3 or more.
+SUMS = 4
 
 
 def _tables(sent: pa.RecordBatch, add: int) -> pa.RecordBatch:
@@ -267,8 +283,7 @@ def _by_context(keys: np.ndarray, counts: np.ndarray, part_of) -> pa.RecordBatch
 def _count_grams(texts: DataFrame, model: KneserNey, level: int) -> DataFrame:
     """Writes a level's grams and counts; rows for ``_save_sums`` of the level below."""
 
-    def grams(piece: Piece) -> list[np.ndarray]:
-        tokens, first = tokens_of(piece)
+    def grams(tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         ids, counts = _numbered(tokens, model)
         for low in range(2, level):
             ids, counts, _, _ = model.longer(low, ids, counts, first)
@@ -313,8 +328,7 @@ def _save_sums(rows: DataFrame, model: KneserNey, level: int) -> DataFrame:
             for d, v in zip(dense, values, strict=True):
                 d[at] = v
             if kind == 0:
-                for name, d in zip(SUMS, dense, strict=True):
-                    store.put_counts(model.folder, f"context{level + 1}_{name}-{q}", d)
+                store.put_counts(model.folder, f"context{level + 1}-{q}", np.stack(dense, axis=1))
                 out.append(([level + 1, CONTEXTS, q, 0, 0, 0, 0, 0], 0))
                 continue
             (before,) = dense
@@ -322,7 +336,7 @@ def _save_sums(rows: DataFrame, model: KneserNey, level: int) -> DataFrame:
                 # Before a gram that opens a text comes nothing else: it keeps its count.
                 keys = store.mapped(model.folder, f"grams{level}-{q}", "<u8")
                 own = before[len(before) - len(keys) :]
-                own[:] = np.where(own > 0, own, store.mapped_counts(model.folder, f"counts{level}-{q}", len(keys))[np.arange(len(keys))])
+                own[:] = np.where(own > 0, own, store.mapped_counts(model.folder, f"counts{level}-{q}", len(keys))[np.arange(len(keys))][:, 0])
                 yield _by_context(keys, own, lambda i: model.part_of_number(level - 1, i))
             store.put_counts(model.folder, f"followed{level}-{q}", before)
             out.append(([level, FOLLOWED, q, *count_classes(before), int((before >= 3).sum())], int(before.sum())))
@@ -347,8 +361,7 @@ def train(docs: DataFrame, order: int = 2) -> KneserNey:
     parts = 1 << min(MAX_PART_BITS, max(2, (2 * texts.rdd.getNumPartitions() - 1).bit_length()))
     model = KneserNey(folder, parts, order)
 
-    def words(piece: Piece) -> list[np.ndarray]:
-        tokens, _ = tokens_of(piece)
+    def words(tokens: np.ndarray, _: np.ndarray) -> list[np.ndarray]:
         kinds, n = np.unique(tokens, return_counts=True)
         return [kinds, n.astype(np.uint64)]
 
@@ -386,7 +399,7 @@ def train(docs: DataFrame, order: int = 2) -> KneserNey:
             classes: dict[tuple[int, int], np.ndarray] = {}
             for own, kind, part, *counts, _ in totals:
                 classes[own, kind] = classes.get((own, kind), 0) + np.array(counts)
-                model.present |= {f"followed{own}-{part}"} if kind == FOLLOWED else {f"context{own}_{name}-{part}" for name in SUMS} if kind == CONTEXTS else set()
+                model.present |= {FOLLOWED: {f"followed{own}-{part}"}, CONTEXTS: {f"context{own}-{part}"}}.get(kind, set())
             numbered(level, ((t[2], t[-1]) for t in totals if t[:2] == (level, GRAMS)))
             of_below = classes.get((level - 1, FOLLOWED), np.zeros(5, np.int64))
             model.discounts[level - 1] = discounts(of_below[:4])
@@ -405,12 +418,12 @@ def _discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 def probabilities(model: KneserNey, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
     """log10 probability of every token, given those before it in its text."""
     floor = np.dot(model.discounts[1][1:], model.word_classes) / model.n_pairs if model.n_pairs else 1.0
-    followed = np.where(ids > 0, model.by_number(["followed1"], 1, ids)[0], 0)
+    followed = np.where(ids > 0, model.by_number("followed1", 1, ids)[:, 0], 0)
     p = _discounted(followed, model.discounts[1]) / max(1, model.n_pairs) + floor / (model.n_words + 1)
     for level in range(2, model.order + 1 if model.n_pairs else 2):
         ids, counts, context, has = model.longer(level, ids, counts, first)
-        total, one, two, more = (np.where(has, x, 0) for x in model.by_number([f"context{level}_{name}" for name in SUMS], level - 1, context))
-        times = counts if level == model.order else np.where(ids > 0, model.by_number([f"followed{level}"], level, ids)[0], 0)
+        total, one, two, more = np.where(has[:, None], model.by_number(f"context{level}", level - 1, context, SUMS), 0).T
+        times = counts if level == model.order else np.where(ids > 0, model.by_number(f"followed{level}", level, ids)[:, 0], 0)
         d = model.discounts[level]
         n = np.maximum(total, 1)
         back = np.where(total > 0, (d[1] * one + d[2] * two + d[3] * more) / n, 1.0)
@@ -434,12 +447,11 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch.column(at)):
-                tokens, first = tokens_of(piece)
+            for row, tokens, first in _groups(batch.column(at)):
                 ids, counts = _numbered(tokens, model)
                 base = np.log10((counts + 1) / (n + v + 1))
                 logs = probabilities(model, ids, counts, first)
-                part = batch.slice(piece.rows.start, piece.n_texts)
+                part = batch.slice(row, len(first) - 1)
                 sums = [np.diff(first), np.add.reduceat((counts > 0).astype(np.int64), first[:-1]), np.add.reduceat(base, first[:-1]), np.add.reduceat(logs, first[:-1])]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(s) for s in sums)], names=schema.names)
 

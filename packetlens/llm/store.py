@@ -50,7 +50,8 @@ LARGE = 255
 
 
 def put_counts(folder: str, name: str, counts: np.ndarray) -> None:
-    """A byte a count, then place and value of each that needs more; ``mapped_counts`` reads them."""
+    """A byte a count (of a row or a matrix), then place and value of each that needs more; ``mapped_counts`` reads them."""
+    counts = counts.ravel()
     large = np.flatnonzero(counts >= LARGE)
     bytes_ = np.zeros(-(-len(counts) // 8) * 8, np.uint8)
     bytes_[: len(counts)] = np.minimum(counts, LARGE)
@@ -64,18 +65,20 @@ class Counts:
     value: np.ndarray
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        out = self.bytes_[at].astype(np.int64)
-        large = np.flatnonzero(out == LARGE)
-        if len(large):
-            out[large] = self.value[np.searchsorted(self.place, at[large].astype(np.uint64))]
+        """Rows by their numbers."""
+        out = self.bytes_.take(at, axis=0).astype(np.int64)
+        row, column = np.nonzero(out == LARGE)
+        if len(row):
+            places = at[row] * self.bytes_.shape[1] + column
+            out[row, column] = self.value[np.searchsorted(self.place, places.astype(np.uint64))]
         return out
 
 
-def mapped_counts(folder: str, name: str, n: int) -> Counts:
+def mapped_counts(folder: str, name: str, n: int, width: int = 1) -> Counts:
     raw = mapped(folder, name, "<u1")
-    size = -(-n // 8) * 8
+    size = -(-n * width // 8) * 8
     large = raw[size:].view("<u8")
-    return Counts(raw[:n], large[: len(large) // 2], large[len(large) // 2 :])
+    return Counts(raw[: n * width].reshape(n, width), large[: len(large) // 2], large[len(large) // 2 :])
 
 
 def _planes(x: np.ndarray) -> bytes:
