@@ -19,6 +19,11 @@ LINE_KEYS = ("page_num", "block_num", "par_num", "line_num")
 # Words that show a faint risk mark.
 RISK_WORDS = ("biohazard", "warrant", "tampering", "embargo", "rescind", "illegible")
 
+# Sources of OCR spans, in the order in which a page is read.
+ORIGINAL, CONTRAST_RISK, FEE_CROP, FEE_SPARSE = "ocr:original", "ocr:contrast_risk", "ocr:fee_crop", "ocr:fee_psm11"
+HEADER, HEADER_SPARSE, MID_SPARSE = "ocr:embedded_header", "ocr:embedded_psm11", "ocr:embedded_mid_psm11"
+SOURCES = (ORIGINAL, CONTRAST_RISK, FEE_CROP, FEE_SPARSE, HEADER, HEADER_SPARSE, MID_SPARSE)
+
 
 def words_to_lines(words: DataFrame, keys: tuple[str, ...] = ("case_id",), tie: tuple[str, ...] = ()) -> DataFrame:
     """Groups words into physical lines.
@@ -53,11 +58,14 @@ def has_risk_word(text: Column) -> Column:
     return T.any_of(*(F.contains(F.lower(text), F.lit(w)) for w in RISK_WORDS))
 
 
+def faint_pages(pages: DataFrame, original: DataFrame) -> DataFrame:
+    """Of ``pages`` (case_id, page) those whose original lines show no risk word: the contrast retry reads them."""
+    return pages.join(original.where(has_risk_word(F.col("text"))).select("case_id", "page").distinct(), ["case_id", "page"], "left_anti")
+
+
 def contrast_lines(original: DataFrame, retry: DataFrame) -> DataFrame:
     """Lines of the contrast retry that show a risk word, on pages whose original shows none."""
-    shown = original.where(has_risk_word(F.col("text"))).select("case_id", "page").distinct()
-    kept = retry.where((F.col("confidence") >= V.RETRY_CONFIDENCE) & has_risk_word(F.col("text")))
-    return kept.join(shown, ["case_id", "page"], "left_anti")
+    return faint_pages(retry.where((F.col("confidence") >= V.RETRY_CONFIDENCE) & has_risk_word(F.col("text"))), original)
 
 
 def fee_crop_pages(original: DataFrame) -> DataFrame:
@@ -74,6 +82,13 @@ def band_images(images: DataFrame, side: int = V.BAND_SIDE) -> DataFrame:
     return images.where((F.col("width") >= side) & (F.col("height") >= side))
 
 
+def sparse_lines(reads: DataFrame, source: str) -> DataFrame:
+    """Whole texts of sparse reads (case_id, page, text) as line rows without a place of their own; blank ones go."""
+    said = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    corner = [F.lit(v).alias(c) for c, v in (("x0", 0), ("y0", 0), ("x1", 1), ("y1", 1))]
+    return reads.select("case_id", "page", F.lit(source).alias("source"), said.alias("text"), F.lit(1.0).alias("confidence"), *corner).where("text != ''")
+
+
 def to_spans(lines: DataFrame, least: float = V.OCR_CONFIDENCE) -> DataFrame:
     """Lines as spans, where confident enough."""
     return lines.where(F.col("confidence") >= least).select(
@@ -82,17 +97,19 @@ def to_spans(lines: DataFrame, least: float = V.OCR_CONFIDENCE) -> DataFrame:
 
 
 def _reading() -> WindowSpec:
-    return Window.partitionBy("case_id", "page").orderBy("source", "y0", "x0", "text")
+    ladder = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
+    return Window.partitionBy("case_id", "page").orderBy(ladder, "source", "y0", "x0", "text")
 
 
 def evidence_spans(text_layer: DataFrame, original: DataFrame, retry: DataFrame, fee_lines: DataFrame, bands: DataFrame) -> DataFrame:
     """Text-layer spans and every OCR span that the guards let through.
 
     The four OCR relations are line rows with their ``source``; ``fee_lines``
-    holds reads of the fee crop, ``bands`` of embedded images.
+    holds reads of the fee crop, ``bands`` of embedded images. They stand in the
+    order of ``SOURCES``, after the page's text layer.
     """
     crop = fee_lines.join(fee_crop_pages(original), ["case_id", "page"], "left_semi")
-    found = to_spans(original.unionByName(crop).unionByName(bands)).unionByName(to_spans(contrast_lines(original, retry), V.RETRY_CONFIDENCE))
+    found = to_spans(original.unionByName(contrast_lines(original, retry)).unionByName(crop).unionByName(bands))
     return text_layer.unionByName(found.withColumn("ord", F.col("ord") + 1_000_000))
 
 

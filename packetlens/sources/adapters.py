@@ -15,6 +15,7 @@ import shutil
 import subprocess
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
 
@@ -26,12 +27,34 @@ from pyspark.sql import types as T
 
 from packetlens.operators.ocr import distinct_texts
 
-from .readers import ERRORS, IMAGES, PAGES, RASTERS, READS, SPANS, WORDS
+from .readers import ERRORS, IMAGES, PAGES, RASTERS, READS, SPANS, VIEWS, WORDS
 
 # Rendering resolutions of the OCR ladder.
 OCR_DPI, RAPID_DPI, BOOST_DPI, FORENSIC_DPI = 160, 140, 200, 180
 
 
+@dataclass(frozen=True)
+class View:
+    """A part of an image, its edges as shares of width and height (left, top, right, bottom), and what is done to it, in order."""
+
+    box: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0)
+    steps: tuple[tuple[str, object], ...] = ()
+
+
+_GREY, _LEVEL = ("grey", None), ("level", None)
+_PAGE, _LOWER, _MIDDLE = (0.0, 0.0, 1.0, 1.0), (0.0, 0.50, 1.0, 1.0), (0.0, 0.25, 1.0, 0.75)
+# What the OCR ladder reads besides whole pages: retries of a page, its fee receipt, bands of embedded images.
+CONTRAST = View(_PAGE, (_GREY, ("contrast", 1.8)))
+CLEAN = View(_PAGE, (_GREY, ("contrast", 1.8), ("median", 3)))
+FEE = View((0.02, 0.05, 0.92, 0.58), (("double", "BICUBIC"),))
+FEE_LEVEL = View(FEE.box, (*FEE.steps, _GREY, _LEVEL))
+HEADER = View((0.0, 0.0, 0.92, 0.58), (_GREY, _LEVEL))
+HEADER_LARGE = View(HEADER.box, (*HEADER.steps, ("double", "LANCZOS")))
+MID_LARGE = View((0.0, 0.12, 0.92, 0.58), HEADER_LARGE.steps)
+# The six views of a forensic read.
+FORENSIC = (View(), View(_PAGE, (_GREY, ("contrast", 2.0), ("sharpen", None))), View(_LOWER), View(_LOWER, (_GREY, ("contrast", 2.2))), View(_MIDDLE), View(_MIDDLE, (_GREY, ("contrast", 2.0))))
+
+
 class AdapterMissing(RuntimeError):
     """A native library or program that an adapter needs isn't installed."""
 
@@ -115,12 +138,68 @@ def page_images(packets: DataFrame) -> DataFrame:
     return _mapped(packets, _image_rows, IMAGES)
 
 
-def word_rows(case_id: str, page: int, source: str, table: str) -> Iterator[list[str]]:
-    """Rows of WORDS from tab-separated values with a header; missing columns are empty."""
+def _picture(content: bytes):
+    from PIL import Image
+
+    return Image.open(io.BytesIO(content)).convert("RGB")
+
+
+def _seen(picture, view: View):
+    """A view of a picture; at least a pixel wide and high."""
+    from PIL import Image, ImageEnhance, ImageFilter, ImageOps
+
+    width, height = picture.size
+    left, top, right, bottom = view.box
+    edges = (int(width * left), int(height * top), max(1, int(width * right)), max(1, int(height * bottom)))
+    out = picture if view.box == _PAGE else picture.crop(edges)
+    done = {
+        "grey": lambda image, _: ImageOps.grayscale(image),
+        "level": lambda image, _: ImageOps.autocontrast(image),
+        "contrast": lambda image, by: ImageEnhance.Contrast(image).enhance(by),
+        "median": lambda image, size: image.filter(ImageFilter.MedianFilter(size=size)),
+        "sharpen": lambda image, _: image.filter(ImageFilter.SHARPEN),
+        "double": lambda image, how: image.resize((image.width * 2, image.height * 2), Image.Resampling[how]),
+    }
+    for step, value in view.steps:
+        out = done[step](out, value)
+    return out
+
+
+def _view_of(content: bytes, view: View) -> bytes | None:
+    """A view as PNG; none if the image can't be decoded."""
+    out = io.BytesIO()
+    try:
+        _seen(_picture(content), view).save(out, format="PNG")
+    except Exception:
+        return None
+    return out.getvalue()
+
+
+def _numbered(images: DataFrame) -> DataFrame:
+    """(case_id, page, img_no, content): drawn pages have no images of their own, so theirs is 0."""
+    return images.select("case_id", "page", (F.col("img_no") if "img_no" in images.columns else F.lit(0)).cast("int").alias("img_no"), "content")
+
+
+def views(images: DataFrame, view: View) -> DataFrame:
+    """A view of every image (case_id, page, content; img_no if a page has several) that can be decoded, as PNG."""
+    _need("PIL")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            seen = zip(frame["case_id"], frame["page"], frame["img_no"], frame["content"], strict=True)
+            yield pd.DataFrame([(case_id, page, k, made) for case_id, page, k, content in seen if content is not None and (made := _view_of(bytes(content), view)) is not None], columns=VIEWS.names)
+
+    return _numbered(images).mapInPandas(run, VIEWS)
+
+
+def word_rows(case_id: str, page: int, source: str, table: str, image: int = 0) -> Iterator[list[str]]:
+    """Rows of WORDS from tab-separated values with a header; missing columns are empty. Blocks of a page's several images keep apart."""
     header, *lines = table.splitlines() or [""]
     names = header.split("\t")
     for line in lines:
         row = dict(zip(names, line.split("\t"), strict=False)) | {"case_id": case_id, "source": source, "page_num": str(page)}
+        if image:
+            row["block_num"] = f"{image}:{row.get('block_num', '')}"
         yield [row.get(n, "") for n in WORDS.names]
 
 
@@ -134,15 +213,15 @@ def _read(content: bytes, psm: int, *form: str) -> str:
 
 
 def ocr_words(images: DataFrame, source: str = "ocr:original", psm: int = 6) -> DataFrame:
-    """Words that tesseract reads in images (case_id, page, content), as strings; a failed read gives none."""
+    """Words that tesseract reads in images (case_id, page, content; img_no if a page has several), as strings; a failed read gives none."""
     _need(program="tesseract")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            read = zip(frame["case_id"], frame["page"], frame["content"], strict=True)
-            yield pd.DataFrame([row for case_id, page, content in read if content is not None for row in word_rows(case_id, page, source, _read(bytes(content), psm, "tsv"))], columns=WORDS.names)
+            read = zip(frame["case_id"], frame["page"], frame["img_no"], frame["content"], strict=True)
+            yield pd.DataFrame([row for case_id, page, k, content in read if content is not None for row in word_rows(case_id, page, source, _read(bytes(content), psm, "tsv"), k)], columns=WORDS.names)
 
-    return images.select("case_id", "page", "content").mapInPandas(run, WORDS)
+    return _numbered(images).mapInPandas(run, WORDS)
 
 
 def ocr_texts(images: DataFrame, modes: tuple[int, ...] = (6, 11)) -> DataFrame:
@@ -210,18 +289,9 @@ def _said(engine, image: np.ndarray) -> str:
 
 
 def _crops(content: bytes, forensic: bool) -> list[np.ndarray]:
-    """The whole page; a forensic read adds contrasts, the lower half and the middle half."""
-    from PIL import Image, ImageEnhance, ImageFilter, ImageOps
-
-    whole = Image.open(io.BytesIO(content)).convert("RGB")
-    if not forensic:
-        return [np.asarray(whole)]
-    width, height = whole.size
-    sharp = lambda image, by: ImageEnhance.Contrast(ImageOps.grayscale(image)).enhance(by)
-    lower = whole.crop((0, int(height * 0.50), width, height))
-    middle = whole.crop((0, int(height * 0.25), width, int(height * 0.75)))
-    found = [whole, sharp(whole, 2.0).filter(ImageFilter.SHARPEN), lower, sharp(lower, 2.2), middle, sharp(middle, 2.0)]
-    return [np.asarray(image.convert("RGB")) for image in found]
+    """The whole page in RGB; a forensic read has six views of it."""
+    whole = _picture(content)
+    return [np.asarray(_seen(whole, view).convert("RGB")) for view in (FORENSIC if forensic else FORENSIC[:1])]
 
 
 def neural_reads(rasters: DataFrame, forensic: bool = False) -> DataFrame:

@@ -20,6 +20,7 @@ SPANS = _schema("case_id string, page int, ord long, text string, x0 double, y0
 PAGES = _schema("case_id string, page int, width double, height double, text string")
 IMAGES = _schema("case_id string, page int, img_no int, width int, height int, channels int, content binary")
 RASTERS = _schema("case_id string, page int, dpi int, content binary")
+VIEWS = _schema("case_id string, page int, img_no int, content binary")
 ERRORS = _schema("case_id string, error string")
 READS = _schema("case_id string, page int, crop int, text string")
 WORDS = _schema(

@@ -5,6 +5,9 @@ from __future__ import annotations
 import importlib.util
 import json
 import os
+import sys
+import types
+from ast import literal_eval
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -317,6 +320,104 @@ def test_pages_are_drawn_and_read(spark, monkeypatch, tmp_path) -> None:
     assert deep["C"] == "c1@180\nend\nc1@180!\nend"
 
 
+class Picture:
+    """A stand-in for a decoded image: its size and what was done to it."""
+
+    def __init__(self, width: int, height: int, done: tuple = ()) -> None:
+        self.width, self.height, self.done = width, height, done
+
+    @property
+    def size(self) -> tuple[int, int]:
+        return self.width, self.height
+
+    def then(self, *step, width: int | None = None, height: int | None = None) -> Picture:
+        return Picture(width or self.width, height or self.height, (*self.done, step))
+
+    def convert(self, mode):
+        return self.then("convert", mode)
+
+    def crop(self, box):
+        return self.then("crop", box, width=box[2] - box[0], height=box[3] - box[1])
+
+    def resize(self, size, how):
+        return self.then("resize", size, how, width=size[0], height=size[1])
+
+    def filter(self, what):
+        return self.then("filter", what)
+
+    def save(self, out, format):  # noqa: A002
+        out.write(repr((format, self.size, self.done)).encode())
+
+
+def pictures(monkeypatch) -> None:
+    """Puts stand-ins for the imaging library into place; an image's bytes are its width and height."""
+    names = {n: types.ModuleType(f"PIL.{n}") for n in ("Image", "ImageEnhance", "ImageFilter", "ImageOps")}
+    names["Image"].open = lambda file: Picture(*map(int, file.read().split()))
+    names["Image"].Resampling = {"BICUBIC": 3, "LANCZOS": 1}
+    names["ImageOps"].grayscale, names["ImageOps"].autocontrast = lambda i: i.then("grey"), lambda i: i.then("level")
+    names["ImageEnhance"].Contrast = lambda i: types.SimpleNamespace(enhance=lambda by: i.then("contrast", by))
+    names["ImageFilter"].SHARPEN, names["ImageFilter"].MedianFilter = "sharpen", lambda size: ("median", size)
+    whole = types.ModuleType("PIL")
+    whole.__dict__.update(names)
+    monkeypatch.setitem(sys.modules, "PIL", whole)
+    for name, module in names.items():
+        monkeypatch.setitem(sys.modules, f"PIL.{name}", module)
+
+
+def test_views_of_an_image(monkeypatch) -> None:
+    pictures(monkeypatch)
+    made = lambda content, view: literal_eval(adapters._view_of(content, view).decode())
+    seen = lambda view: made(b"1000 2000", view)[2][1:]
+    assert made(b"1000 2000", adapters.View()) == ("PNG", (1000, 2000), (("convert", "RGB"),))
+    assert seen(adapters.CONTRAST) == (("grey",), ("contrast", 1.8)) and seen(adapters.CLEAN) == (("grey",), ("contrast", 1.8), ("filter", ("median", 3)))
+    assert seen(adapters.FEE) == (("crop", (20, 100, 920, 1160)), ("resize", (1800, 2120), 3))
+    assert seen(adapters.FEE_LEVEL) == (*seen(adapters.FEE), ("grey",), ("level",))
+    assert seen(adapters.HEADER) == (("crop", (0, 0, 920, 1160)), ("grey",), ("level",))
+    assert seen(adapters.HEADER_LARGE) == (*seen(adapters.HEADER), ("resize", (1840, 2320), 1))
+    assert seen(adapters.MID_LARGE) == (("crop", (0, 240, 920, 1160)), ("grey",), ("level",), ("resize", (1840, 1840), 1))
+    assert made(b"1 1", adapters.HEADER)[1] == (1, 1)
+    assert adapters._view_of(b"no picture", adapters.FEE) is None
+    forensic = [adapters._seen(Picture(10, 100), view).done for view in adapters.FORENSIC]
+    lower, middle = ("crop", (0, 50, 10, 100)), ("crop", (0, 25, 10, 75))
+    assert forensic == [(), (("grey",), ("contrast", 2.0), ("filter", "sharpen")), (lower,), (lower, ("grey",), ("contrast", 2.2)), (middle,), (middle, ("grey",), ("contrast", 2.0))]
+
+
+def test_ocr_ladder(spark, monkeypatch) -> None:
+    """Each retry reads only the pages that need it; two images of a page keep their lines apart."""
+    asked = []
+    said = {
+        b"p1": ["Fee Receipt"], b"p1+FEE": ["Fee Status: paid"], b"p1+FEE_LEVEL": "\n Status paid \n", b"p1+CONTRAST": ["embargo notice", "plain"],
+        b"p2": ["active warrant"], b"i0+HEADER": ["left part"], b"i1+HEADER": ["right part"], b"i0+HEADER_LARGE": "sparse head", b"i1+HEADER_LARGE": " \n", b"i0+MID_LARGE": "sparse middle",
+    }
+    kinds = {getattr(adapters, n): n for n in ("CONTRAST", "FEE", "FEE_LEVEL", "HEADER", "HEADER_LARGE", "MID_LARGE")}
+
+    def read(content: bytes, psm: int, *form: str) -> str:
+        asked.append((content, psm))
+        found = said.get(content, "" if psm == 11 else [])
+        if psm == 11:
+            return found
+        return "\n".join(["block_num\tpar_num\tline_num\tleft\ttop\twidth\theight\tconf\ttext", *(f"1\t1\t{i}\t5\t{i}\t9\t9\t90\t{t}" for i, t in enumerate(found))])
+
+    def here(frame, run, schema):  # in this process, where the stand-ins are
+        return spark.createDataFrame([tuple(r) for out in run([frame.toPandas()]) for r in out.itertuples(index=False)], schema)
+
+    monkeypatch.setattr(adapters, "_need", lambda *_, **__: None)
+    monkeypatch.setattr(adapters, "_read", read)
+    monkeypatch.setattr(adapters, "_view_of", lambda content, view: content + b"+" + kinds[view].encode())
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", here)
+    drawn = spark.createDataFrame([("A", 1, 160, bytearray(b"p1")), ("A", 2, 160, bytearray(b"p2"))], readers.RASTERS)
+    images = spark.createDataFrame([("A", 1, 0, 800, 900, 3, bytearray(b"i0")), ("A", 1, 1, 900, 800, 3, bytearray(b"i1")), ("A", 2, 0, 900, 700, 3, bytearray(b"small")), ("A", 3, 0, 900, 900, 3, bytearray(b"else"))], readers.IMAGES)
+    layer = spark.createDataFrame(cells(["ink"]), SPAN)
+    found = folder.ocr_evidence(layer, drawn, images).orderBy("page", "ord").collect()
+    assert [(r["page"], r["source"], r["text"]) for r in found] == [
+        (1, "text_layer", "ink"), (1, "ocr:original", "Fee Receipt"), (1, "ocr:contrast_risk", "embargo notice"), (1, "ocr:fee_crop", "Fee Status: paid"), (1, "ocr:fee_psm11", "Status paid"),
+        (1, "ocr:embedded_header", "left part"), (1, "ocr:embedded_header", "right part"), (1, "ocr:embedded_psm11", "sparse head"), (1, "ocr:embedded_mid_psm11", "sparse middle"), (2, "ocr:original", "active warrant"),
+    ]
+    assert not {c for c, _ in asked if c.startswith((b"p2+", b"small", b"else"))}
+    assert {c for c, psm in asked if psm == 11} == {b"p1+FEE_LEVEL", b"i0+HEADER_LARGE", b"i1+HEADER_LARGE", b"i0+MID_LARGE", b"i1+MID_LARGE"}
+    assert folder.ocr_evidence(layer, drawn.limit(0), images).count() == 1
+
+
 def test_neural_reads_say_what_is_missing(spark) -> None:
     for module in ("rapidocr", "PIL"):
         if importlib.util.find_spec(module) is None:
