@@ -8,7 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from packetlens.sources.readers import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
+#: Tables whose rows become a fixture's; others are looked up.
+DRIVING = ("orders", "lineitem", "conversations")
 #: The fixtures' day before which an arrival is stale; orders run from 1995 to 2001.
 STALE = "1998-01-01"
 
@@ -273,5 +277,6 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = with_clause(name)
     used = [t for t in TABLES if f" {t}" in sql]
     for t in used:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        (spread(rows) if t in DRIVING else rows).createOrReplaceTempView(t)
     return spark.sql(f"{sql.replace(chr(34) + 'left' + chr(34), '`left`')} SELECT * FROM {name}")

@@ -69,3 +69,13 @@ def case_list(spark: SparkSession, path: str) -> DataFrame:
 def span_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """Span files as they arrive."""
     return spark.readStream.schema(SPANS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a scan dealt over all cores if they come in fewer parts.
+
+    Form texts cost far more to parse than to move, and a file of one row group
+    is one task, whatever its size. Inputs of more parts stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
