@@ -47,24 +47,29 @@ def _open(field: str) -> Column:
     return F.col(f"{field}_state") == UNKNOWN
 
 
+# A value that an expression needs several times is bound by ``T.let``: nothing else keeps it from being computed again in each place.
+
+
 def fee_pick(text: Column) -> Column:
-    found = T.layout_fee(text)
     fill = _open("fee_status") | (F.lower("fee_status") == "unknown")
-    lift = (F.lower("fee_status") == "unpaid") & (found == "paid") & T.fee_proven(text)
-    return F.when(found.isNotNull() & (fill | lift), found)
+    # A proven fee is what the layout says, too.
+    return F.when(fill, T.layout_fee(text)).when((F.lower("fee_status") == "unpaid") & T.fee_proven(text), "paid")
 
 
 def name_pick(text: Column) -> Column:
-    registry, applicant = T.only(T.registry_names(text)), T.only(T.applicant_names(text))
-    pick = F.coalesce(registry, applicant)
     now = F.trim("applicant_name")
-    replace = (now != pick) & (_open("applicant_name") | weak_source(F.col("applicant_name_source")) | F.coalesce(registry == applicant, F.lit(False)))
-    return F.when(pick.isNotNull() & (unknown_scalar(now) | replace), pick)
+
+    def of(found: Column) -> Column:
+        registry, applicant = found["registry"], found["applicant"]
+        pick = F.coalesce(registry, applicant)
+        replace = (now != pick) & (_open("applicant_name") | weak_source(F.col("applicant_name_source")) | F.coalesce(registry == applicant, F.lit(False)))
+        return F.when(unknown_scalar(now) | replace, pick)
+
+    return T.let(F.struct(T.only(T.registry_names(text)).alias("registry"), T.only(T.applicant_names(text)).alias("applicant")), of)
 
 
 def _fill(field: str, found: Column) -> Column:
-    pick = T.only(found)
-    return F.when(pick.isNotNull() & (_open(field) | unknown_scalar(F.col(field))), pick)
+    return F.when(_open(field) | unknown_scalar(F.col(field)), T.only(found))
 
 
 def visa_pick(text: Column) -> Column:
@@ -86,20 +91,26 @@ def species_pick(text: Column) -> Column:
 def sponsor_pick(text: Column) -> Column:
     now = F.col("sponsor_id")
     blank = now.isin("SPN-0000", "unknown", "")
-    attested = T.only(T.captures(text, P.ATTESTS_ID))
-    revoked = T.only(T.captures(text, P.REVOKED_ID))
-    near = now.rlike(r"^SPN-\d{4}$") & (F.left(now, F.lit(7)) == F.left(attested, F.lit(7))) & (now != attested)
-    pick = F.coalesce(revoked, F.when(blank | near, attested))
-    return F.when(pick.isNotNull() & (_open("sponsor_id") | blank | (weak_source(F.col("sponsor_id_source")) & (now != pick))), pick)
+
+    def of(found: Column) -> Column:
+        revoked, attested = found["revoked"], found["attested"]
+        near = now.rlike(r"^SPN-\d{4}$") & (F.left(now, F.lit(7)) == F.left(attested, F.lit(7))) & (now != attested)
+        pick = F.coalesce(revoked, F.when(blank | near, attested))
+        return F.when(_open("sponsor_id") | blank | (weak_source(F.col("sponsor_id_source")) & (now != pick)), pick)
+
+    return T.let(F.struct(T.only(T.captures(text, P.REVOKED_ID)).alias("revoked"), T.only(T.captures(text, P.ATTESTS_ID)).alias("attested")), of)
 
 
 def purpose_pick(text: Column) -> Column:
     now = F.lower("declared_purpose")
     default = V.PURPOSES[0]
-    attested = T.attested_purpose(text)
-    override = attested.isNotNull() & (_open("declared_purpose") | (now == "unknown") | ((now == default) & (attested != now)))
     bound = T.only(T.bound_purposes(text, now))
-    return F.when(override, attested).when(_open("declared_purpose") | now.isin("unknown", default), bound)
+
+    def of(attested: Column) -> Column:
+        override = attested.isNotNull() & (_open("declared_purpose") | (now == "unknown") | ((now == default) & (attested != now)))
+        return F.when(override, attested).when(_open("declared_purpose") | now.isin("unknown", default), bound)
+
+    return T.let(T.attested_purpose(text), of)
 
 
 PICKS = {

@@ -280,6 +280,14 @@ def test_folder_to_json_lines(spark, monkeypatch, tmp_path) -> None:
     assert lines[1] == {"case_id": "B", **V.BLANK}
 
 
+def test_few_parts_are_spread_over_cores(spark) -> None:
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(40).coalesce(1)
+    assert readers.spread(one).rdd.getNumPartitions() == cores and sorted(r["id"] for r in readers.spread(one).collect()) == list(range(40))
+    many = spark.range(40).repartition(cores + 1)
+    assert readers.spread(many) is many
+
+
 def test_gates_share_the_proofs_of_the_repairs(spark, sf) -> None:
     wide = catalog.wide(spark, sf).limit(50)
     repaired = repair.repair(wide)
