@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, html, jaccard, linededup, lm, mixing, quality, urlfilter
+from . import ann, chat, decontaminate, html, jaccard, linededup, lm, mixing, quality, repair, urlfilter
 from .runtime import table
 
 #: Fixed value: the conversation that the query adds, to show that control strings survive.
@@ -183,6 +183,73 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations with turns dropped, emptied, without marks, repeated, or of the wrong role, by a checksum of their place."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), (F.crc32(F.concat_ws(":", said("conv_id"), said("turn")).cast("binary")) % 20).alias("h"))
+    role = F.when(F.col("h") == 4, "user").otherwise(F.col("role"))
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.where("h <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), "h")
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.when(F.col("h") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")).drop("copy")
+
+
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.report(damaged(conversations), conversations)
+
+
+def _op11_sql() -> str:
+    """The damage and the backward pass in DuckDB SQL: the best edits of each state as a string, the cost of 12 digits ahead of the initials."""
+    add = lambda x, cost, letter: f"(lpad((CAST(left({x}, 12) AS BIGINT) + {cost})::VARCHAR, 12, '0') || '{letter}' || substr({x}, 13))"
+    keep = f"CASE WHEN fault = 3 THEN {repair.TRUNCATED} ELSE 0 END"
+    may = "fault NOT IN (1, 2)"
+
+    def edits(state: int) -> str:
+        out = [add(f"f{state}", repair.DELETE, "D"), f"CASE WHEN {may} THEN {add(f'f{repair.NEXT[state]}', f'({keep} + {repair.RETITLE})', 'R')} END"]
+        for initial, to in (("s", 1),) * (state == 0) + (("a", 3),) * (state == 2) + (("u", 2),) * (state != 2):
+            out.append(f"CASE WHEN {may} AND initial = '{initial}' THEN {add(f'f{to}', keep, 'K')} END")
+        return f"least({', '.join(out)})"
+
+    insert = lambda x: add(x, repair.INSERT, "I")
+    zero = "'000000000000'"
+    end = [zero, insert(insert(zero)), insert(zero), zero]
+    return rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+summed AS (
+  SELECT *, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT),
+    lambda c, b: list_reduce(list_transform(range(8), lambda z: 0::BIGINT), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295) % 20 AS h FROM raw),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM summed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n, substr(role, 1, 1) AS initial FROM hurt),
+faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+back AS (
+  SELECT conv_id, n AS i, {", ".join(f"{x} AS f{s}" for s, x in enumerate(end))} FROM (SELECT DISTINCT conv_id, n FROM placed)
+  UNION ALL
+  SELECT conv_id, i, least(g0, {insert(f"least(g2, {insert('g3')})")}), least(g1, {insert(f"least(g2, {insert('g3')})")}), least(g2, {insert('g3')}), least(g3, {insert('g2')})
+  FROM (SELECT b.conv_id, b.i - 1 AS i, {", ".join(f"{edits(s)} AS g{s}" for s in range(4))} FROM back b JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i)),
+best AS (SELECT conv_id, CAST(left(f0, 12) AS BIGINT) AS cost, substr(f0, 13) AS audit FROM back WHERE i = 0),
+steps AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS p, audit FROM best),
+letters AS (SELECT conv_id, p, substr(audit, p, 1) AS letter, length(replace(substr(audit, 1, p), 'I', '')) AS i FROM steps),
+kept AS (
+  SELECT l.conv_id, p, letter, f.role, f.text, row_number() OVER (PARTITION BY l.conv_id ORDER BY p) - 1 - max(CASE WHEN letter = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS place
+  FROM letters l LEFT JOIN faults f ON letter <> 'I' AND f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i WHERE letter <> 'D'),
+told AS (
+  SELECT conv_id, sha256(string_agg((CASE WHEN letter = 'K' THEN role WHEN place % 2 = 0 THEN 'user' ELSE 'assistant' END) || ':' || (CASE WHEN letter = 'I' THEN '' ELSE text END), chr(10) ORDER BY p)) AS sha FROM kept GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+    count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -194,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
     "op10_mix_sources": op10_mix_sources,
+    "op11_repair_conversations": op11_repair_conversations,
 }
 
 ORACLES: dict[str, str] = {
@@ -201,5 +269,6 @@ ORACLES: dict[str, str] = {
     "op2_ngram_jaccard": OP2_SQL,
     "op7_decontaminate": OP7_SQL,  # every item of the table has five words or more
     "op4_url_filter": _op4_sql(),
+    "op11_repair_conversations": _op11_sql(),
     "op5_line_dedup": linededup.SQL.format(docs="documents", columns="d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed"),
 }
