@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, html, jaccard, linededup, lm, mixing, negatives, quality, repair, urlfilter
+from . import ann, chat, decontaminate, html, jaccard, linededup, lm, mixing, neardup, negatives, quality, repair, urlfilter
 from .runtime import table
 
 #: Fixed value: the conversation that the query adds, to show that control strings survive.
@@ -272,6 +272,24 @@ SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive
 """
 
 
+def op13_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) ON x = e.vec_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -285,6 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": op10_mix_sources,
     "op11_repair_conversations": op11_repair_conversations,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_near_duplicates": op13_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {
@@ -294,5 +313,6 @@ ORACLES: dict[str, str] = {
     "op4_url_filter": _op4_sql(),
     "op11_repair_conversations": _op11_sql(),
     "op12_hard_negatives": OP12_SQL,
+    "op13_near_duplicates": OP13_SQL,
     "op5_line_dedup": linededup.SQL.format(docs="documents", columns="d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed"),
 }
