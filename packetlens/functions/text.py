@@ -37,6 +37,11 @@ def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean of doubles, the same in whatever order and partitions they come: decimal sums lose nothing, and one rounding to twelve places hides the last bits."""
+    return F.round(F.sum(value.cast("decimal(38,18)")).cast("double") / F.count(value), 12)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -45,13 +45,13 @@ def words_to_lines(words: DataFrame, keys: tuple[str, ...] = ("case_id",), tie:
     ).where("word != '' AND conf >= 0 AND x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", *tie, "word"))), lambda w: w["word"]), " ")
     return rows.groupBy(*keys, *LINE_KEYS).agg(
-        said.alias("text"), F.avg("conf").alias("confidence"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
+        said.alias("text"), T.exact_mean(F.col("conf")).alias("confidence"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
     )
 
 
 def mean_confidence(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Mean confidence for each of ``keys``; 0 where no line has one."""
-    return lines.groupBy(*keys).agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+    return lines.groupBy(*keys).agg(F.coalesce(T.exact_mean(F.col("confidence")), F.lit(0.0)).alias("confidence"))
 
 
 def has_risk_word(text: Column) -> Column:

@@ -207,7 +207,7 @@ _CASE_TEXTS = "ct AS (SELECT case_id, string_agg(text, ' ' ORDER BY page, ord) A
 _OCR_LINES = f"""
 ww AS (SELECT *, trim(text) AS word, try_cast(conf AS double) / 100 AS cf, try_cast("left" AS int) AS x0, try_cast(top AS int) AS y0, try_cast("left" AS int) + try_cast(width AS int) AS x1,
   try_cast(top AS int) + try_cast(height AS int) AS y1 FROM words),
-ln AS (SELECT case_id, page_num, block_num, par_num, line_num, string_agg(word, ' ' ORDER BY x0, t1, t2, t3, word) AS text, round(avg(cf), 6) AS confidence, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
+ln AS (SELECT case_id, page_num, block_num, par_num, line_num, string_agg(word, ' ' ORDER BY x0, t1, t2, t3, word) AS text, round({D.exact_mean('cf')}, 6) AS confidence, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
   FROM ww WHERE word <> '' AND cf >= 0 AND x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL GROUP BY ALL)
 """
 _RISKWORD = D.has("lower(text)", "biohazard", "warrant", "tampering", "embargo", "rescind", "illegible")
@@ -274,7 +274,7 @@ ORACLES: dict[str, str] = {
         + "), m AS (SELECT p.case_id, p.page, w.risk_state = 'unknown' AS need, c.page IS NOT NULL AS hit FROM page_text p JOIN wide w ON p.case_id = w.case_id LEFT JOIN chosen c ON p.case_id = c.case_id AND p.page = c.page)",
     ),
     "ocr_words_to_lines": over("words", "SELECT * FROM ln", _OCR_LINES),
-    "page_mean_confidence": over("words", "SELECT case_id, page_num, round(avg(confidence), 6) AS confidence FROM ln GROUP BY 1, 2", _OCR_LINES.replace("round(avg(cf), 6)", "avg(cf)")),
+    "page_mean_confidence": over("words", f"SELECT case_id, page_num, round({D.exact_mean('confidence')}, 6) AS confidence FROM ln GROUP BY 1, 2", _OCR_LINES.replace(f"round({D.exact_mean('cf')}, 6)", D.exact_mean("cf"))),
     "contrast_retry": over(
         ("spans", "packets"),
         f"SELECT case_id, page, ord, text FROM spans s WHERE source = 'ocr:original' AND confidence >= 0.35 AND {_RISKWORD} AND NOT EXISTS (SELECT 1 FROM spans_b b WHERE b.case_id = s.case_id AND b.page = s.page AND {_RISKWORD.replace('text', 'b.text')})".replace(
@@ -416,7 +416,7 @@ ORACLES: dict[str, str] = {
     "confusion_matrix": over("predictions", "SELECT t.adjudication AS truth, p.adjudication AS predicted, count(*) AS n FROM truth t JOIN predictions p ON t.case_id = p.case_id GROUP BY 1, 2"),
     "calibration_bins": over(
         "predictions",
-        "SELECT cast(least(floor(confidence * 10), 9) AS int) AS bin, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, round(avg(CASE WHEN t.adjudication = p.adjudication THEN 1.0 ELSE 0.0 END), 6) AS share_right FROM truth t JOIN predictions p ON t.case_id = p.case_id GROUP BY 1",
+        f"SELECT cast(least(floor(confidence * 10), 9) AS int) AS bin, count(*) AS n, round({D.exact_mean('confidence')}, 6) AS mean_confidence, round(avg(CASE WHEN t.adjudication = p.adjudication THEN 1.0 ELSE 0.0 END), 6) AS share_right FROM truth t JOIN predictions p ON t.case_id = p.case_id GROUP BY 1",
     ),
     "training_cohort": over(
         ("truth", "rasters"),
