@@ -47,30 +47,54 @@ def page_texts(spans: DataFrame) -> DataFrame:
     return pages.withColumn("rank", T.source_rank(F.col("text")))
 
 
+def page_layout(spans: DataFrame) -> DataFrame:
+    """(case_id, page, text, body): what each page says, and whether any of it is of body size, in one grouping."""
+    return spans.groupBy("case_id", "page").agg(joined(["ord"]).alias("text"), F.bool_or(has_body()).alias("body"))
+
+
 def case_texts(spans: DataFrame) -> DataFrame:
     """(case_id, text) of all spans in order."""
     return spans.groupBy("case_id").agg(joined(["page", "ord"]).alias("text"))
 
 
+#: Height of a band of a page, and how many bands a label looks up one by one; more are found by passing over the page's bands.
+BAND, LOOKED_UP = 8.0, 16
+
+
 def right_cells(spans: DataFrame, labels: Column) -> DataFrame:
     """(case_id, page, ord, value): the nearest cell to the right of each span where ``labels`` holds.
 
-    An equi-join on the page with geometry as residual; the smallest gap wins,
-    then the smaller x0, then reading order.
+    A page's cells are put into bands by their top edge, and each label looks
+    only into the bands that its height reaches: one grouping by page, no join.
+    The smallest gap wins, then the smaller x0, then reading order.
     """
     keys = ["case_id", "page"]
-    left = spans.where(labels).select(*keys, "ord", *(F.col(c).alias(f"l_{c}") for c in ("text", "x0", "x1", "y0", "size")))
-    right = spans.select(*keys, F.col("ord").alias("r_ord"), F.col("text").alias("r_text"), F.col("x0").alias("r_x0"), F.col("y0").alias("r_y0"))
-    gap = F.greatest(F.lit(15.0), (F.col("l_x1") - F.col("l_x0")) * 0.25)
-    near = (F.abs(F.col("r_y0") - F.col("l_y0")) <= F.greatest(F.lit(7.0), F.col("l_size"))) & (F.col("r_x0") >= F.col("l_x1") + gap) & (F.col("r_text") != F.col("l_text"))
-    order = F.struct(F.col("r_x0") - F.col("l_x1"), F.col("r_x0"), F.col("r_ord"))
-    return left.join(right, keys).where(near).groupBy(*keys, "ord").agg(F.min_by("r_text", order).alias("value"))
+    band = lambda y: F.floor(y / BAND).cast("long")
+    rows = spans.select(*keys, "ord", "text", "x0", "x1", "y0", "size", labels.alias("label")).repartition(*keys)
+    label = F.when(F.coalesce("label", F.lit(False)), F.struct("ord", "text", "x0", "x1", "y0", "size"))
+    banded = rows.groupBy(*keys, band(F.col("y0")).alias("band")).agg(F.collect_list(F.struct("x0", "y0", "ord", "text")).alias("cells"), F.collect_list(label).alias("labels"))
+    bands = F.map_from_entries(F.collect_list(F.when(F.col("band").isNotNull(), F.struct("band", "cells"))))
+    pages = banded.groupBy(*keys).agg(bands.alias("bands"), F.flatten(F.collect_list("labels")).alias("labels")).where(F.size("labels") > 0)
+    one = pages.select(*keys, "bands", F.explode("labels").alias("l"))
+    at = lambda c: F.col(f"l.{c}")
+    reach = F.greatest(F.lit(7.0), at("size"))
+    low, high = band(at("y0") - reach), band(at("y0") + reach)
+    some = F.when(high - low < LOOKED_UP, F.sequence(low, high)).otherwise(F.filter(F.map_keys("bands"), lambda b: b.between(low, high)))
+    gap = F.greatest(F.lit(15.0), (at("x1") - at("x0")) * 0.25)
+    near = lambda c: (F.abs(c["y0"] - at("y0")) <= reach) & (c["x0"] >= at("x1") + gap) & (c["text"] != at("text"))
+    cells = F.flatten(F.transform(some, lambda b: F.filter(F.coalesce(F.element_at("bands", b), F.array().cast("array<struct<x0:double,y0:double,ord:bigint,text:string>>")), near)))
+    best = F.array_min(F.transform(cells, lambda c: F.struct((c["x0"] - at("x1")).alias("gap"), c["x0"].alias("x0"), c["ord"].alias("ord"), c["text"].alias("text"))))
+    return one.select(*keys, at("ord").alias("ord"), best["text"].alias("value")).where("value is not null")
+
+
+def has_body() -> Column:
+    """Whether a span is of body size and no footer."""
+    return (F.col("size") >= V.MEANINGFUL_SIZE) & ~F.startswith("text", F.lit("Packet ")) & (T.fold(F.col("text")) != V.FOOTER)
 
 
 def meaningful_pages(spans: DataFrame) -> DataFrame:
     """(case_id, page) with a span of body size that is no footer."""
-    body = (F.col("size") >= V.MEANINGFUL_SIZE) & ~F.startswith("text", F.lit("Packet ")) & (T.fold(F.col("text")) != V.FOOTER)
-    return spans.where(body).select("case_id", "page").distinct()
+    return spans.where(has_body()).select("case_id", "page").distinct()
 
 
 def footer_pages(pages: DataFrame) -> DataFrame:
@@ -83,11 +107,20 @@ def image_pages(images: DataFrame, side: int = V.IMAGE_SIDE) -> DataFrame:
     return images.where(F.greatest("width", "height") >= side).select("case_id", "page").distinct()
 
 
-def pages_to_ocr(pages: DataFrame, spans: DataFrame, images: DataFrame) -> DataFrame:
-    """(case_id, page): pages without meaningful text, footer pages, and pages with a large image."""
+def pages_to_ocr(pages: DataFrame, spans: DataFrame | None, images: DataFrame) -> DataFrame:
+    """(case_id, page): pages without meaningful text, footer pages, and pages with a large image.
+
+    The relations meet in one grouping by page; nothing is joined. Without
+    ``spans`` the pages themselves say whether they have a ``body`` (``page_layout``).
+    """
     keys = ["case_id", "page"]
-    missing = pages.select(keys).join(meaningful_pages(spans), keys, "left_anti")
-    return missing.unionByName(footer_pages(pages)).unionByName(image_pages(images)).distinct()
+    no = F.lit(False)
+    marks = pages.select(*keys, F.lit(True).alias("listed"), (F.col("body") if spans is None else no).alias("body"), T.footer_only(F.col("text")).alias("asks"))
+    marks = marks.unionByName(images.select(*keys, no.alias("listed"), no.alias("body"), (F.greatest("width", "height") >= V.IMAGE_SIDE).alias("asks")).where("asks"))
+    if spans is not None:
+        marks = marks.unionByName(spans.select(*keys, no.alias("listed"), has_body().alias("body"), no.alias("asks")).where("body"))
+    seen = marks.groupBy(*keys).agg(*(F.bool_or(c).alias(c) for c in ("listed", "body", "asks")))
+    return seen.where("asks OR (listed AND NOT coalesce(body, false))").select(*keys)
 
 
 def oracle_pages(pages: DataFrame, images: DataFrame) -> DataFrame:

@@ -116,8 +116,8 @@ def meaningful_pages(rows: DataFrame) -> DataFrame:
 
 
 def _todo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pages, images = page_texts(spark, sf_dir), fixture(spark, sf_dir, "images")
-    return pages, images, spans.pages_to_ocr(pages, fixture(spark, sf_dir, "spans"), images)
+    pages, images = spans.page_layout(fixture(spark, sf_dir, "spans")), fixture(spark, sf_dir, "images")
+    return pages, images, spans.pages_to_ocr(pages, None, images)
 
 
 @query
