@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetlens.functions import vocab as V
+from packetlens.operators.positions import numbered
 
 _KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "binary": T.BinaryType(), "decimal(6.2)": T.DecimalType(6, 2)}
 
 
-def _schema(fields: str) -> T.StructType:
+def schema_of(fields: str) -> T.StructType:
     """A schema from ``name kind`` pairs, without a running session."""
     return T.StructType([T.StructField(n, _KINDS[k], True) for n, k in (f.split() for f in fields.split(", "))])
 
 
-SPANS = _schema("case_id string, page int, ord long, text string, x0 double, y0 double, x1 double, y1 double, size double, color int, source string")
-PAGES = _schema("case_id string, page int, width double, height double, text string")
-IMAGES = _schema("case_id string, page int, img_no int, width int, height int, channels int, content binary")
-RASTERS = _schema("case_id string, page int, dpi int, content binary")
-VIEWS = _schema("case_id string, page int, img_no int, content binary")
-ERRORS = _schema("case_id string, error string")
-READS = _schema("case_id string, page int, crop int, text string")
-WORDS = _schema(
+SPANS = schema_of("case_id string, page int, ord long, text string, x0 double, y0 double, x1 double, y1 double, size double, color int, source string")
+PAGES = schema_of("case_id string, page int, width double, height double, text string")
+IMAGES = schema_of("case_id string, page int, img_no int, width int, height int, channels int, content binary")
+RASTERS = schema_of("case_id string, page int, dpi int, content binary")
+VIEWS = schema_of("case_id string, page int, img_no int, content binary")
+ERRORS = schema_of("case_id string, error string")
+READS = schema_of("case_id string, page int, crop int, text string")
+WORDS = schema_of(
     "case_id string, source string, page_num string, block_num string, par_num string, line_num string, left string, top string, width string, height string, conf string, text string"
 )
-OCR_PAGES = _schema("case_id string, page int, variant string, text string, confidence double")
-CANDIDATES = _schema("case_id string, field string, rank decimal(6.2), value string, source string, at long")
+OCR_PAGES = schema_of("case_id string, page int, variant string, text string, confidence double")
+CANDIDATES = schema_of("case_id string, field string, rank decimal(6.2), value string, source string, at long")
 RECORDS = T.StructType([T.StructField(f, T.DoubleType() if f == "confidence" else T.StringType(), True) for f in V.RECORD_FIELDS])
-TRUTH = _schema("case_id string, adjudication string, risk_flags string, fee_status string, visa_class string, sponsor_id string, species_code string, home_world string")
+TRUTH = schema_of("case_id string, adjudication string, risk_flags string, fee_status string, visa_class string, sponsor_id string, species_code string, home_world string")
 
 
 def packets(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,21 +62,11 @@ def words(spark: SparkSession, path: str) -> DataFrame:
 
 def case_list(spark: SparkSession, path: str) -> DataFrame:
     """(pos, case_id) of a text file with one key a line; blank lines don't count."""
-    rows = spark.read.text(path).select(F.trim("value").alias("case_id"), F.monotonically_increasing_id().alias("at")).where("case_id != ''")
-    # A list that a person keeps: its lines are numbered in one partition.
-    return rows.select((F.row_number().over(Window.orderBy("at")) - 1).alias("pos"), "case_id")
+    rows = spark.read.text(path).select(F.trim("value").alias("case_id")).where("case_id != ''")
+    return numbered(rows).select("pos", "case_id")
 
 
 def span_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """Span files as they arrive."""
     return spark.readStream.schema(SPANS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
-
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` of a scan dealt over all cores if they come in fewer parts.
-
-    Form texts cost far more to parse than to move, and a file of one row group
-    is one task, whatever its size. Inputs of more parts stay as they are.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
