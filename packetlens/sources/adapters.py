@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from packetlens.operators.ocr import distinct_texts
 
+from .packets import read_bytes, runs
 from .readers import ERRORS, IMAGES, PAGES, RASTERS, READS, SPANS, VIEWS, WORDS
 
 # Rendering resolutions of the OCR ladder.
@@ -105,9 +106,8 @@ def unreadable(packets: DataFrame) -> DataFrame:
 
 def span_rows(case_id: str, number: int, page: dict) -> Iterator[tuple]:
     """Rows of SPANS from a page's nested blocks, lines and spans, in reading order."""
-    runs = (span for block in page.get("blocks", ()) for line in block.get("lines", ()) for span in line.get("spans", ()))
-    for order, span in enumerate(runs):
-        yield (case_id, number, order, span["text"], *map(float, span["bbox"]), float(span["size"]), int(span["color"]), "text_layer")
+    for order, (text, box, size, color) in enumerate(runs(page)):
+        yield (case_id, number, order, text, *box, size, color, "text_layer")
 
 
 def text_spans(packets: DataFrame) -> DataFrame:
@@ -254,20 +254,34 @@ def _rendered(content: bytes, page: int, dpi: int) -> bytes | None:
         return None
 
 
+#: Pages of a packet that one task draws: so many that opening the packet doesn't count.
+DRAWN_TOGETHER = 32
+
+
 def render_pages(packets: DataFrame, pages: DataFrame, dpi: int = OCR_DPI) -> DataFrame:
-    """Pages (case_id, page) of packets drawn as PNG at ``dpi``, each once. To draw them once for several reads, settle the result."""
+    """Pages (case_id, page) of packets drawn as PNG at ``dpi``, each once.
+
+    Packets come with their ``content`` or with a ``path``, which tasks then
+    read themselves, so that no content is shuffled. A packet of many pages is
+    drawn in pieces. To draw pages once for several reads or runs, see ``rasters``.
+    """
     if not shutil.which("pdftoppm"):
         _need("fitz")
+    by_path = "content" not in packets.columns
+    of = "path" if by_path else "content"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for case_id, content, numbers in zip(frame["case_id"], frame["content"], frame["pages"], strict=True):
-                rows += [(case_id, n, dpi, image) for n in sorted(numbers) if (image := _rendered(bytes(content), n, dpi)) is not None]
+            for case_id, body, numbers in zip(frame["case_id"], frame[of], frame["pages"], strict=True):
+                content = read_bytes(body) if by_path else bytes(body)
+                rows += [(case_id, n, dpi, image) for n in sorted(numbers) if (image := _rendered(content, n, dpi)) is not None]
             yield pd.DataFrame(rows, columns=RASTERS.names)
 
-    wanted = pages.where("page is not null").groupBy("case_id").agg(F.collect_set(F.col("page").cast("int")).alias("pages"))
-    return packets.select("case_id", "content").join(wanted, "case_id").select("case_id", "content", "pages").mapInPandas(run, RASTERS)
+    page = F.col("page").cast("int")
+    wanted = pages.where("page is not null").groupBy("case_id", F.floor(page / DRAWN_TOGETHER).alias("piece")).agg(F.collect_set(page).alias("pages"))
+    chosen = packets.select("case_id", of).join(wanted, "case_id").select("case_id", of, "pages")
+    return (chosen.repartition("case_id", "pages") if by_path else chosen).mapInPandas(run, RASTERS)
 
 
 @lru_cache(maxsize=1)
@@ -313,10 +327,10 @@ def neural_reads(rasters: DataFrame, forensic: bool = False) -> DataFrame:
     return rasters.select("case_id", "page", "content").mapInPandas(run, READS)
 
 
-def neural_reader(packets: DataFrame, pages: DataFrame, dpi: int = RAPID_DPI, forensic: bool = False):
+def neural_reader(packets: DataFrame, pages: DataFrame, dpi: int = RAPID_DPI, forensic: bool = False, draw: Callable[..., DataFrame] | None = None):
     """A reader of gap filling (case ids in, case_id and text out) that draws and reads ``pages`` of the packets it is asked for.
 
-    The passes use RAPID_DPI, BOOST_DPI, and FORENSIC_DPI with ``forensic``.
+    ``draw`` takes packets, pages and a resolution (``render_pages``, or a store of drawn pages). The passes use RAPID_DPI, BOOST_DPI, and FORENSIC_DPI with ``forensic``.
     Of the crops of a page each distinct text counts once; pages follow in order.
     """
     _need("rapidocr")
@@ -324,7 +338,7 @@ def neural_reader(packets: DataFrame, pages: DataFrame, dpi: int = RAPID_DPI, fo
 
     def read(cases: DataFrame) -> DataFrame:
         own = cases.select("case_id").distinct()
-        reads = neural_reads(render_pages(packets.join(own, "case_id", "left_semi"), pages.join(own, "case_id", "left_semi"), dpi), forensic)
+        reads = neural_reads((draw or render_pages)(packets.join(own, "case_id", "left_semi"), pages.join(own, "case_id", "left_semi"), dpi), forensic)
         by_page = distinct_texts(reads, ["case_id", "page"])
         ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
         return by_page.groupBy("case_id").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"))

@@ -11,18 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from packetlens.sources.sinks import write_records
+from packetlens.sources.sinks import commit_records
 
 
 def adjudicate_stream(spans: DataFrame, pipeline: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Runs ``pipeline`` (spans to records) on each micro-batch and appends the records.
+    """Runs ``pipeline`` (spans to records) on each micro-batch and commits its records to the folder ``out``.
 
-    A batch that is run again after a failure writes into the folder of its own
-    number, so its records are there once.
+    A batch is a run of its own number: run again after a failure it is there
+    once, and readers (``sinks.committed_records``) see whole batches only.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        write_records(pipeline(rows), f"{out}/batch={number}")
+        commit_records(pipeline(rows), out, f"batch-{number}")
 
     writer = spans.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -9,7 +9,10 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
+#: Stand-ins for libraries and programs that aren't installed here; workers find them, this process only where a test says so.
+STANDINS = ROOT / "tests" / "standins"
+os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}:{STANDINS}"
+os.environ["PATH"] = f"{os.environ['PATH']}:{STANDINS / 'bin'}"
 
 
 @pytest.fixture(scope="session")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib.util
 import json
 import os
+import random
 import sys
 import types
 from ast import literal_eval
@@ -248,44 +249,23 @@ def test_texts_of_a_failed_read_are_empty(monkeypatch, tmp_path) -> None:
     assert adapters._read(b"page", 6) == "read in mode 6 of page\n" and adapters._read(b"page", 11) == ""
 
 
-def test_folder_to_json_lines(spark, monkeypatch, tmp_path) -> None:
-    """A folder with a readable and an unreadable packet, a stand-in for the parser: every packet gets a line."""
-
-    class Page:
-        rect = type("Rect", (), {"width": 600.0, "height": 800.0})
-        said = ("Visa Class: XW-1", "Sponsor ID: SPN-1234", "Finding: DENIED")
-
-        def get_text(self, form: str = "text"):
-            if form != "dict":
-                return "\n".join(self.said)
-            return {"blocks": [{"lines": [{"spans": [{"text": t, "bbox": (10, 20 * i, 200, 20 * i + 10), "size": 10, "color": 0} for i, t in enumerate(self.said, 1)]}]}]}
-
-    def opened(frame):
-        for case_id, content in zip(frame["case_id"], frame["content"], strict=True):
-            yield (case_id, [Page()], None) if bytes(content) == b"good" else (case_id, None, "broken")
-
-    def here(frame, run, schema):  # in this process, where the stand-ins are
-        return spark.createDataFrame([tuple(r) for out in run([frame.toPandas()]) for r in out.itertuples(index=False)], schema)
-
-    monkeypatch.setattr(adapters, "_opened", opened)
-    monkeypatch.setattr(adapters, "_need", lambda *_, **__: None)
-    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", here)
-    for name, content in (("A", b"good"), ("B", b"junk"), ("C", b"good")):
-        (tmp_path / f"{name}.pdf").write_bytes(content)
-    assert [(r["case_id"], r["error"]) for r in adapters.unreadable(readers.packets(spark, str(tmp_path))).collect()] == [("B", "broken")]
-    folder.main([str(tmp_path), str(tmp_path / "out"), "--files", "1", "--no-ocr", "--no-neural"])
-    lines = [json.loads(x) for x in sorted((tmp_path / "out").glob("part-*"))[0].read_text().splitlines()]
-    assert [x["case_id"] for x in lines] == ["A", "B", "C"]
-    assert lines[0]["visa_class"] == "XW-1" and lines[0]["sponsor_id"] == "SPN-1234" and lines[0]["adjudication"] == "DENIED"
-    assert lines[1] == {"case_id": "B", **V.BLANK}
-
-
-def test_few_parts_are_spread_over_cores(spark) -> None:
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(40).coalesce(1)
-    assert readers.spread(one).rdd.getNumPartitions() == cores and sorted(r["id"] for r in readers.spread(one).collect()) == list(range(40))
-    many = spark.range(40).repartition(cores + 1)
-    assert readers.spread(many) is many
+def test_means_do_not_depend_on_partitions(spark, sf) -> None:
+    """Every query with an average, on its rows dealt in three ways."""
+    r = random.Random(4)
+    words = [("A", "o", str(p), "1", "1", str(n), str(r.randrange(400)), "1", "5", "5", f"{r.randrange(10000) / 100:.2f}", "w") for p in range(30) for n in range(12) for _ in range(r.randrange(1, 8))]
+    frame = spark.createDataFrame(words, readers.WORDS)
+    truth = spark.createDataFrame([(f"C{i}", "APPROVED") for i in range(3000)], "case_id string, adjudication string")
+    said = spark.createDataFrame([(f"C{i}", r.choice(["APPROVED", "DENIED"]), r.randrange(1000) / 1000 + 1e-17) for i in range(3000)], "case_id string, adjudication string, confidence double")
+    found = set()
+    for n in (1, 3, 7):
+        dealt = frame.repartition(n, F.rand(n))
+        lines = ocr.words_to_lines(dealt)
+        means = ocr.mean_confidence(lines.repartition(n, F.rand(n)), ["case_id", "page_num"])
+        bins = analysis.calibration(truth, said.repartition(n, F.rand(n)))
+        found.add(repr([sorted(map(tuple, x.collect())) for x in (lines.select("page_num", "line_num", "confidence"), means, bins)]))
+    assert len(found) == 1
+    some = {repr(sorted(map(tuple, catalog.QUERIES["page_mean_confidence"](spark, sf).repartition(n).collect()))) for n in (1, 5)}
+    assert len(some) == 1
 
 
 def test_gates_share_the_proofs_of_the_repairs(spark, sf) -> None:
@@ -453,7 +433,7 @@ def test_pipeline_and_stream(spark, tmp_path) -> None:
     assert found["B"]["adjudication"] == "NEEDS_REVIEW"  # nothing clears its risk
     evidence.write.parquet(str(tmp_path / "in"))
     adjudicate_stream(readers.span_stream(spark, str(tmp_path / "in")), decided, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert readers.records(spark, str(tmp_path / "out/*")).count() == 2
+    assert sinks.committed_records(spark, str(tmp_path / "out")).count() == 2
 
 
 def test_hidden_ink_clears_unless_visibility_is_strict(spark) -> None:
