@@ -4,9 +4,9 @@ The tree of a host has a level for each path segment. A segment becomes a
 wildcard if it looks like a value (digits, dates, hex) or is one of many rare
 children of its parent. Sibling branches, which differ in their last literal
 segment alone, are merged where their shares of blocked pages are statistically
-the same. A template is rejected when its share of
-labelled pages that are blocked, smoothed towards the share among all labelled
-pages, reaches a threshold. A template without labelled pages is judged by its
+the same. A template is rejected when its share of labelled pages that are
+blocked, smoothed by some pages of which half are blocked, reaches a threshold:
+its own evidence decides, whatever else the table holds. A template without labelled pages is judged by its
 nearest ancestor that has some, in which every labelled template counts as one
 observation, blocked or allowed by its majority: pages of one branch resemble
 each other, so a branch says little about its siblings and many of them say
@@ -26,8 +26,8 @@ from .runtime import lower_ascii, small, spare, written
 #: A parent with more children than this makes those with less than RARE of its pages a wildcard.
 CHILDREN = 16
 RARE = 0.05
-#: Weight of the overall share, in pages.
-PRIOR = 4.0
+#: What smoothing adds to a branch: so many pages, and the share of them that is blocked.
+PRIOR, BASE = 4.0, 0.5
 REJECT = 0.8
 #: Standard errors within which two shares are the same.
 SAME = 1.96
@@ -65,36 +65,48 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, verdict
 
 
+def prefixes(parts: Column) -> Column:
+    """Hashes of the first 0, 1, ... segments of an array, as many as it has: the nodes that a path passes."""
+    start = F.struct(F.xxhash64(F.lit("/")).alias("h"), F.array().cast("array<bigint>").alias("all"))
+    step = lambda acc, x: F.struct(F.xxhash64(acc["h"], x).alias("h"), F.concat(acc["all"], F.array(acc["h"])).alias("all"))
+    return F.aggregate(parts, start, step, lambda acc: acc["all"])
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """(host, path, pages, known, blocked) with the path's template.
 
-    A level at a time, to the deepest: the children of each node are counted,
-    then every path gets its own or a wildcard segment. Paths that have ended
-    wait aside. All hosts go together; tables of counts, never rows of pages, are
-    joined, and broadcast where they are small.
+    Segments that look like values are wildcards from the start. The nodes of
+    all levels are then counted at once, and rare children of parents with many
+    become wildcards, in each host at its topmost level that has some: what they
+    merge below is counted in the next round. So there are as many rounds as
+    levels with rare children, one more, and not as many as the deepest path
+    has segments.
     """
-    found = paths.withColumn("left", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
-    ended = []
-    for level in range(found.agg(F.max(F.size("left"))).first()[0] or 0):
-        ended.append(found.where(F.size("left") == level))
-        there = found.where(F.size("left") > level).withColumn("seg", F.get("left", F.lit(level)))
-        child = there.groupBy("host", "template", "seg").agg(F.sum("pages").alias("own"))
-        parent = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("own").alias("all"))
-        rare = (F.col("children") > CHILDREN) & (F.col("own") < RARE * F.col("all"))
-        named = child.join(parent, ["host", "template"]).select("host", "template", "seg", F.when(F.col("seg").rlike(VALUE) | rare, "*").otherwise(F.col("seg")).alias("part"))
-        there = there.join(small(written(named, "named")), ["host", "template", "seg"])
-        found = written(there.withColumn("template", F.concat("template", F.lit("/"), "part")).drop("seg", "part"), "level")
-    for rows in ended:
-        found = found.unionByName(rows)
-    return found.drop("left")
+    segs = F.filter(F.split("path", "/"), lambda s: s != "")
+    found = paths.withColumn("segs", segs).withColumn("parts", F.transform("segs", lambda s: F.when(s.rlike(VALUE), "*").otherwise(s)))
+    found = written(found, "segments")
+    while True:
+        steps = F.transform(prefixes(F.col("parts")), lambda h, i: F.struct(h.alias("node"), i.alias("level"), F.get("segs", i).alias("seg"), F.get("parts", i).alias("part")))
+        child = found.select("host", "pages", F.inline(steps)).groupBy("host", "level", "node", "seg", "part").agg(F.sum("pages").alias("own"))
+        child = written(child, "children")
+        parent = child.groupBy("host", "node").agg(F.count(F.lit(1)).alias("children"), F.sum("own").alias("all")).where(F.col("children") > CHILDREN)
+        rare = child.where("part <> '*'").join(parent, ["host", "node"]).where(F.col("own") < RARE * F.col("all")).select("host", "level", "node", "seg")
+        top = rare.groupBy("host").agg(F.min("level").alias("level"))
+        rare = written(rare.join(top, ["host", "level"]), "rare")
+        if rare.isEmpty():
+            break
+        # A path passes one node of that level: it is hit or not.
+        at = found.join(small(top), "host", "left").withColumn("node", F.get(prefixes(F.col("parts")), F.col("level"))).withColumn("seg", F.get("segs", F.col("level")))
+        hit = at.join(small(rare.withColumn("hit", F.lit(True))), ["host", "level", "node", "seg"], "left")
+        parts = F.when(F.col("hit"), F.transform("parts", lambda p, i: F.when(i == F.col("level"), "*").otherwise(p))).otherwise(F.col("parts"))
+        found = written(hit.withColumn("parts", parts).select(found.columns), "segments")
+    return found.withColumn("template", F.when(F.size("parts") > 0, F.concat(F.lit("/"), F.array_join("parts", "/"))).otherwise("")).drop("segs", "parts")
 
 
 def judged(found: DataFrame) -> DataFrame:
     """(host, template) with the smoothed purity of its branch, after merging, and whether it is rejected."""
     leaf = found.groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked"))
     leaf = written(leaf.withColumn("kin", F.regexp_replace("template", SIBLINGS, "/+$1")), "leaves")
-    known, blocked = leaf.agg(F.sum("known"), F.sum("blocked")).first()
-    overall = (blocked or 0) / known if known else 0.0
     pool = leaf.groupBy("host", "kin").agg(F.sum("known").alias("k"), F.sum("blocked").alias("b"))
     both = leaf.join(pool, ["host", "kin"])
     rest = F.col("k") - F.col("known")
@@ -109,22 +121,18 @@ def judged(found: DataFrame) -> DataFrame:
     bad = F.when(F.col("like"), F.col("mb")).otherwise(F.col("blocked"))
     both = written(both.select("host", "template", "known", "blocked", n.alias("n"), bad.alias("bad")), "branches")
     # Ancestors: every labelled template is one observation, blocked or allowed by its majority.
-    seen = both.where("n > 0").select("host", F.explode(_ancestors(F.col("template"))).alias("above"), (F.col("blocked") * 2 >= F.col("known")).cast("long").alias("bad"))
+    segments = F.split("template", "/")  # the first is empty; the host's root counts as its own ancestor
+    above = F.posexplode(prefixes(F.when(F.size(segments) > 1, F.slice(segments, 2, F.size(segments))).otherwise(segments))).alias("level", "above")
+    seen = both.where("n > 0").select("host", above, (F.col("blocked") * 2 >= F.col("known")).cast("long").alias("bad"))
     seen = seen.groupBy("host", "above").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    asks = both.where("n = 0").select("host", "template", F.explode(_ancestors(F.col("template"))).alias("above"))
-    near = asks.join(seen, ["host", "above"]).groupBy("host", "template").agg(F.max(F.struct(F.length("above"), "n", "bad")).alias("near"))
+    asks = both.where("n = 0").select("host", "template", above)
+    near = asks.join(seen, ["host", "above"]).groupBy("host", "template").agg(F.max(F.struct("level", "n", "bad")).alias("near"))
     both = both.join(near, ["host", "template"], "left")
     n, bad = F.coalesce("near.n", "n"), F.coalesce("near.bad", "bad")
-    purity = (bad + PRIOR * overall) / (n + PRIOR)
+    purity = (bad + PRIOR * BASE) / (n + PRIOR)
     return both.select("host", "template", purity.alias("purity"), ((n > 0) & (purity >= REJECT)).alias("rejected"))
 
 
-def _ancestors(template: Column) -> Column:
-    """The nodes above a template; the empty one, which is the host, first."""
-    parts = F.split(template, "/")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-
-
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], labels: DataFrame | None = None) -> DataFrame:
     """``pages`` with host, path, rule, verdict, template and purity for each ``url``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import helpers
@@ -210,6 +211,33 @@ def test_templates_without_labels_ask_their_ancestors(spark) -> None:
     assert all(found[u][0] == ("block" if bad else "allow") for u, bad in pages)  # two labelled pages, as on one.org, are too few
 
 
+def test_verdicts_of_a_host_do_not_depend_on_other_hosts(spark, sf) -> None:
+    """The pages of half of the hosts are judged alone as they are among all, and by labels that are nearly all blocked as by others."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    half = pages.where(F.crc32(urlfilter.host_of(F.col("url"))) % 2 == 0)
+    spam = spark.createDataFrame([(10**9 + i, f"http://spam{i}.example.net/es/{i}") for i in range(3000)], pages.schema)
+    judged = lambda rows: {r["page_id"]: tuple(r)[2:] for r in urlfilter.filter_urls(rows, queries.URL_RULES).collect()}
+    alone, among = judged(half), judged(pages.unionByName(spam))
+    assert 0 < len(alone) < len(among) and all(among[k] == v for k, v in alone.items())
+
+
+def test_rare_children_at_several_levels(spark) -> None:
+    """Rare children merge at their topmost level first, and what they merge counts at the next."""
+    pages = [f"http://h.org/u{i}/x{i % 30}/end" for i in range(60)] + ["http://h.org/big/x/end"] * 90 + [f"http://h.org/{i}/x{i % 30}/end" for i in range(40)]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(pages)], "page_id long, url string")
+    found = {r["template"] for r in urlfilter.filter_urls(frame, ()).collect()}
+    assert found == {"/*/*/end", "/big/x/end"}
+
+
+def test_very_deep_paths(spark) -> None:
+    """Two crawler traps of 3,000 segments that part at their ends cost as many rounds as short paths."""
+    trap = "http://h.org/" + "/".join(["a", "b1", "20"] * 1000)
+    frame = spark.createDataFrame([(1, trap + "/x"), (2, trap + "/y"), (3, "http://h.org/a/z")], "page_id long, url string")
+    began = time.time()
+    found = {r["page_id"]: r["template"] for r in urlfilter.filter_urls(frame, queries.URL_RULES).collect()}
+    assert found[1] == "/" + "/".join(["a", "b1", "*"] * 1000) + "/x" and found[3] == "/a/z" and time.time() - began < 90
+
+
 def test_urls_with_long_paths_and_repeated_rows(spark) -> None:
     deep = "http://h.org/" + "/".join(f"part{i}" for i in range(30))
     long = "http://h.org/" + "x" * 100_000
