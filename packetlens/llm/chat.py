@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_map
+from .runtime import arrow_map, small_batches
 
 START = ""
 
@@ -139,6 +139,7 @@ def format_chats(conversations: DataFrame, template: ChatTemplate | None = None)
     Repeated rows stay, and usually break the order. An empty table gives no segments.
     """
     template = template or ChatTemplate()
+    small_batches(conversations.sparkSession)
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -164,9 +165,11 @@ def _reader(template: ChatTemplate):
                 out.append((now, d["n"], d["turns"].hexdigest(), d["loss_n"], d["loss"].hexdigest(), d["chars"], d["valid"]))
 
         for batch in batches:
-            for conv, segment, loss, ok, complete in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss", "valid_so_far", "complete")), strict=True):
+            for conv, seq, segment, loss, ok, complete in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "seq", "segment", "loss", "valid_so_far", "complete")), strict=True):
                 if conv != now or d is None:
                     close()
+                    if seq != 0:
+                        raise ValueError(f"conversation {conv}: its segments don't come together and in order")
                     now, d = conv, {"n": 0, "turns": hashlib.sha256(), "loss_n": 0, "loss": hashlib.sha256(), "chars": 0, "valid": False, "left": ""}
                 d["chars"] += len(segment)
                 d["valid"] = ok and complete
@@ -196,10 +199,15 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in DIGESTS.split(", ")])
 
 
-def read_back(segments: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
+def read_back(segments: DataFrame, template: ChatTemplate | None = None, in_order: bool = False) -> DataFrame:
     """Digests of the turns and of the text under the loss mask, parsed from the output of ``format_chats``.
 
-    The segments are read in the order in which they were made, as a stream; no
-    second shuffle is needed.
+    Segments may lie anywhere; they are brought together and read as a stream.
+    ``in_order`` vouches that they still lie as they were made, which saves the
+    shuffle: a conversation that doesn't begin with its first segment then
+    raises an error. An empty table gives no digests.
     """
+    small_batches(segments.sparkSession)
+    if not in_order:
+        segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "part")
     return arrow_map(segments, _reader(template or ChatTemplate()), DIGESTS)

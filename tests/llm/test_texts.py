@@ -45,6 +45,20 @@ def test_chat_digests(spark) -> None:
     assert chat.read_back(chat.format_chats(frame.limit(0))).count() == 0
 
 
+def test_segments_may_lie_anywhere(spark, tmp_path) -> None:
+    """Dealt at random, written and read again, segments give the digests that they give in order; vouching for a wrong order raises."""
+    rows = [(c, t, ("user", "assistant")[t % 2], f"turn {t} ### User: of {c}") for c in (1, 2, None) for t in range(10)]
+    segments = chat.format_chats(spark.createDataFrame(rows, CHAT))
+    wanted = sorted(map(tuple, chat.read_back(segments, in_order=True).collect()), key=str)
+    segments.repartition(7, F.rand(3)).write.parquet(str(tmp_path / "dealt"))
+    dealt = spark.read.parquet(str(tmp_path / "dealt"))
+    assert sorted(map(tuple, chat.read_back(dealt).collect()), key=str) == wanted and [r[1] for r in wanted] == [10, 10, 10]
+    cut = segments.where("conv_id = 1").orderBy("seq", "part").repartitionByRange(2, "seq").sortWithinPartitions("seq", "part")
+    with pytest.raises(Exception, match="come together"):
+        chat.read_back(cut, in_order=True).collect()
+    assert chat.read_back(segments.limit(0)).count() == 0
+
+
 def test_words_match_the_plain_rule() -> None:
     texts = ["", "A b\tC\x0b\x0cd", "é ÉA\x1cb  ", None, " x ", "\u00a0y z", "w" * 5000]
     found = [[p.word(i).decode() for i in range(p.first[t], p.first[t + 1])] for p in tokens.pieces(pa.array(texts)) for t in range(p.n_texts)]
