@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
 from packetlens import lineage
 from packetlens.functions import vocab as V
-from packetlens.operators import driver, positions
+from packetlens.operators import analysis, driver, positions
 from packetlens.sources import checked, readers
 
 
@@ -89,3 +91,28 @@ def test_line_numbers_over_splits(spark, tmp_path) -> None:
         assert all(r["line"] == int(r["text"]) for r in rows.collect()) and rows.count() == 3000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_reservoirs(spark, monkeypatch, digits) -> None:
+    """Equal to sorting each class by its digest, however the items are dealt and the cells cut."""
+    monkeypatch.setattr(analysis, "DIGITS", digits)
+    r = random.Random(5)
+    items = [(f"C{r.randrange(400)}", i, r.choice(["a", "a", "a", "b", None])) for i in range(2000)]
+    frame = spark.createDataFrame(items, "case_id string, n int, label string")
+    wanted: set = set()
+    for label, quota in (("a", 333), ("b", 0), (None, 10**6)):
+        own = sorted((x for x in items if x[2] == label), key=lambda x: (hashlib.md5(x[0].encode()).hexdigest(), x[1]))
+        wanted |= set(own[:quota])
+    seen = {}
+
+    def quota(counts: dict) -> dict:
+        seen.update(counts)
+        return {"a": 333, "b": 0}
+
+    for n in (1, 6):
+        out = analysis.reservoir(frame.repartition(n), "label", "case_id", ["n"], quota)
+        assert out.columns == frame.columns and {tuple(x) for x in out.collect()} == wanted
+    assert seen == dict(Counter(x[2] for x in items)) and "SinglePartition" not in plan(out)
+    assert analysis.reservoir(frame.limit(0), "label", "case_id", ["n"], quota).count() == 0
+    lineage.release()
