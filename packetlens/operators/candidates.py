@@ -40,25 +40,55 @@ def is_correction(text: Column) -> Column:
     return T.matches(text, P.CORRECTION_LINE)
 
 
-def label_values(text: Column) -> list[tuple[str, int, Column]]:
-    """(field, position, value) of ``label: value`` at the end of one span."""
-    pairs = [(field, label) for field, labels in V.LABELS.items() for label in labels]
-    return [(field, i, T.collapse(T.capture(text, rf"\b{label}\s*:\s*([^|]+)$"))) for i, (field, label) in enumerate(pairs)]
+_LABELS = [(label, field) for field, labels in V.LABELS.items() for label in labels]
+_ANY_LABEL = "|".join(sorted((label for label, _ in _LABELS), key=len, reverse=True))
+
+#: Labels begin with one of these; a misread fee label as the fee label does, or with its second word.
+_FIRST = T.first_letters([*(label for label, _ in _LABELS), "stat"])
 
 
 def has_label(text: Column) -> Column:
-    """Whether a span holds any label at all; without one neither ``label_values`` nor ``glued_value`` finds a thing."""
-    return T.matches(text, "|".join([*(label for labels in V.LABELS.values() for label in labels), V.FEE_LABEL]))
+    """Whether a span holds any label at all; without one ``label_heads`` finds none."""
+    return T.matches(text, f"{_ANY_LABEL}|{V.FEE_LABEL}")
+
+
+def label_heads(text: Column) -> Column:
+    """One pass over a text: for each place where a label begins, in order, the label's number, its field, and the value behind it in either form.
+
+    ``pair`` is what ``label: value`` at the end of a text gives, ``glued`` the
+    value of a form row read as one line, with or without a colon. The pattern
+    looks ahead from each place, so places may overlap; each is told with the
+    character before it, which a line feed stands for at the text's begin.
+    """
+    number = {label: str(i) for i, (label, _) in enumerate(_LABELS)}
+    after = lambda head, labels, value: T.collapse(T.capture(head, rf"^(?s:.)(?:{labels}){value}"))
+
+    def told(head: Column, label: Column, field: Column) -> Column:
+        glued = after(head, _ANY_LABEL, P.GLUED_ANY)
+        for name, pattern in _GLUED.items():
+            glued = F.when(field == name, after(head, "|".join(V.LABELS[name]), pattern)).otherwise(glued)
+        glued = F.when(field == "fee_status", T.collapse(T.capture(head, rf"^(?s:.){V.FEE_LABEL}{P.GLUED_FEE}"))).otherwise(glued)
+        pair = F.when(F.contains(head, F.lit(":")), T.collapse(T.capture(head, rf"^\W(?:{_ANY_LABEL})\s*:\s*([^|]+)$")))
+        return F.struct(T.lookup(label, number).cast("int").alias("label"), field.alias("field"), pair.alias("pair"), glued.alias("glued"))
+
+    def of(head: Column) -> Column:
+        label = F.lower(F.regexp_extract(head, rf"{T.ANY}^(?s:.)({_ANY_LABEL})", 1))
+        field = lambda x: F.coalesce(T.lookup(x, dict(_LABELS)), F.lit("fee_status"))
+        return T.let(label, lambda x: T.let(field(x), lambda f: told(head, x, f)))
+
+    heads = T.captures(F.concat(F.lit("\n"), text), rf"(?=((?s:.)(?=(?-i:[{_FIRST}]))(?:{_ANY_LABEL}|{V.FEE_LABEL})(?s:.*)))")
+    return F.transform(heads, of)
+
+
+def label_values(heads: Column) -> list[tuple[str, int, Column]]:
+    """(field, position, value) of ``label: value``: of each label the first that has a value."""
+    first = lambda i: F.get(F.filter(heads, lambda h: (h["label"] == i) & h["pair"].isNotNull()), F.lit(0))["pair"]
+    return [(field, i, first(i)) for i, (_, field) in enumerate(_LABELS)]
 
 
-def glued_value(text: Column, field: str) -> Column:
-    """Value of a form row read as one line, with or without a colon."""
-    labels = "|".join(V.LABELS[field])
-    if field == "fee_status":
-        pattern = V.FEE_LABEL + P.GLUED_FEE
-    else:
-        pattern = rf"(?:{labels})" + _GLUED.get(field, P.GLUED_ANY)
-    return T.collapse(T.capture(text, pattern))
+def glued_value(heads: Column, field: str) -> Column:
+    """Value of a form row read as one line: of the field's labels the first that has one."""
+    return F.get(F.filter(heads, lambda h: (h["field"] == field) & h["glued"].isNotNull()), F.lit(0))["glued"]
 
 
 def correction(text: Column) -> tuple[Column, Column]:
@@ -134,15 +164,15 @@ def span_candidates(spans: DataFrame, pages: DataFrame) -> DataFrame:
     ocr = F.startswith("source", F.lit("ocr:"))
     rank = F.col("page_rank").cast(RANK) + F.when(ocr, _dec(V.OCR_OFFSET)).otherwise(_dec("0"))
     cells = right_cells(spans, label_of(text).isNotNull() & ~is_correction(text)).withColumnRenamed("value", "cell")
-    known = known.join(cells, [*keys, "ord"], "left").withColumns({"rank": rank, "plain": ~is_correction(text), "labelled": has_label(text)})
-    plain = F.col("plain")
+    known = known.join(cells, [*keys, "ord"], "left").withColumns({"rank": rank, "plain": ~is_correction(text)})
+    plain, heads = F.col("plain"), F.col("heads")
+    known = known.withColumn("heads", F.when(plain & has_label(text), label_heads(text)))
     fields = list(V.LABELS)
     cell = F.when(~F.contains(T.fold(F.col("cell")), F.lit("sample denial")), F.col("cell"))
     named, corrected = correction(text)
-    labelled = plain & F.col("labelled")
     rows = [_row(label_of(text), F.col("rank"), F.when(plain, cell), F.col("source"), 1, 0)]
-    rows += [_row(f, F.col("rank"), F.when(labelled & F.contains(text, F.lit(":")), v), F.col("source"), 2, i) for f, i, v in label_values(text)]
-    rows += [_row(f, F.col("rank"), F.when(labelled, glued_value(text, f)), F.col("source"), 3, i) for i, f in enumerate(fields)]
+    rows += [_row(f, F.col("rank"), v, F.col("source"), 2, i) for f, i, v in label_values(heads)]
+    rows += [_row(f, F.col("rank"), glued_value(heads, f), F.col("source"), 3, i) for i, f in enumerate(fields)]
     rows += [
         _row(named, _dec(V.CORRECTION_RANK), corrected, "manual_correction", 4, 0),
         _row("sponsor_id", F.col("rank"), attested_sponsor(text), "sponsor_attestation", 5, 0),

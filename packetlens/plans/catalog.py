@@ -200,12 +200,14 @@ def _exploded(rows: DataFrame, pairs: list[tuple[str, Column]]) -> DataFrame:
 
 @on("spans")
 def label_value_pairs(rows: DataFrame) -> DataFrame:
-    return _exploded(rows.where(F.contains("text", F.lit(":"))), [(f, v) for f, _, v in C.label_values(F.col("text"))])
+    headed = rows.where(F.contains("text", F.lit(":"))).withColumn("heads", C.label_heads(F.col("text")))
+    return _exploded(headed, [(f, v) for f, _, v in C.label_values(F.col("heads"))])
 
 
 @on("spans")
 def glued_rows(rows: DataFrame) -> DataFrame:
-    return _exploded(rows, [(f, C.glued_value(F.col("text"), f)) for f in V.LABELS])
+    headed = rows.withColumn("heads", C.label_heads(F.col("text")))
+    return _exploded(headed, [(f, C.glued_value(F.col("heads"), f)) for f in V.LABELS])
 
 
 @on("spans")

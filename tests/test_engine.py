@@ -6,6 +6,7 @@ import importlib.util
 import json
 import os
 import random
+import re
 import sys
 import types
 from ast import literal_eval
@@ -15,6 +16,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from packetlens.functions import patterns as P
 from packetlens.functions import vocab as V
 from packetlens.operators import analysis, decide, driver, fill, ocr, repair, resolve, spans
 from packetlens.operators import candidates as C
@@ -87,6 +89,28 @@ def test_nearest_cell_by_gap_then_order(spark) -> None:
     assert [r["value"] for r in found] == ["near"]
 
 
+def test_one_pass_over_labels_gives_what_a_search_for_each_gives(spark) -> None:
+    r = random.Random(12)
+    words = [*(x for own in V.LABELS.values() for x in own), "Fee Stat", "STATUS", "status|", "species", "name", ":", " : ", "|", "\n", " ", "  ", "-", "#", "SPN-1234", "XW-1", "2026-03-01", "HUMAN", "paid", "xapplicant", "é", "_fee status"]
+    texts = ["", "applicant: Ada visa class: XW-1", "Registry Name Ada | Applicant: Bo", "xapplicant: no \\b", *("".join(r.choice(words) + r.choice(["", " ", ": "]) for _ in range(r.randrange(1, 7))) for _ in range(500))]
+    pairs = [(label, field) for field, labels in V.LABELS.items() for label in labels]
+    heads = F.col("heads")
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("heads", C.label_heads(F.col("t")))
+    got = frame.select("t", F.array(*(v for _, _, v in C.label_values(heads))).alias("pairs"), F.array(*(C.glued_value(heads, f) for f in V.LABELS)).alias("glued"), F.array(*(analysis.label_value(F.col("t"), x) for x in analysis.FLAT_LABELS.values())).alias("flat")).collect()
+    collapse = lambda m, k=1: None if m is None or not m[k] else re.sub(r"\s+", " ", m[k]).strip(" ")
+    tails = {"sponsor_id": P.GLUED_SPONSOR, "visa_class": P.GLUED_VISA, "arrival_date": P.GLUED_DAY, "species_code": P.GLUED_SPECIES}
+    seen = 0
+    for row in got:
+        t = row["t"]
+        assert row["pairs"] == [collapse(re.search(rf"\b{label}\s*:\s*([^|]+)$", t, re.I)) for label, _ in pairs], t
+        glued = [collapse(re.search(V.FEE_LABEL + P.GLUED_FEE if f == "fee_status" else rf"(?:{'|'.join(labels)})" + tails.get(f, P.GLUED_ANY), t, re.I)) for f, labels in V.LABELS.items()]
+        assert row["glued"] == glued, t
+        flat = [next((v for x in labels if (v := collapse(re.search(rf"{x}\s*[:#-]\s*(.+?)(?:\s+(?:{analysis.NEXT_LABEL})\s*[:#-]|$)", t, re.I))) is not None), None) for labels in analysis.FLAT_LABELS.values()]
+        assert row["flat"] == flat, t
+        seen += sum(x is not None for x in row["pairs"] + row["glued"] + row["flat"])
+    assert seen > 500
+
+
 RECORD = {"applicant_name": "Ada Quill", "species_code": "HUMAN", "home_world": "Kepler", "visa_class": "XW-2", "sponsor_id": "SPN-1234", "arrival_date": "2026-03-01", "declared_purpose": "research", "risk_flags": "none", "fee_status": "paid"}
 
 
