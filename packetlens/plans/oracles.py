@@ -246,6 +246,54 @@ def _flat(label: str) -> str:
     return rf"{label}\s*[:#-]\s*(.+?)(?:\s+(?:{analysis.NEXT_LABEL})\s*[:#-]|$)"
 
 
+def _all_candidates() -> str:
+    """Every candidate: what spans and pages give, with ranks and steps, admissible values in canonical form."""
+    plain = f"NOT {D.rx('text', r'\bmanual correction\s*:')}"
+    sponsor, purpose = D.ext("text", r"\bsponsor\s+(SPN[- ]?\d{4})\s+attests\b"), D.collapse(D.ext("text", r"\bexpected on earth for\s+([a-z][a-z ]+?)(?:\.|$)"))
+    applicant, visa = D.collapse(D.ext("text", r"\battests that\s+([^.]*)\s+is expected on earth\b")), D.ext("text", r"\bclass\s+([A-Za-z]+[- ]?\d)\s+compliance\b")
+    status = f"CASE WHEN {_GATE} THEN CASE WHEN {_AMOUNT} = 0 AND {_WAIVER} <> 'N/A' THEN 'waived' WHEN {_AMOUNT} > 0 AND {_WAIVER} = 'N/A' THEN 'paid' END END"
+    fallback = f"CASE WHEN {_GATE} AND {_WAIVER} IS NULL AND {_LIKE} AND {D.rx('text', r'\$\s*0(\.00)?\b', 'c')} THEN 'waived' END"
+    by_span = [
+        f"SELECT case_id, page, ord, {_FIELD} AS field, cell AS value, source, 1 AS step FROM celled WHERE {plain} AND NOT contains({D.fold('cell')}, 'sample denial')",
+        f"SELECT x.*, source, 2 FROM ({_labelled()}) x JOIN spans USING (case_id, page, ord)",
+        f"SELECT x.*, source, 3 FROM ({_glued()}) x JOIN spans USING (case_id, page, ord)",
+        f"SELECT case_id, page, ord, {D.case(D.fold(D.ext('text', _CORRECTION)), V.CORRECTED)}, {D.collapse(D.ext('text', _CORRECTION, 3))}, 'manual_correction', 4 FROM spans",
+        f"SELECT case_id, page, ord, 'sponsor_id', {sponsor}, 'sponsor_attestation', 5 FROM spans",
+        f"SELECT case_id, page, ord, 'declared_purpose', {purpose}, 'sponsor_attestation', 6 FROM spans",
+    ]
+    by_page = [
+        ("sponsor_id", V.ATTEST_OFFSET, sponsor, "sponsor_attestation"),
+        ("declared_purpose", V.ATTEST_OFFSET, purpose, "sponsor_attestation"),
+        ("applicant_name", V.ATTEST_OFFSET, applicant, "sponsor_attestation"),
+        ("visa_class", V.ATTEST_OFFSET, visa, "sponsor_attestation"),
+        ("sponsor_id", V.SPONSOR_TOKEN_OFFSET, D.only(_SPN), "sponsor_token"),
+        ("arrival_date", V.DATE_TOKEN_OFFSET, f"CASE WHEN len({D.every('text', _DAY)}) = 1 THEN {D.every('text', _DAY)}[1] END", "date_token"),
+        ("fee_status", V.RECEIPT_OFFSET, status, "receipt_amount_waiver"),
+        ("waiver_code", V.RECEIPT_OFFSET, f"CASE WHEN {_GATE} AND {_WAIVER} <> 'N/A' THEN {_WAIVER} END", "receipt_waiver_code"),
+        ("fee_status", V.RECEIPT_FALLBACK_OFFSET, fallback, "receipt_amount_fallback"),
+    ]
+    pages = " UNION ALL ".join(
+        f"SELECT case_id, page, 2000000000 AS ord, '{field}' AS field, {value} AS value, '{source}' AS source, {step} AS step, rank + CASE WHEN ocr_only THEN {V.OCR_OFFSET} ELSE 0 END + ({offset}) AS rank FROM pg"
+        for step, (field, offset, value, source) in enumerate(by_page, 7)
+    )
+    bad = D.has(D.fold("value"), "blank", "cut out", "illegible", "obscured", "redacted")
+    other = f"NOT {bad} AND {D.fold('value')} NOT IN ('unknown', '') AND (field <> 'sponsor_id' OR {D.rx('trim(value)', r'^SPN[- ]?\d{4}$')})"
+    judged = f"CASE field WHEN 'fee_status' THEN {D.fee('value')} WHEN 'visa_class' THEN {D.visa('value')} WHEN 'arrival_date' THEN {D.date('value')} WHEN 'applicant_name' THEN {D.name('value')} ELSE CASE WHEN {other} THEN value END END"
+    order = "lpad(cast(cast((r.x0 - l.x1) * 100 AS bigint) AS varchar), 9, '0') || lpad(cast(cast(r.x0 * 100 AS bigint) AS varchar), 9, '0') || lpad(cast(r.ord AS varchar), 9, '0')"
+    extra = [
+        _PG,
+        f"cells AS (SELECT l.case_id, l.page, l.ord, arg_min(r.text, {order}) AS cell FROM spans l JOIN spans r ON l.case_id = r.case_id AND l.page = r.page AND abs(r.y0 - l.y0) <= greatest(7.0, l.size) "
+        f"AND r.x0 >= l.x1 + greatest(15.0, (l.x1 - l.x0) * 0.25) AND r.text <> l.text WHERE {_FIELD.replace('text', 'l.text')} IS NOT NULL GROUP BY 1, 2, 3)",
+        "celled AS (SELECT * FROM cells JOIN spans USING (case_id, page, ord))",
+        f"by_span AS ({' UNION ALL '.join(by_span)})",
+        f"ranked AS (SELECT b.*, CASE WHEN step = 4 THEN {V.CORRECTION_RANK} ELSE rank + CASE WHEN starts_with(s.source, 'ocr:') THEN {V.OCR_OFFSET} ELSE 0 END END AS rank "
+        "FROM by_span b JOIN spans s USING (case_id, page, ord) JOIN (SELECT case_id, page, rank FROM pg) p USING (case_id, page))",
+        f"every AS (SELECT case_id, page, ord, field, value, source, step, rank FROM ranked UNION ALL {pages})",
+        f"judged AS (SELECT case_id, field, CAST(rank AS DOUBLE) AS rank, {judged} AS value, source, page, ord, step FROM every WHERE field IS NOT NULL AND value IS NOT NULL)",
+    ]
+    return over(("spans", "page_text"), "SELECT * FROM judged WHERE value IS NOT NULL", ", ".join(extra))
+
+
 ORACLES: dict[str, str] = {
     "adjudicate_packets": over(
         "packets",
@@ -291,6 +339,7 @@ ORACLES: dict[str, str] = {
         "SELECT case_id, page_num, string_agg(t, chr(10) ORDER BY at_, t) AS text FROM (SELECT case_id, page_num, trim(text) AS said, min(crop) AS at_, arg_min(text, crop) AS t FROM r WHERE trim(text) <> '' GROUP BY ALL) GROUP BY 1, 2",
         "r AS (SELECT case_id, page_num, text, min(t1) AS crop FROM words GROUP BY 1, 2, 3)",
     ),
+    "all_candidates": _all_candidates(),
     "same_line_value": over(
         "spans",
         "SELECT l.case_id, l.page, l.ord, arg_min(r.text, lpad(cast(cast((r.x0 - l.x1) * 100 AS bigint) AS varchar), 9, '0') || lpad(cast(cast(r.x0 * 100 AS bigint) AS varchar), 9, '0') || lpad(cast(r.ord AS varchar), 9, '0')) AS value "

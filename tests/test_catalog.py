@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from packetlens.plans import catalog, fixtures, oracles
 
-WITHOUT = {"all_candidates", "pipeline_full"}
+WITHOUT = {"pipeline_full"}
 
 
 @pytest.fixture(scope="module")
@@ -42,11 +42,6 @@ def test_every_other_query_is_known() -> None:
     assert set(catalog.QUERIES) - set(oracles.ORACLES) == WITHOUT
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT - {"pipeline_full"}))
-def test_rows_only(spark, sf, name: str) -> None:
-    assert catalog.QUERIES[name](spark, sf).count() > 0
-
-
 def test_pipeline_full_is_safe(spark, sf) -> None:
     """No approval rests on nothing: every case has a record, and flagged cases aren't approved."""
     found = catalog.QUERIES["pipeline_full"](spark, sf).toPandas()
