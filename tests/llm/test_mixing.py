@@ -215,7 +215,7 @@ def test_oracles(spark, sf, name) -> None:
     import duckdb
 
     connection = duckdb.connect()
-    for t in ("documents", "conversations", "pages", "benchmark"):
+    for t in ("documents", "conversations", "pages", "benchmark", "embeddings"):
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = queries.QUERIES[name](spark, sf)
     wanted = connection.sql(queries.ORACLES[name])
@@ -225,7 +225,7 @@ def test_oracles(spark, sf, name) -> None:
 
 
 def test_every_query_runs(spark, sf) -> None:
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     for name, run in queries.QUERIES.items():
         assert run(spark, sf).count() > 0, name
     assert os.path.isdir(sf) and linededup.PLACES
