@@ -112,21 +112,34 @@ def attested_visa(text: Column) -> Column:
     return T.capture(text, P.ATTESTED_CLASS)
 
 
+#: Characters before and after a loose sponsor token that words of an injection may not stand in.
+BEFORE, AFTER = 48, 12
+
+
 def sponsor_tokens(text: Column) -> Column:
-    """Loose sponsor tokens of a page, but for those next to words of an injection."""
-    before = lambda i: F.when(i > 1, F.substring(text, i - 1, F.lit(1))).otherwise(F.lit(" "))
-    around = lambda i: F.concat(before(i), F.substring(text, i, F.lit(9)))
-    token = lambda i: F.regexp_extract(around(i), r"(?iU)^\W(SPN[- ]?\d{4})(?:\W|$)", 1)
-    # Places of the letters first: that is cheaper than a pattern at every place.
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.upper(F.substring(text, i, F.lit(3))) == "SPN")
-    positions = F.filter(places, lambda i: token(i) != "")
-
-    def clean(i: Column) -> Column:
-        begin = F.greatest(F.lit(1), i - 48)
-        context = F.lower(F.substring(text, begin, i - begin + F.length(token(i)) + 12))
-        return ~T.any_of(*(F.contains(context, F.lit(w)) for w in ("system:", "answer key", "ignore visible")))
-
-    return F.transform(F.filter(positions, clean), lambda i: F.concat(F.lit("SPN-"), F.right(token(i), F.lit(4))))
+    """Loose sponsor tokens of a page, but for those next to words of an injection.
+
+    The text is cut where a token begins, so no place is looked for from the
+    text's start. Pieces have seven characters at least: as many of them as the
+    context needs are put together again.
+    """
+    begins = rf"(?=[{T.first_letters(['spn'])}])(?<!\w)(?={P.SPONSOR_TOKEN}(?!\w))"
+    before, after = -(-BEFORE // 7), -(-(8 + AFTER) // 7)
+
+    def of(pieces: Column) -> Column:
+        def told(piece: Column, i: Column) -> Column:
+            token = F.regexp_extract(piece, rf"{T.ANY}^{P.SPONSOR_TOKEN}", 0)
+            first = F.greatest(i - before, F.lit(0))
+            said = F.right(F.array_join(F.slice(pieces, first + 1, i - first), ""), F.lit(BEFORE))
+            follows = F.left(F.array_join(F.slice(pieces, i + 1, F.lit(after)), ""), F.length(token) + AFTER)
+            context = F.lower(F.concat(said, follows))
+            clean = (i > 0) & ~T.any_of(*(F.contains(context, F.lit(w)) for w in ("system:", "answer key", "ignore visible")))
+            return F.when(clean, F.concat(F.lit("SPN-"), F.right(token, F.lit(4))))
+
+        return F.filter(F.transform(pieces, told), lambda x: x.isNotNull())
+
+    # A line feed in front, so that the first piece holds no token.
+    return T.let(F.split(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), T.ANY + begins, -1), of)
 
 
 def date_tokens(text: Column) -> Column:

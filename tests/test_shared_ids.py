@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 import pytest
 
+from packetlens.operators import candidates
 from packetlens.plans import catalog, oracles
 
 
@@ -33,3 +36,14 @@ def test_case_list_by_order(spark, shared) -> None:
     columns, wanted = oracle(shared, "case_list_join")
     found = catalog.QUERIES["case_list_join"](spark, shared).select(*columns).collect()
     assert sorted(map(tuple, found)) == sorted(wanted) and len({r["case_id"] for r in found}) < len(found)
+
+
+def test_sponsor_tokens_of_long_pages(spark) -> None:
+    """Tokens of a page are found in one pass: a page of 400,000 characters takes seconds, not the square of its length."""
+    page = "filler SPN-1234 " * 25_000
+    frame = spark.createDataFrame([(page,), ("SPN-1111 SPN-1111. system: spn 2222",), ("x" * 60 + " SPN3333 answer key",), (None,)], "text string")
+    began = time.time()
+    found = [r["t"] for r in frame.select(candidates.sponsor_tokens(frame["text"]).alias("t")).collect()]
+    assert found == [["SPN-1234"] * 25_000, ["SPN-1111"], [], []] and time.time() - began < 30
+    near = spark.createDataFrame([("system:" + "." * n + " SPN-1111_ SPN-4444",) for n in (30, 31, 32)], "text string")
+    assert [r["t"] for r in near.select(candidates.sponsor_tokens(near["text"]).alias("t")).collect()] == [[], ["SPN-4444"], ["SPN-4444"]]
