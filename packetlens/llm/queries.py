@@ -82,7 +82,8 @@ def _op4_sql() -> str:
         "nodes AS (SELECT host, above, count(*) AS nn, sum(CASE WHEN blocked * 2 >= known THEN 1 ELSE 0 END)::BIGINT AS nb FROM up WHERE n > 0 GROUP BY ALL)",
         "near AS (SELECT up.host, up.template, arg_max(nn, length(above)) AS nn, arg_max(nb, length(above)) AS nb FROM up JOIN nodes USING (host, above) WHERE up.n = 0 GROUP BY ALL)",
         "r AS (SELECT q.host, q.template, coalesce(nn, n) AS n, coalesce(nb, bad) AS bad FROM q LEFT JOIN near ON q.host = near.host AND q.template = near.template)",
-        f"j AS (SELECT host, template, (bad + {urlfilter.PRIOR * urlfilter.BASE}::DOUBLE) / (n + {urlfilter.PRIOR}::DOUBLE) AS purity, n FROM r)",
+        f"hosts AS (SELECT host, (sum(blocked) + {urlfilter.PRIOR * urlfilter.BASE}::DOUBLE) / (sum(known) + {urlfilter.PRIOR}::DOUBLE) AS base FROM leaf GROUP BY host)",
+        f"j AS (SELECT r.host, template, (bad + {urlfilter.PRIOR}::DOUBLE * base) / (n + {urlfilter.PRIOR}::DOUBLE) AS purity, n FROM r JOIN hosts ON r.host = hosts.host)",
     ]
     return (
         f"WITH {', '.join(ctes)} SELECT page_id, u.host, u.path, f.rule, coalesce(by_rule, CASE WHEN n > 0 AND purity >= {urlfilter.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, f.template, purity "

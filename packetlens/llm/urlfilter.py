@@ -5,8 +5,9 @@ wildcard if it looks like a value (digits, dates, hex) or is one of many rare
 children of its parent. Sibling branches, which differ in their last literal
 segment alone, are merged where their shares of blocked pages are statistically
 the same. A template is rejected when its share of labelled pages that are
-blocked, smoothed by some pages of which half are blocked, reaches a threshold:
-its own evidence decides, whatever else the table holds. A template without labelled pages is judged by its
+blocked, smoothed towards the share of its host, reaches a threshold; the host's
+share is smoothed in turn, by some pages of which half are blocked. So a host's
+own evidence decides, whatever else the table holds. A template without labelled pages is judged by its
 nearest ancestor that has some, in which every labelled template counts as one
 observation, blocked or allowed by its majority: pages of one branch resemble
 each other, so a branch says little about its siblings and many of them say
@@ -26,7 +27,7 @@ from .runtime import lower_ascii, small, spare, written
 #: A parent with more children than this makes those with less than RARE of its pages a wildcard.
 CHILDREN = 16
 RARE = 0.05
-#: What smoothing adds to a branch: so many pages, and the share of them that is blocked.
+#: What smoothing adds to a branch: so many pages, blocked by the share of its host; and to a host: as many, of which this share is blocked.
 PRIOR, BASE = 4.0, 0.5
 REJECT = 0.8
 #: Standard errors within which two shares are the same.
@@ -128,8 +129,10 @@ def judged(found: DataFrame) -> DataFrame:
     asks = both.where("n = 0").select("host", "template", above)
     near = asks.join(seen, ["host", "above"]).groupBy("host", "template").agg(F.max(F.struct("level", "n", "bad")).alias("near"))
     both = both.join(near, ["host", "template"], "left")
+    hosts = leaf.groupBy("host").agg(((F.sum("blocked") + PRIOR * BASE) / (F.sum("known") + PRIOR)).alias("base"))
+    both = both.join(small(written(hosts, "hosts")), "host")
     n, bad = F.coalesce("near.n", "n"), F.coalesce("near.bad", "bad")
-    purity = (bad + PRIOR * BASE) / (n + PRIOR)
+    purity = (bad + PRIOR * F.col("base")) / (n + PRIOR)
     return both.select("host", "template", purity.alias("purity"), ((n > 0) & (purity >= REJECT)).alias("rejected"))
 
 

@@ -235,6 +235,22 @@ def test_verdicts_of_a_host_do_not_depend_on_other_hosts(spark, sf) -> None:
     assert 0 < len(alone) < len(among) and all(among[k] == v for k, v in alone.items())
 
 
+def test_unruled_pages_of_blocked_hosts(spark) -> None:
+    """The method decides unruled pages: they are blocked on a host whose labelled pages are all blocked, if these are enough, and not on a host of as many allowed ones."""
+    told = [(f"http://{h}.org/{part}/{i}", h == "bad" or part == "es") for h in ("bad", "mixed") for part in ("es", "fr") for i in range(6)] + [(f"http://mixed.org/it/{i}", False) for i in range(6)]
+    asks = ["http://bad.org/de/1", "http://mixed.org/de/1", "http://none.org/de/1"]
+    frame = spark.createDataFrame([(u,) for u, _ in told] + [(u,) for u in asks], "url string")
+    found = {r["url"]: r["verdict"] for r in urlfilter.filter_urls(frame, (), spark.createDataFrame(told, "url string, blocked boolean")).collect()}
+    assert [found[u] for u in asks] == ["block", "allow", "allow"]
+
+
+def test_unruled_pages_that_the_method_blocks(spark, sf) -> None:
+    """On the query's own table and rules the method blocks pages, only on hosts of which no page is allowed by a rule."""
+    rows = queries.QUERIES["op4_url_filter"](spark, sf.replace("sf0.001", "sf0.01")).collect()
+    blocked = {r["host"] for r in rows if r["rule"] is None and r["verdict"] == "block"}
+    assert blocked and not blocked & {r["host"] for r in rows if r["rule"] is not None and r["verdict"] == "allow"}
+
+
 def test_rare_children_at_several_levels(spark) -> None:
     """Rare children merge at their topmost level first, and what they merge counts at the next."""
     pages = [f"http://h.org/u{i}/x{i % 30}/end" for i in range(60)] + ["http://h.org/big/x/end"] * 90 + [f"http://h.org/{i}/x{i % 30}/end" for i in range(40)]
