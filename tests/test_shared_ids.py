@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from packetlens.operators import analysis, candidates
-from packetlens.plans import catalog, oracles
+from packetlens.plans import catalog, fixtures, oracles
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +58,25 @@ def test_training_cohort_of_shared_ids(spark) -> None:
         items = analysis.training_cohort(frame, rasters, ["width", "height", "n"], per_case=1, ratio=3)
         # Label 0 comes first; without a positive the quota of negatives is 0.
         assert items.count() == 0
+
+
+@pytest.mark.parametrize("name", ["attestation_fields", "receipt_fees", "alt_extract"])
+def test_rows_of_shared_ids_from_one_page_text(spark, shared, tmp_path, monkeypatch, name) -> None:
+    """From page texts that the SQL made, whichever way its ties fell, come the SQL's rows."""
+    duck = duckdb.connect()
+    for t in ("orders", "customer", "nation"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{shared}/{t}.parquet'")
+    duck.sql(f"COPY ({fixtures.with_clause('page_text')} SELECT * FROM page_text) TO '{tmp_path}/pages.parquet'")
+    found = duck.sql(oracles.ORACLES[name].replace(fixtures.PAGE_TEXT, f"SELECT * FROM '{tmp_path}/pages.parquet'"))
+    columns, wanted = found.columns, found.fetchall()
+    monkeypatch.setattr(catalog, "page_texts", lambda spark, sf_dir: spark.read.parquet(f"{tmp_path}/pages.parquet"))
+    rows = catalog.QUERIES[name](spark, shared).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, wanted))
+
+
+def test_case_texts_of_shared_ids(spark, shared) -> None:
+    """A case that orders share has the words of them all, one that none shares the SQL's text."""
+    wanted = dict(oracle(shared, "case_texts")[1])
+    found = {r["case_id"]: r["text"] for r in catalog.QUERIES["case_texts"](spark, shared).collect()}
+    assert found.keys() == wanted.keys() and all(sorted(found[c].split(" ")) == sorted(t.split(" ")) for c, t in wanted.items())
+    assert all(found[c] == t for c, t in wanted.items() if t.count("FORM I-8090") == 1)
