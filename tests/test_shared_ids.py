@@ -115,7 +115,7 @@ def _tied(sf_dir: str, name: str) -> tuple[list[str], list[tuple]]:
 
 @pytest.mark.parametrize("name", ["case_texts", "receipt_fees", "alt_extract"])
 def test_ties_of_shared_ids_go_by_key(spark, shared, name) -> None:
-    """Every tie goes to the smaller key, so the amount and the waiver of a receipt are those of one order."""
+    """Every tie goes to the smaller key: a receipt's amount and waiver are those of the first order that names one."""
     columns, wanted = _tied(shared, name)
     rows = catalog.QUERIES[name](spark, shared).select(*columns).collect()
     assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, wanted))
